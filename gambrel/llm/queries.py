@@ -37,6 +37,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.substring_dedup import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), k=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gambrel.llm.common import scratch
     from gambrel.llm.token_counts import count_tokens
@@ -53,5 +60,5 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op8_count_tokens, op9_pack)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op8_count_tokens, op9_pack)}
 ORACLE_SQL: dict[str, str] = {}
