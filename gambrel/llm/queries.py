@@ -60,5 +60,11 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op8_count_tokens, op9_pack)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op8_count_tokens, op9_pack, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
