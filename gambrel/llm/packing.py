@@ -22,6 +22,8 @@ from gambrel.llm.encoding import encoder, widen
 
 #: Partitions whose open windows one merge task takes; times the open windows, a bound on its rows' windows.
 MERGE_PARTS = 64
+#: Rows, of 16 bytes, of the numbering of partitions and merge groups that may be broadcast.
+SMALL = 200_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, window long, piece int, offset long, open boolean"
 MOVES = "part int, window long, piece int, cut long, take long, merged_group int, merged long, merged_offset long"
 
@@ -178,6 +180,8 @@ def pack(
             bases.append((kind, r[0], base))
             base += r["n"]
     based = spark.createDataFrame(bases, "kind string, of int, base long")
+    if len(bases) <= SMALL:  # else a shuffled join
+        based = F.broadcast(based)
     first = done.join(based.where("kind = 'part'").select(F.col("of").alias("part"), "base"), "part")
     # closed windows of a partition are numbered from 0 without gaps, the open ones behind them
     plain = first.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("window")).alias("sequence_id"), "offset")

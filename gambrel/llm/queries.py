@@ -44,6 +44,19 @@ def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.warc import assemble, read_archives, write_archives
+
+    captures = assemble(read_archives(write_archives(table(spark, sf_dir, "pages"))))
+    return captures.select(
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("metadata.fields")["refers-to-page-id"].cast("long").alias("refers_to"),
+    )
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gambrel.llm.common import scratch
     from gambrel.llm.token_counts import count_tokens
@@ -66,5 +79,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op8_count_tokens, op9_pack, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op5_warc_captures, op8_count_tokens, op9_pack, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
