@@ -57,6 +57,15 @@ def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.common import materialise
+    from gambrel.llm.quality_rules import features, fit, score
+
+    shaped = materialise(features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-features")
+    judged = score(shaped, fit(shaped))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gambrel.llm.common import scratch
     from gambrel.llm.token_counts import count_tokens
@@ -79,5 +88,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op5_warc_captures, op8_count_tokens, op9_pack, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op5_warc_captures, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
