@@ -30,6 +30,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.pii import PATTERNS, find_spans, span_digest
+
+    found = find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(span_digest(F.col("base_spans")), 256).alias("base_sha256"), span_digest(F.col("spans")).alias("spans"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gambrel.llm.token_files import read_token_files, write_token_files
 
@@ -88,5 +97,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_remove_repeats, op5_warc_captures, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_find_pii, op3_token_files, op4_remove_repeats, op5_warc_captures, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
