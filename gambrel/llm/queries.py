@@ -66,6 +66,12 @@ def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_assign_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gambrel.llm.common import materialise
     from gambrel.llm.quality_rules import features, fit, score
@@ -97,5 +103,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_find_pii, op3_token_files, op4_remove_repeats, op5_warc_captures, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_find_pii, op3_token_files, op4_remove_repeats, op5_warc_captures, op6_assign_shards, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
