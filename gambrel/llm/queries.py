@@ -104,4 +104,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_find_pii, op3_token_files, op4_remove_repeats, op5_warc_captures, op6_assign_shards, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {}
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": f"""WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0) x),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+l AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ws FROM p),
+h AS (SELECT doc_id, i, l2.m, item_id FROM (SELECT doc_id, i, m, array_to_string(ws[1:m], ' ') AS g FROM l, (SELECT DISTINCT m FROM wins) ms WHERE len(ws) >= m) l2 JOIN wins ON wins.m = l2.m AND wins.g = l2.g),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS q FROM h) x GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op4_remove_repeats": f"""WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+l AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS ws FROM p),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, i) AS nth FROM l WHERE len(ws) = 20),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE nth > 1),
+k AS (SELECT p.doc_id, count(x.i) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.i) FILTER (x.i IS NULL), '') AS kept FROM p LEFT JOIN x ON p.doc_id = x.doc_id AND p.i = x.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op5_warc_captures": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (k % 4))) & 31) + 1, 1), '' ORDER BY k) AS digest FROM p, (SELECT CAST(unnest(range(32)) AS INTEGER) AS k) ks GROUP BY page_id)
+SELECT m.page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN m.page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m.page_id = last THEN NULL ELSE last END AS refers_to FROM m JOIN c ON c.page_id = m.page_id""",
+}
