@@ -109,8 +109,8 @@ def best_rotation(pairs: DataFrame, keys: list[str], a: str, b: str, steps: int
     A row an angle, spread over the cluster; the best of a pair by a coarse grid, the lowest angle of equals, is measured
     again by a fine one.
     """
-    rows = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).repartition(*[F.col(c) for c in [*keys, "k"]])
-    turned = rows.withColumn("t", P.rotated(F.col(b), F.col("k") * (2 * math.pi / steps)))
-    scored = turned.withColumn("ov", overlap(F.col(a), F.col("t"), coarse, window))
-    best = scored.groupBy(*keys).agg(F.max_by(F.struct("k", a, "t"), F.struct("ov", (-F.col("k")).alias("low"))).alias("m"))
-    return best.select(*keys, F.col("m.k").alias("angle_step"), overlap(F.col(f"m.{a}"), F.col("m.t"), fine, window).alias("overlap"))
+    rows = pairs.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).repartition(*[F.col(c) for c in [*keys, "__k"]])
+    turned = rows.withColumn("__t", P.rotated(F.col(b), F.col("__k") * (2 * math.pi / steps)))
+    scored = turned.withColumn("__ov", overlap(F.col(a), F.col("__t"), coarse, window))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct("__k", a, "__t"), F.struct("__ov", (-F.col("__k")).alias("low"))).alias("__m"))
+    return best.select(*keys, F.col("__m.__k").alias("angle_step"), overlap(F.col(f"__m.{a}"), F.col("__m.__t"), fine, window).alias("overlap"))
