@@ -15,13 +15,13 @@ from gambrel.llm.decontamination import decontaminate
 from gambrel.llm.near_dedup import deduplicate
 from gambrel.llm.packing import pack
 from gambrel.llm.pii import redact
-from gambrel.llm.quality_rules import judge_quality
+from gambrel.llm.quality_rules import keep_good
 from gambrel.llm.queries import table, tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return judge_quality(docs).where("kept").select(docs.columns)
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

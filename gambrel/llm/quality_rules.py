@@ -176,3 +176,13 @@ def judge_quality(docs: DataFrame, text_col: str = "text", least: float = 0.5) -
     """
     shaped = features(docs, text_col)
     return score(shaped, fit(features(docs.select(quoted(text_col)), text_col)), least)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents that ``judge_quality`` keeps, with their own columns.
+
+    Judged rows are written first: a filter on ``kept`` would otherwise be pushed below the columns it is made of, and
+    the optimiser would copy those into it many times over.
+    """
+    judged = judge_quality(docs.withColumn("__row", F.struct(*map(quoted, docs.columns))).select("__row", quoted(text_col).alias("__text")), "__text", least)
+    return materialise(judged.select("__row", "kept"), "quality-judged").where("kept").select("__row.*")
