@@ -321,7 +321,7 @@ def with_ids(rooms: DataFrame) -> DataFrame:
     return rooms.withColumn("id", F.when(F.coalesce("id", F.lit("")) == "", F.concat(F.lit("r"), (F.col("ord") + 1).cast("string"))).otherwise(F.col("id"))).fillna({"name": "", "source": "kosong"})
 
 
-def trace_plan(pixels: DataFrame, sizes: DataFrame, walls: DataFrame, names: DataFrame, silhouette: DataFrame, silhouette_px: DataFrame) -> DataFrame:
+def trace_plan(sizes: DataFrame, walls: DataFrame, names: DataFrame, silhouette: DataFrame, silhouette_px: DataFrame) -> DataFrame:
     """Rooms of plans from wall masks: free areas inside the silhouette (runs), claimed by labels, the rest as
     circulation, traced: (img, comp, name, source, points)."""
     outside = R.complement(silhouette, sizes)
