@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gambrel.functions import labels as L
 from gambrel.functions import polygon as P
-from gambrel.operators import facade, graph, matching, outline, rooms, runs, vector, walls
+from gambrel.operators import axial, facade, graph, matching, outline, rooms, runs, vector, walls
 from gambrel.plans import adapters as A
 
 QUERIES: dict = {}
@@ -275,3 +275,31 @@ def r3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = walls.barriers(A.walls(spark, sf_dir))
     sizes = mask.groupBy("img").agg(F.lit(820).alias("width"), F.lit(820).alias("height"))
     return runs.measures(runs.labelled(runs.complement(mask, sizes)))
+
+
+@query()
+def a1_a10_facade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevations, one a region: a frame around the building and one for each nation's window, of a size by its key."""
+    k = F.col("n_nationkey")
+    n = A.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("img"), (20 + 36 * (k % 5)).alias("x0"), (30 + 70 * F.floor(k / 9)).cast("int").alias("y0"), (18 + k % 9).cast("int").alias("w"), (30 + k % 20).cast("int").alias("h"))
+    windows = n.select("img", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+    building = windows.select("img", F.lit(10).alias("x0"), F.lit(15).alias("y0"), F.lit(215).alias("x1"), F.lit(270).alias("y1")).distinct()
+    side = lambda axis, coord, a, b: F.struct(F.lit(axis).alias("axis"), F.col(coord).alias("coord"), F.col(a).alias("a"), F.col(b).alias("b"))
+    frame = windows.union(building).select("img", F.explode(F.array(side("h", "y0", "x0", "x1"), side("h", "y1", "x0", "x1"), side("v", "x0", "y0", "y1"), side("v", "x1", "y0", "y1"))).alias("s")).select("img", "s.*")
+    ink = walls.barriers(frame).select("img", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(30).alias("gray"))
+    sizes = building.select("img", F.lit(230).alias("width"), F.lit(290).alias("height"))
+    return facade.analyze(ink, sizes)[0]
+
+
+@query()
+def n17_n20_axial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAIN and NACH of lines, one a nation, that cross in the case of their region."""
+    k = F.col("n_nationkey")
+    across = k % 2 == 0
+    at = (10.0 * (k % 7) + k / 5).cast("double")
+    end = lambda low: [F.when(across, F.lit(low)).otherwise(at), F.when(across, at).otherwise(F.lit(low))]
+    (x0, y0), (x1, y1) = end(-5.0), end(90.0)
+    lines = A.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("case"), k.alias("line"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    paths = axial.weighted_paths(axial.turns(axial.segments(lines)))
+    integration = axial.nain(paths)
+    return integration.join(axial.nach(paths, integration), ["case", "seg"]).select("case", "seg", R6("nain").alias("nain"), R6("nach").alias("nach"))
