@@ -15,7 +15,7 @@ from operator import itemgetter
 import numpy as np
 
 #: Chunks that a worker process remembers at most; the table is emptied when full, which changes speed only.
-MEMO_CHUNKS = 800_000
+MEMO_CHUNKS = 600_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 48
 #: White space and invisible characters on whose class two libraries may differ.
