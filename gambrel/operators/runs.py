@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambrel.operators.components import components
+from gambrel.shared import materialise
 
 
 def islands(points: DataFrame, keys: list[str], at: str, bridge: int = 0, least: int = 1) -> DataFrame:
@@ -102,12 +103,13 @@ def labelled(runs: DataFrame, eight: bool = False) -> DataFrame:
     Runs of neighbouring lines that touch are linked; each image is linked for itself.
     """
     reach = 1 if eight else 0
+    runs = materialise(runs.select("img", "y", "x0", "x1"), "runs")
     named = runs.withColumn("__id", F.struct("img", "y", "x0"))
     low = named.select("img", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("__id").alias("a"))
     touch = low.join(named, ["img", "y"]).where((F.col("u0") <= F.col("x1") + reach) & (F.col("u1") + reach >= F.col("x0")))
     found = components(touch.select("a", F.col("__id").alias("b")))
     j = named.join(found.withColumnRenamed("node", "__id"), "__id", "left").withColumn("label", F.coalesce("label", "__id"))
-    return j.select("img", "y", "x0", "x1", (F.col("label.y").cast("long") * (1 << 32) + F.col("label.x0")).alias("comp"))
+    return materialise(j.select("img", "y", "x0", "x1", (F.col("label.y").cast("long") * (1 << 32) + F.col("label.x0")).alias("comp")), "labelled")
 
 
 def measures(labels: DataFrame) -> DataFrame:
