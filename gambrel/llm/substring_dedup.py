@@ -24,6 +24,8 @@ from gambrel.llm.common import map_rows, quoted, text_of, without
 
 #: Packed bytes that a part aims at, packed bytes a task gathers before it sends, and bytes hashed at a time.
 PART_BYTES, SEND_BYTES, HASH_BYTES = 16 << 20, 24 << 20, 1 << 20
+#: Packed words compress by half; what they are sent as is most of the disk in use.
+LEVEL = 6
 #: A slot of minimisers with more than this many times the mean load is split.
 HOT = 4.0
 _LAST = np.iinfo(np.int64).max
@@ -136,7 +138,7 @@ def _blob(docs, crcs, firsts, sizes, strings: list[bytes]) -> bytes:
     import zstandard
 
     body = b"".join([np.array(docs, "<i8").tobytes(), np.array(crcs, "<u4").tobytes(), np.array(firsts, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), b" ".join(strings)])
-    return struct.pack("<I", len(docs)) + zstandard.ZstdCompressor(level=1).compress(body)
+    return struct.pack("<I", len(docs)) + zstandard.ZstdCompressor(level=LEVEL).compress(body)
 
 
 def _unblob(blob: bytes) -> tuple:
