@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -148,14 +148,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, alike double")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, row_digest (md5 of the text), class_id (the least id of its class), kept.
 
     Texts with the same folded words are one content; contents are linked where their similarity is ``alike`` or more,
-    and a class is a connected component of links. In a bucket of equal bands a leader is compared with all others, never
-    all with all; those not linked to it get a leader of their own, for ``rounds`` leaders. A pair whose link no leader of
-    its ``bands`` buckets brings to light has to share each of its equal bands with leaders of which just one of the two
-    is a near-duplicate; pairs that share runs of words with each other and not with a leader meet in other buckets.
+    and a class is a connected component of links. In a bucket of equal bands leaders are compared with all others, in
+    rounds of 1, 4, 16 and so on, until no bucket holds two members that may still have to be joined. Pairs already in one
+    component are skipped; so are pairs that a leader of their bucket keeps apart by the triangle inequality (one less the
+    similarity is a metric). A bucket so loses no link that joins classes, however many clusters it has.
 
     Documents without words (null, empty) are classes of their own. ``kept`` is true for the least (doc_id, row_digest)
     of a class, null ids last; rows equal in both are repeats of one document. An empty table gives no rows.
@@ -171,32 +171,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(banded.join(sizes, "bucket"), "near-members")
     # the content that meets most others leads: of a text and its copies, the text
     meets = members.groupBy("content").agg(F.sum("n").alias("meets"))
-    members = materialise(members.drop("n").join(meets, "content").select("bucket", F.struct("meets", "content").alias("m")), "near-members")
+    # comp: the component by the links so far; at: distances to the first leader of each round, null where not known
+    members = materialise(members.drop("n").join(meets, "content").select("bucket", "content", "meets", F.col("content").alias("comp"), F.array().cast("array<double>").alias("at")), "near-members")
     # texts of all contents in any bucket, fetched once by the least row that has them
     wanted = contents.join(meets, "content", "left_semi").select("content", "first.doc", "first.row_digest")
     texts = source.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(wanted, ["doc", "row_digest"]).select("content", "text").dropDuplicates(["content"])
     texts = materialise(texts, "near-texts")
 
     seen_at = scratch(spark, "near-seen")
-    links = None
-    for _ in range(rounds):
-        heads = members.groupBy("bucket").agg(F.max("m").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        led = members.join(heads.drop("n"), "bucket").where("m <> head").select("bucket", F.col("head.content").alias("a"), F.col("m.content").alias("b"), "m")
-        led = materialise(led, "near-led")
-        if led.isEmpty():
+    classes = spark.createDataFrame([], "node binary, label binary")
+    leaders, turn, far = 1, 0, 1 - alike + 1e-9
+    whole = Window.partitionBy("bucket")
+    while True:
+        ranked = members.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("bucket", "comp")))
+        ranked = ranked.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole)).withColumn("most", F.max("own").over(whole)).where("low <> high")
+        # every other round those outside the largest component lead: a bucket is done when all but it have led
+        order = [F.desc(F.col("own") < F.col("most"))] if turn % 2 else []
+        nth = F.row_number().over(whole.orderBy(*order, F.desc("meets"), F.desc("content")))
+        ranked = materialise(ranked.withColumn("nth", nth).select("bucket", "content", "meets", "comp", "at", "nth"), "near-ranked")
+        if ranked.isEmpty():
             break
-        pairs = led.select("a", "b").distinct()
-        if links is not None:
+        heads = ranked.where(F.col("nth") <= leaders).select("bucket", F.col("content").alias("a"), F.col("comp").alias("a_comp"), F.col("at").alias("a_at"), F.col("nth").alias("a_nth"))
+        apart = F.exists(F.zip_with("at", "a_at", lambda x, y: F.coalesce(F.abs(x - y) > far, F.lit(False))), lambda x: x)
+        met = ranked.join(heads, "bucket").where("comp <> a_comp").where(~apart)
+        pairs = met.select(F.least("a", "content").alias("a"), F.greatest("a", "content").alias("b")).distinct()
+        if turn:
             pairs = pairs.join(spark.read.parquet(seen_at), ["a", "b"], "left_anti")
         verify(pairs, texts).withColumn("link", F.col("alike") >= alike).write.mode("append").parquet(seen_at)
         seen = spark.read.parquet(seen_at)
-        links = seen.where("link").select("a", "b")
-        members = materialise(led.join(seen.where("not link"), ["a", "b"]).select("bucket", "m"), "near-members")
+        classes = components(seen.where("link").select("a", "b"))
+        # who has led has met all of its buckets; the others get their new component and distance to the first leader
+        known = seen.select(F.col("a").alias("p"), F.col("b").alias("q"), (1 - F.col("alike")).alias("d"))
+        first_led = heads.where("a_nth = 1").select("bucket", F.col("a").alias("pivot"))
+        rest = ranked.where(F.col("nth") > leaders).drop("comp", "nth").join(first_led, "bucket").withColumn("p", F.least("pivot", "content")).withColumn("q", F.greatest("pivot", "content"))
+        rest = rest.join(known, ["p", "q"], "left").drop("p", "q")
+        for node, comp in (("content", "comp"), ("pivot", "pivot_comp")):
+            rest = rest.join(classes.select(F.col("node").alias(node), F.col("label").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
+        rest = materialise(rest.withColumn("at", F.concat("at", F.array("d"))), "near-rest")
+        nearest = rest.where("comp <> pivot_comp").groupBy("bucket").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
+        # a member of the leader's component is done if nothing outside it can be within reach
+        done = (F.col("comp") == F.col("pivot_comp")) & F.coalesce(F.col("nearest") - F.col("d") > far, F.lit(False))
+        members = rest.join(nearest, "bucket").where(~done).select("bucket", "content", "meets", "comp", "at")
+        leaders, turn = leaders * 4, turn + 1
 
-    if links is None:
-        classes = spark.createDataFrame([], "node binary, label binary")
-    else:
-        classes = components(links)
     labelled = contents.select("content", "first").join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
     best = labelled.groupBy("label").agg(F.min("first").alias("best"))
     owned = labelled.join(best, "label").select("content", "best")

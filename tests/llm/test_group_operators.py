@@ -78,6 +78,27 @@ def test_near_duplicates(docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_crowded_buckets(spark):
+    """A frequent run puts all texts in the same few buckets: twenty pairs of copies, and a chain that drifts."""
+    often = ["z"] * 300
+    rows = []
+    for i in range(20):
+        own = prose(300 + i, 50)
+        rows += [(2 * i, " ".join(often + own)), (2 * i + 1, " ".join(often + own[:40] + prose(400 + i, 10)))]
+    drift = prose(500, 160)
+    rows += [(100 + i, " ".join(often + drift[10 * i : 10 * i + 60])) for i in range(10)]
+    w = {i: weights(t) for i, t in rows}
+    assert exact(w[0], w[1]) > 0.8 and exact(w[0], w[2]) < 0.8 and exact(w[100], w[101]) > 0.8 and exact(w[100], w[109]) < 0.8
+    root = {i: i for i in w}
+    for i in w:
+        for j in w:
+            if i < j and root[i] != root[j] and exact(w[i], w[j]) >= 0.8:
+                root = {k: min(root[i], root[j]) if r in (root[i], root[j]) else r for k, r in root.items()}
+    assert len(set(root.values())) == 21
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=4, rows=1)
+    assert {r.doc_id: r.class_id for r in got.collect()} == root
+
+
 def test_signature_estimates_probability_jaccard():
     texts = [" ".join(prose(5, 300)), " ".join(changed(prose(5, 300), 9, 8)), "a b c d e " * 40 + " ".join(prose(6, 100)), "a b c d e " * 40 + " ".join(prose(7, 100))]
     folded = [t.encode() for t in map(str.strip, texts)]
