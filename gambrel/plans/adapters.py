@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of an image of walls and labels.
+IMAGE_PARTS = 10
+
+
+def image(part: Column) -> Column:
+    return F.floor(part / IMAGE_PARTS).cast("int")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,17 +70,17 @@ def region_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, axis, coord, a, b): a wall for each first line of an order."""
+    """(img, axis, coord, a, b): a wall for each line of an order; ``IMAGE_PARTS`` parts in a row share an image, so images
+    grow in number with the tables, not in size."""
     k = F.col("l_orderkey")
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
     a = (k * 53 % 500).cast("int")
-    return line.select((k % 50).cast("int").alias("img"), F.when(F.col("l_partkey") % 2 == 0, "h").otherwise("v").alias("axis"), (F.col("l_suppkey") * 17 % 600).cast("int").alias("coord"), a.alias("a"), (a + F.col("l_quantity").cast("int") * 6).alias("b")).distinct()
+    return table(spark, sf_dir, "lineitem").select(image(F.col("l_partkey")).alias("img"), F.when(F.col("l_partkey") % 2 == 0, "h").otherwise("v").alias("axis"), (F.col("l_suppkey") * 17 % 600).cast("int").alias("coord"), a.alias("a"), (a + F.col("l_quantity").cast("int") * 6).alias("b")).distinct()
 
 
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, id, cx, cy): a label for each part of small size."""
+    """(img, id, cx, cy): a label for each part, in the image of its walls."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_size <= 10").select((k % 50).cast("int").alias("img"), k.alias("id"), (k * 29 % 560).cast("double").alias("cx"), (k * 43 % 580).cast("double").alias("cy"))
+    return table(spark, sf_dir, "part").select(image(k).alias("img"), k.alias("id"), (k * 29 % 560).cast("double").alias("cx"), (k * 43 % 580).cast("double").alias("cy"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
