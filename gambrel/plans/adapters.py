@@ -20,16 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def star_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, points): 32 vertices at equal angles, of radius 1 plus an embedding's entry."""
-    turn = 2 * math.pi / 32
+def star_polygons(spark: SparkSession, sf_dir: str, vertices: int = 32) -> DataFrame:
+    """(vec_id, points): vertices at equal angles, of radius 1 plus an embedding's entry."""
+    turn = 2 * math.pi / vertices
     point = lambda e, k: F.array((1 + e.cast("double")) * F.cos(k * turn), (1 + e.cast("double")) * F.sin(k * turn))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 32), point).alias("points"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, vertices), point).alias("points"))
 
 
 def star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, pa, pb): each polygon of even number with the next."""
-    p = star_polygons(spark, sf_dir)
+    """(a, b, pa, pb): each polygon of even number with the next, a vertex for each of an embedding's 64 entries."""
+    p = star_polygons(spark, sf_dir, 64)
     left = p.where("vec_id % 2 = 0").select(F.col("vec_id").alias("a"), F.col("points").alias("pa"))
     right = p.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("points").alias("pb"))
     return left.join(right, "a").select("a", "b", "pa", "pb")

@@ -78,12 +78,12 @@ ib AS (SELECT g.a, g.k, i, sum(CASE WHEN (ay > py) <> (bby > py) AND px < (bx -
 
 @query(STAR + "," + _CELLS.format(steps=1, n=24) + "SELECT ia.a, ia.a + 1 AS b, round(CAST(sum(ia.f * ib.f) AS DOUBLE) / sum(greatest(ia.f, ib.f)), 6) AS overlap FROM ia JOIN ib ON ia.a = ib.a AND ia.i = ib.i GROUP BY ia.a")
 def g7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.star_pairs(spark, sf_dir).select("a", "b", R6(outline.overlap(F.col("pa"), F.col("pb"), 24)).alias("overlap"))
+    return A.star_pairs(spark, sf_dir).select("a", "b", R6(outline.overlap(F.col("pa"), F.col("pb"))).alias("overlap"))
 
 
 @query()
 def g8_best_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = outline.best_rotation(A.star_pairs(spark, sf_dir), ["a", "b"], "pa", "pb", steps=24, coarse=20, fine=40)
+    best = outline.best_rotation(A.star_pairs(spark, sf_dir), ["a", "b"], "pa", "pb")
     return best.select("a", "b", "angle_step", R6("overlap").alias("overlap"))
 
 
