@@ -89,8 +89,8 @@ def tokens(text: Column, some: Column) -> Column:
     def one(m: Column) -> Column:
         lead = F.char_length(F.regexp_extract(m["value"], r"^[\"'(\[{<|]*", 0))
         bare = F.regexp_replace(F.regexp_replace(m["value"], r"^[\"'(\[{<|]+", ""), r"[\"')\]}>.,;:!?|#$%&*]+$", "")
-        left = F.regexp_extract(F.lower(F.right(m["gap"], F.lit(64))), r"(?:\S+\s+)?\S+\s*$", 0)
-        left = F.regexp_replace(F.trim(F.regexp_replace(left, r"\s+", " ")), "[0-9]+", "0")
+        back = F.reverse(F.filter(F.split(F.lower(m["gap"]), r"\s+"), lambda w: w != ""))
+        left = F.regexp_replace(F.array_join(F.reverse(F.slice(back, 1, 2)), " "), "[0-9]+", "0")
         start = m["start"] + lead
         return F.struct(start.alias("start"), (start + F.char_length(bare)).alias("end"), bare.alias("value"), left.alias("left"))
 

@@ -285,3 +285,11 @@ def test_quality_on_labelled_documents(spark, sf_dir):
     assert keep_good(docs).columns == docs.columns
     assert fit(features(docs.select("text"))).prior > 0.5
 
+
+def test_contexts_of_any_width(spark):
+    from gambrel.llm.pii import detect
+
+    label = "w" * 100
+    df = spark.createDataFrame([(0, "Customer Code" + " " * 90 + "AB12345"), (1, f"the {label}\n\tAB12345"), (2, "   AB12345"), (3, "code AB12345 and CD67890")], "doc_id int, text string")
+    got = {r.doc_id: [t.left for t in r.tokens] for r in detect(df).collect()}
+    assert got == {0: ["customer code"], 1: [f"the {label}"], 2: [], 3: ["code", "and"]}
