@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gambrel.shared import materialise, scratch, shared_dir
 
-__all__ = ["bin_of", "bin_offsets", "map_rows", "materialise", "quoted", "scratch", "shared_dir", "text_of", "without"]
+__all__ = ["bin_of", "bin_offsets", "bounded", "byte_slices", "map_rows", "materialise", "quoted", "scratch", "shared_dir", "shut", "text_of", "without"]
 
-#: Rows that an Arrow map turns into Python objects at a time.
-SLICE_ROWS = 256
+#: Rows, and bytes of their longest column, that an Arrow map turns into Python objects at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
+#: Bytes of a batch on its way to Python.
+BATCH_BYTES = 8 << 20
 #: Bins that split the rows of any one key; a third of 10^10 rows makes under a million rows a bin.
 RANK_BINS = 4096
 
@@ -29,18 +33,45 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in gone])
 
 
-def map_rows(df: DataFrame, fields: StructType, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
-    """Add ``fields`` to every row. ``start()`` runs once a task and gives a function from a slice to the new arrays."""
+def shut(df: DataFrame) -> DataFrame:
+    """``df`` with all of a row once more in one column ``row``, which no name in it can clash with.
+
+    A column of that name is in the struct alone; refer to it as ``row.row``.
+    """
+    return df.select(F.struct(*map(quoted, df.columns)).alias("row"), *[quoted(c) for c in df.columns if c.lower() != "row"])
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Keep batches of texts on their way to Python at BATCH_BYTES or a row, which bounds a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], col: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of at most ``rows`` rows whose column ``col`` holds at most ``size`` bytes, or one row."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(lengths, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def map_rows(df: DataFrame, fields: StructType, start: Callable[[], Callable[[pa.RecordBatch], list]], longest: str) -> DataFrame:
+    """Add ``fields`` to every row. ``start()`` runs once a task and gives a function from a slice to the new arrays.
+
+    ``longest``: the column of texts whose bytes bound a slice.
+    """
     base = without(df, fields.names)
     schema = StructType([*base.schema.fields, *fields.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                new = work(part)
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+        for part in byte_slices(batches, base.columns.index(longest)):
+            yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=schema.names)
 
     return base.mapInArrow(run, schema)
 

@@ -121,7 +121,7 @@ def _pass(df: DataFrame, items: list[tuple], text_col: str, n: int) -> DataFrame
     carried_in = ["__prior_spans", "__prior_items"]
     if not first:
         df = df.withColumnsRenamed(dict(zip(carried, carried_in)))
-    out = map_rows(df, _CARRY, start)
+    out = map_rows(df, _CARRY, start, text_col)
     return out if first else out.drop(*carried_in)
 
 
@@ -169,4 +169,4 @@ def decontaminate(
 
         return work
 
-    return map_rows(out, ADDED, start).drop(*_CARRY.fieldNames())
+    return map_rows(out, ADDED, start, text_col).drop(*_CARRY.fieldNames())

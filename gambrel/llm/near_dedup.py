@@ -9,15 +9,14 @@ Bands of equal registers name candidates; candidates are verified on their whole
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from gambrel.llm.common import materialise, quoted, scratch, without
+from gambrel.llm.common import byte_slices, materialise, quoted, scratch, shut
 from gambrel.llm.decontamination import words_of
 from gambrel.llm.substring_dedup import _mix, window_hashes, word_hashes
 from gambrel.operators.components import components
@@ -25,8 +24,14 @@ from gambrel.operators.components import components
 SHINGLE, ALIKE = 5, 0.8
 #: 25 bands of 5: a pair of similarity 0.8 shares none with a chance of 5 in 100,000.
 BANDS, ROWS = 25, 5
-#: Documents whose signatures are made together.
-BLOCK = 2048
+#: Rows and bytes of text whose signatures are made together.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 2 << 20
+#: Members of a bucket for which one copy of a leader's features is sent; members ranked in one task.
+MEMBERS_A_COPY, MEMBERS_A_TASK = 256, 4096
+#: Rows of runs that a task sends at a time.
+ROWS_OUT = 1 << 16
+#: Leaders of a bucket in its first, second, ... round; the last is repeated.
+LEADERS = (1, 2, 16, 128, 1024)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LAST = (1 << 63) - 1
 
@@ -97,8 +102,10 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     if not len(x):
         return 0.0
     only_x, only_y = ca.sum() - x.sum(), cb.sum() - y.sum()
-    pairs, times = np.unique(np.stack((x, y)), axis=1, return_counts=True)
-    px, py = pairs
+    if x.max() == y.max() == 1:  # all shared runs weigh alike
+        return float(len(x) / (len(x) + only_x + only_y))
+    codes, times = np.unique(x + 1j * y, return_counts=True)
+    px, py = codes.real, codes.imag
     below = np.maximum(px[None, :] / px[:, None], py[None, :] / py[:, None]) @ times + only_x / px + only_y / py
     return float((times / below).sum())
 
@@ -111,56 +118,160 @@ def sign(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                some = batch.slice(k, BLOCK)
-                words = [words_of(t) for t in some.column(2).to_pylist()]
-                folded = [b" ".join(w) for w in words]
-                content = [xxhash.xxh3_128_digest(f) if f else None for f in folded]
-                seen: dict[bytes, int] = {}
-                which = [seen.setdefault(f, len(seen)) for f in folded]  # equal texts of a block are signed once
-                texts = list(seen)
-                found = shingles(texts, [t.count(b" ") + 1 if t else 0 for t in texts])
-                made = bands_of(signatures(*found, len(texts), bands * per_band), bands, per_band).view(np.int64)[which]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(folded) + 1, dtype=np.int32) * bands), pa.array(made.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(content, pa.binary()), lists], names=_SIGNED.names)
+        for some in byte_slices(batches, 2, BLOCK_ROWS, BLOCK_BYTES):
+            folded = [b" ".join(words_of(t)) for t in some.column(2).to_pylist()]
+            content = [xxhash.xxh3_128_digest(f) if f else None for f in folded]
+            seen: dict[bytes, int] = {}
+            which = [seen.setdefault(f, len(seen)) for f in folded]  # equal texts of a block are signed once
+            texts = list(seen)
+            found = shingles(texts, [t.count(b" ") + 1 if t else 0 for t in texts])
+            made = bands_of(signatures(*found, len(texts), bands * per_band), bands, per_band).view(np.int64)[which]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(folded) + 1, dtype=np.int32) * bands), pa.array(made.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(content, pa.binary()), lists], names=_SIGNED.names)
 
     return rows.mapInArrow(run, _SIGNED)
 
 
-@lru_cache(maxsize=64)
-def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    words = words_of(text)
-    _, h, c = shingles([b" ".join(words)], [len(words)])
-    return h, c
+def packed_features(texts: DataFrame) -> DataFrame:
+    """(content, text) to (content, runs, counts): the sorted hashes of the runs and their counts, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in byte_slices(batches, 1, BLOCK_ROWS, BLOCK_BYTES):
+            words = [words_of(t) for t in some.column(1).to_pylist()]
+            d, h, c = shingles([b" ".join(w) for w in words], [len(w) for w in words])
+            at = np.searchsorted(d, np.arange(len(words) + 1)).tolist()
+            h, c = h.astype("<u8"), c.astype("<u4")
+            cols = [[x[i:j].tobytes() for i, j in zip(at, at[1:])] for x in (h, c)]
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(x, pa.binary()) for x in cols)], names=["content", "runs", "counts"])
+
+    return texts.mapInArrow(run, "content binary, runs binary, counts binary")
+
 
+def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(leader, member, n, ...) with the probability Jaccard similarity of the whole texts as ``alike``.
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) to (a, b, alike): the probability Jaccard similarity of the whole texts."""
+    ``n`` says how many members the leader may meet. A copy of its features goes to every MEMBERS_A_COPY of them, so the
+    pairs of one leader are spread over tasks; a member meets at most a round's leaders of its buckets.
+    """
+    keep = [c for c in pairs.columns if c != "n"]
+    schema = StructType([*pairs.select(*keep).schema.fields, StructField("alike", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            alike = [probability_jaccard(_features(left[i].as_py()), _features(right[i].as_py())) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], names=["a", "b", "alike"])
+            alike = []
+            for row in zip(*batch.columns[-4:]):
+                rx, cx, ry, cy = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<u8", "<u4", "<u8", "<u4")))
+                alike.append(probability_jaccard((rx, cx), (ry, cy)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(alike, pa.float64())], names=schema.names)
+
+    copies = lambda n: F.ceil(n / MEMBERS_A_COPY).cast("int")
+    dealt = pairs.withColumn("copy", F.pmod(F.xxhash64("member"), copies(F.col("n"))).cast("int"))
+    led = pairs.groupBy("leader").agg(F.max("n").alias("n")).select("leader", F.explode(F.sequence(F.lit(0), copies(F.col("n")) - 1)).alias("copy"))
+    led = led.join(features.select(F.col("content").alias("leader"), F.col("runs").alias("runs_a"), F.col("counts").alias("counts_a")), "leader")
+    own = features.select(F.col("content").alias("member"), F.col("runs").alias("runs_b"), F.col("counts").alias("counts_b"))
+    both = dealt.join(own, "member").join(led, ["leader", "copy"])
+    return both.select(*keep, "runs_a", "counts_a", "runs_b", "counts_b").mapInArrow(run, schema)
+
+
+def leaders_of(members: DataFrame, most: int, order: list[Column]) -> DataFrame:
+    """The first ``most`` members of each bucket in ``order``, and which is the first; ranked in cells of a bounded size."""
+    cells = members.withColumn("cell", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / MEMBERS_A_TASK)))
+    cells = cells.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "cell").orderBy(*order))).where(F.col("nth") <= most)
+    return cells.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("nth") <= most).drop("cell")
+
+
+def rare_runs(features: DataFrame, alike: float) -> DataFrame:
+    """(bucket, content, odds): of each content its rarest runs, with the odds u / (1 - u) of the share u of rarer ones.
+
+    Where contents share none of runs that weigh u of the one and v of the other, their similarity is at most
+    1 / (1 + u / (1 - u) + v / (1 - v)). So alike contents share a run before which, in the common order (runs in fewer
+    contents first), their odds add up to 1 / alike - 1 at most: one bucket at least holds both with such odds. Runs of
+    one content alone are left out after they were weighed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, runs, counts in zip(*batch.columns):
+                h, c = np.frombuffer(runs.as_buffer(), "<i8"), np.frombuffer(counts.as_buffer(), "<u4")
+                for k in range(0, len(h), ROWS_OUT):
+                    part = h[k : k + ROWS_OUT]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(content, len(part)), pa.array(part), pa.array(c[k : k + ROWS_OUT] / c.sum())], names=["content", "bucket", "share"])
+
+    runs = materialise(features.select("content", "runs", "counts").mapInArrow(run, "content binary, bucket long, share double"), "near-runs")
+    held = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    weighed = runs.join(held, "bucket", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    rarer = Window.partitionBy("content").orderBy("held", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rare = weighed.withColumn("rarer", F.coalesce(F.sum("share").over(rarer), F.lit(0.0)))
+    rare = rare.where((F.col("rarer") <= 1 - alike + 1e-9) & (F.col("held") > 1))
+    return rare.select("bucket", "content", (F.col("rarer") / (1 - F.col("rarer"))).alias("odds"))
 
-    both = pairs.join(texts.select(F.col("content").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("content").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, alike double")
+
+def relabel(df: DataFrame, col: str, grown: DataFrame) -> DataFrame:
+    return df.join(grown.select(F.col("node").alias(col), F.col("label").alias("further")), col, "left").withColumn(col, F.coalesce("further", col)).drop("further")
+
+
+def opened(members: DataFrame, most: float) -> DataFrame:
+    """Those of ``members`` (bucket, content, meets, odds, comp) that may still be linked in their bucket: another
+    component has one whose odds and their own add up to ``most`` or less. Adds the bucket's size and largest component.
+    """
+    sides = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("own"), F.min("odds").alias("low"))
+    first = sides.groupBy("bucket").agg(F.sum("own").alias("n"), F.max(F.struct("own", "comp"))["comp"].alias("big"), F.min(F.struct("low", "comp")).alias("least"))
+    second = sides.join(first.select("bucket", "least"), "bucket").where(F.col("comp") != F.col("least.comp")).groupBy("bucket").agg(F.min("low").alias("other"))
+    near = F.when(F.col("comp") == F.col("least.comp"), F.col("other")).otherwise(F.col("least.low"))
+    return materialise(members.join(first.join(second, "bucket"), "bucket").where(F.col("odds") + near <= most).drop("least", "other"), "near-open")
+
+
+def join_buckets(members: DataFrame, nodes: DataFrame, features: DataFrame, alike: float) -> DataFrame:
+    """(content, comp) for the contents of ``nodes``: their component by the links of all buckets.
+
+    ``members`` (bucket, content, meets). In the first round one leader of each bucket meets the others, and contents that
+    copy it join. Those in buckets that hold several components then are dealt to buckets of their rarest runs, where more
+    leaders meet them, round by round, until no bucket holds two that may be linked and are not in one component.
+    """
+    spark = members.sparkSession
+    turn, met_at, most = 0, [], 1 / alike - 1 + 1e-9
+    members = opened(members.withColumns({"comp": F.col("content"), "odds": F.lit(0.0)}), most)
+    while not members.isEmpty():
+        # every other round those outside the largest component lead
+        order = [*([F.desc(F.col("comp") != F.col("big"))] if turn % 2 else []), "odds", F.desc("meets"), F.desc("content")]
+        heads = materialise(leaders_of(members, LEADERS[min(turn, len(LEADERS) - 1)], order).select("bucket", "content", "comp", "odds"), "near-heads")
+        led = heads.select("bucket", F.col("content").alias("a"), F.col("comp").alias("a_comp"), F.col("odds").alias("a_odds"))
+        met = members.join(led, "bucket").where("comp <> a_comp").where(F.col("odds") + F.col("a_odds") <= most)
+        # a pair of two leaders, or of several buckets, is met once, under the leader of the larger bucket
+        leads = F.struct("n", F.col("a").alias("leader"), F.col("content").alias("member"), F.col("a_comp").alias("leader_comp"), F.col("comp").alias("member_comp"))
+        pairs = met.groupBy(F.least("a", "content").alias("p"), F.greatest("a", "content").alias("q")).agg(F.max(leads).alias("top")).select("p", "q", "top.*")
+        if met_at:
+            pairs = pairs.join(spark.read.parquet(*met_at), ["p", "q"], "left_anti")
+        met_at.append(scratch(spark, "near-met"))
+        verify(materialise(pairs, "near-pairs"), features).write.parquet(met_at[-1])
+        links = spark.read.parquet(met_at[-1]).where(F.col("alike") >= alike).select(F.col("leader_comp").alias("a"), F.col("member_comp").alias("b"))
+        # who has led has met all of its bucket
+        rest = members.join(heads.select("bucket", "content"), ["bucket", "content"], "left_anti").select("bucket", "content", "meets", "odds", "comp")
+        if not links.isEmpty():
+            grown = components(links)
+            nodes = materialise(relabel(nodes, "comp", grown), "near-nodes")
+            rest = relabel(rest, "comp", grown)
+        members = opened(rest, most)
+        if turn == 0:
+            left = members.groupBy("content").agg(F.max("meets").alias("meets"))
+            rare = rare_runs(features.join(left, "content", "left_semi"), alike)
+            members = opened(rare.join(left.join(nodes, "content"), "content"), most)
+        turn += 1
+    return nodes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, row_digest (md5 of the text), class_id (the least id of its class), kept.
 
     Texts with the same folded words are one content; contents are linked where their similarity is ``alike`` or more,
-    and a class is a connected component of links. In a bucket of equal bands leaders are compared with all others, in
-    rounds of 1, 4, 16 and so on, until no bucket holds two members that may still have to be joined. Pairs already in one
-    component are skipped; so are pairs that a leader of their bucket keeps apart by the triangle inequality (one less the
-    similarity is a metric). A bucket so loses no link that joins classes, however many clusters it has.
+    and a class is a connected component of links. In a bucket of equal bands one leader is compared with all others; what
+    is not in one component then is compared further, wherever a pair shares one of its rarest runs, as alike pairs must.
+    Pairs already in one component are skipped. A bucket so loses no link that joins classes, however many clusters it has.
 
     Documents without words (null, empty) are classes of their own. ``kept`` is true for the least (doc_id, row_digest)
-    of a class, null ids last; rows equal in both are repeats of one document. An empty table gives no rows.
+    of a class, null ids last; rows equal in both are repeats of one document. Texts are taken whole, however long; a task
+    holds BLOCK_BYTES of them, or one. Other columns are not returned. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     source = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit("")))).alias("row_digest"), quoted(text_col).alias("text"))
     signed = materialise(sign(source, bands, rows), "near-signed")
     first = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "row_digest")
@@ -171,50 +282,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(banded.join(sizes, "bucket"), "near-members")
     # the content that meets most others leads: of a text and its copies, the text
     meets = members.groupBy("content").agg(F.sum("n").alias("meets"))
-    # comp: the component by the links so far; at: distances to the first leader of each round, null where not known
-    members = materialise(members.drop("n").join(meets, "content").select("bucket", "content", "meets", F.col("content").alias("comp"), F.array().cast("array<double>").alias("at")), "near-members")
-    # texts of all contents in any bucket, fetched once by the least row that has them
+    members = materialise(members.drop("n").join(meets, "content"), "near-members")
+    # the texts of all contents in any bucket, each from the least row that has it, become features once
     wanted = contents.join(meets, "content", "left_semi").select("content", "first.doc", "first.row_digest")
-    texts = source.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(wanted, ["doc", "row_digest"]).select("content", "text").dropDuplicates(["content"])
-    texts = materialise(texts, "near-texts")
-
-    seen_at = scratch(spark, "near-seen")
-    classes = spark.createDataFrame([], "node binary, label binary")
-    leaders, turn, far = 1, 0, 1 - alike + 1e-9
-    whole = Window.partitionBy("bucket")
-    while True:
-        ranked = members.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("bucket", "comp")))
-        ranked = ranked.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole)).withColumn("most", F.max("own").over(whole)).where("low <> high")
-        # every other round those outside the largest component lead: a bucket is done when all but it have led
-        order = [F.desc(F.col("own") < F.col("most"))] if turn % 2 else []
-        nth = F.row_number().over(whole.orderBy(*order, F.desc("meets"), F.desc("content")))
-        ranked = materialise(ranked.withColumn("nth", nth).select("bucket", "content", "meets", "comp", "at", "nth"), "near-ranked")
-        if ranked.isEmpty():
-            break
-        heads = ranked.where(F.col("nth") <= leaders).select("bucket", F.col("content").alias("a"), F.col("comp").alias("a_comp"), F.col("at").alias("a_at"), F.col("nth").alias("a_nth"))
-        apart = F.exists(F.zip_with("at", "a_at", lambda x, y: F.coalesce(F.abs(x - y) > far, F.lit(False))), lambda x: x)
-        met = ranked.join(heads, "bucket").where("comp <> a_comp").where(~apart)
-        pairs = met.select(F.least("a", "content").alias("a"), F.greatest("a", "content").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(spark.read.parquet(seen_at), ["a", "b"], "left_anti")
-        verify(pairs, texts).withColumn("link", F.col("alike") >= alike).write.mode("append").parquet(seen_at)
-        seen = spark.read.parquet(seen_at)
-        classes = components(seen.where("link").select("a", "b"))
-        # who has led has met all of its buckets; the others get their new component and distance to the first leader
-        known = seen.select(F.col("a").alias("p"), F.col("b").alias("q"), (1 - F.col("alike")).alias("d"))
-        first_led = heads.where("a_nth = 1").select("bucket", F.col("a").alias("pivot"))
-        rest = ranked.where(F.col("nth") > leaders).drop("comp", "nth").join(first_led, "bucket").withColumn("p", F.least("pivot", "content")).withColumn("q", F.greatest("pivot", "content"))
-        rest = rest.join(known, ["p", "q"], "left").drop("p", "q")
-        for node, comp in (("content", "comp"), ("pivot", "pivot_comp")):
-            rest = rest.join(classes.select(F.col("node").alias(node), F.col("label").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
-        rest = materialise(rest.withColumn("at", F.concat("at", F.array("d"))), "near-rest")
-        nearest = rest.where("comp <> pivot_comp").groupBy("bucket").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("nearest"))
-        # a member of the leader's component is done if nothing outside it can be within reach
-        done = (F.col("comp") == F.col("pivot_comp")) & F.coalesce(F.col("nearest") - F.col("d") > far, F.lit(False))
-        members = rest.join(nearest, "bucket").where(~done).select("bucket", "content", "meets", "comp", "at")
-        leaders, turn = leaders * 4, turn + 1
-
-    labelled = contents.select("content", "first").join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
+    texts = source.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(wanted, ["doc", "row_digest"]).dropDuplicates(["doc", "row_digest"])
+    features = materialise(packed_features(texts.select("content", "text")), "near-features")
+    classes = join_buckets(members, meets.select("content", F.col("content").alias("comp")), features, alike)
+
+    labelled = contents.select("content", "first").join(classes, "content", "left").withColumn("label", F.coalesce("comp", "content"))
     best = labelled.groupBy("label").agg(F.min("first").alias("best"))
     owned = labelled.join(best, "label").select("content", "best")
     full = signed.select("doc_id", "row_digest", "content").join(owned, "content", "left")
@@ -224,7 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents less all but the first of each class; repeated rows count once. Columns stay as they are."""
-    kept = near_duplicates(docs, id_col, text_col, **settings).where("kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("__doc"), F.col("row_digest").alias("__digest")).distinct()
-    keyed = without(docs, ["__doc", "__digest"]).withColumn("__doc", F.coalesce(quoted(id_col).cast("long"), F.lit(_LAST))).withColumn("__digest", F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit("")))))
-    return keyed.join(kept, ["__doc", "__digest"], "left_semi").dropDuplicates(["__doc", "__digest"]).drop("__doc", "__digest")
+    """The documents less all but the first of each class; repeated rows count once. All columns stay as they are,
+    whatever their names: a row travels as one struct.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **settings).where("kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.col("row_digest").alias("digest")).distinct()
+    keyed = shut(docs).select("row", F.coalesce(quoted(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit("")))).alias("digest"))
+    return keyed.join(kept, ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"]).select("row.*")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gambrel.llm.common import SLICE_ROWS, materialise, quoted
+from gambrel.llm.common import byte_slices, materialise, quoted
 from gambrel.llm.encoding import encoder, widen
 
 #: Partitions whose open windows one merge task takes; times the open windows, a bound on its rows' windows.
@@ -151,13 +151,12 @@ def pack(
                 names=[f.split()[0] for f in PIECES.split(", ")],
             )
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                some, rows = batch.slice(k, SLICE_ROWS), []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    rows += packer.add(doc, widen(enc.encode(text or "") + end, enc.width))
-                if rows:
-                    yield made(rows)
+        for some in byte_slices(batches, 1):
+            rows = []
+            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                rows += packer.add(doc, widen(enc.encode(text or "") + end, enc.width))
+            if rows:
+                yield made(rows)
         if rows := list(packer.end()):
             yield made(rows)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gambrel.llm.common import map_rows, quoted, text_of, without
+from gambrel.llm.common import byte_slices, map_rows, quoted, text_of, without
 
 #: Packed bytes that a part aims at, packed bytes a task gathers before it sends, and bytes hashed at a time.
 PART_BYTES, SEND_BYTES, HASH_BYTES = 16 << 20, 24 << 20, 1 << 20
@@ -203,13 +203,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slots = min(1 << 20, max(4096, 1 << (8 * parts - 1).bit_length()))
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, bytes, list[int]]]:
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                some = batch.slice(at, 256)
-                at += 256
-                texts = text_of(some, "text")
-                yield [d if d is not None else _LAST for d in some.column(0).to_pylist()], texts, *_canonical(texts)
+        for some in byte_slices(batches, 1):
+            texts = text_of(some, "text")
+            yield [d if d is not None else _LAST for d in some.column(0).to_pylist()], texts, *_canonical(texts)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
@@ -303,5 +299,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return work
 
-    out = map_rows(joined, ADDED, start)
+    out = map_rows(joined, ADDED, start, text_col)
     return out.select(*[quoted(c) for c in keyed.columns if c not in ("__doc", "__crc")], *ADDED.fieldNames())

@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text_col: str = "t
 
         return work
 
-    counted = map_rows(missing, StructType([StructField("__n", LongType())]), start)
+    counted = map_rows(missing, StructType([StructField("__n", LongType())]), start, "__content")
     counted.select(F.lit(version).alias("tokenizer"), F.col("__digest").alias("digest"), F.col("__n").alias("n_tokens")).write.mode("append").parquet(cache)
     full = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens"))
     sized = keyed.withColumn("n_bytes", F.octet_length(F.coalesce(text, F.lit(""))).cast("long")).drop("__content")

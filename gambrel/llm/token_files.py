@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from gambrel.llm.common import SLICE_ROWS, materialise, quoted, scratch
+from gambrel.llm.common import SLICE_ROWS, byte_slices, materialise, quoted, scratch
 from gambrel.llm.encoding import encoder
 from gambrel.llm.store import make_dir, open_fs
 
@@ -133,14 +133,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
         part = TaskContext.get().partitionId()
         fs, at = open_fs(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst")
         out = None
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                some = batch.slice(k, SLICE_ROWS)
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    if out is None:
-                        out = fs.open_output_stream(at, compression=None)
-                        file = FileWriter(out, enc.width)
-                    file.add(doc, enc.encode(text or "") + end)
+        for some in byte_slices(batches, 1):
+            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                if out is None:
+                    out = fs.open_output_stream(at, compression=None)
+                    file = FileWriter(out, enc.width)
+                file.add(doc, enc.encode(text or "") + end)
         if out is not None:
             file.finish()
             out.close()

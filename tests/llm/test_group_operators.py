@@ -64,7 +64,7 @@ def test_near_duplicates(docs):
 
     for i in range(len(rows)):
         for j in range(i):
-            if w[i] and w[j] and (w[i] == w[j] or exact(w[i], w[j]) >= 0.8):
+            if w[i] and w[j] and top(i) != top(j) and (w[i] == w[j] or exact(w[i], w[j]) >= 0.8):
                 root[top(i)] = top(j)
     least = defaultdict(lambda: 1 << 63)
     for i, (d, _) in enumerate(rows):
@@ -72,8 +72,9 @@ def test_near_duplicates(docs):
     want = Counter((d, least[top(i)]) for i, (d, _) in enumerate(rows))
     got = near_duplicates(docs).collect()
     assert Counter((r.doc_id if r.doc_id is not None else 1 << 62, r.class_id) for r in got) == want
-    kept = deduplicate(docs)
-    assert kept.columns == docs.columns
+    clash = docs.withColumnsRenamed({"class_id": "row"}).selectExpr("*", "1 as doc", "2 as digest", "3 as __doc")
+    kept = deduplicate(clash)
+    assert kept.columns == clash.columns and {tuple(r) for r in kept.select("row", "doc", "digest", "__doc").collect()} == {("c", 1, 2, 3)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert near_duplicates(docs.limit(0)).count() == 0
 
@@ -99,6 +100,35 @@ def test_near_duplicates_of_crowded_buckets(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == root
 
 
+def test_near_duplicates_in_one_bucket_of_many(spark):
+    """Pairs at 0.83 among texts that all are 0.77 alike: none may be lost, however many share a bucket."""
+    often, rows = prose(600, 348), []
+    for i in range(150):
+        own = prose(700 + i, 52)
+        rows += [(2 * i, " ".join(often + own)), (2 * i + 1, " ".join(often + own[:15] + prose(900 + i, 37)))]
+    d, h, c = shingles([t.encode() for _, t in rows], [400] * len(rows))
+    w = [(h[d == i], c[d == i]) for i in range(len(rows))]
+    alike = [(i, j) for i in range(300) for j in range(i) if probability_jaccard(w[i], w[j]) >= 0.8]
+    assert len(alike) == 150 and abs(probability_jaccard(w[0], w[1]) - exact(weights(rows[0][1]), weights(rows[1][1]))) < 1e-9
+    want = {i: i for i in range(300)}
+    for i, j in alike:
+        want = {k: min(want[i], want[j]) if v in (want[i], want[j]) else v for k, v in want.items()}
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=4, rows=1)
+    assert {r.doc_id: r.class_id for r in got.collect()} == want
+
+
+def test_odds_bound_the_similarity():
+    """Whatever two multisets share, the odds of what they do not share bound their similarity."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        pair = []
+        for side in (0, 1):
+            shared, own = r.integers(1, 9, 12), r.integers(1, 9, r.integers(1, 8))
+            pair.append((np.concatenate((np.arange(12), 100 * (side + 1) + np.arange(len(own)))).astype(np.uint64), np.concatenate((shared, own))))
+        odds = [c[12:].sum() / c[:12].sum() for _, c in pair]
+        assert probability_jaccard(*pair) <= 1 / (1 + sum(odds)) + 1e-12
+
+
 def test_signature_estimates_probability_jaccard():
     texts = [" ".join(prose(5, 300)), " ".join(changed(prose(5, 300), 9, 8)), "a b c d e " * 40 + " ".join(prose(6, 100)), "a b c d e " * 40 + " ".join(prose(7, 100))]
     folded = [t.encode() for t in map(str.strip, texts)]
