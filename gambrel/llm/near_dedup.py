@@ -148,36 +148,34 @@ def packed_features(texts: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """(leader, member, n, ...) with the probability Jaccard similarity of the whole texts as ``alike``.
+    """(p, q, leader, member, n, leader_comp, member_comp) with the probability Jaccard similarity of the whole texts.
 
-    ``n`` says how many members the leader may meet. A copy of its features goes to every MEMBERS_A_COPY of them, so the
-    pairs of one leader are spread over tasks; a member meets at most a round's leaders of its buckets.
+    ``n`` says how many members the leader may meet. A copy of its features goes to every MEMBERS_A_COPY of them, ahead of
+    the members, so the pairs of one leader are spread over tasks and its features are sent once a copy.
     """
-    keep = [c for c in pairs.columns if c != "n"]
-    schema = StructType([*pairs.select(*keep).schema.fields, StructField("alike", DoubleType())])
+    copies = F.ceil(F.col("n") / MEMBERS_A_COPY).cast("int")
+    led = pairs.groupBy("leader").agg(F.max("n").alias("n")).select("leader", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    led = led.join(features.withColumnRenamed("content", "leader"), "leader")
+    told = pairs.withColumn("copy", F.pmod(F.xxhash64("member"), copies).cast("int")).drop("n").join(features.withColumnRenamed("content", "member"), "member")
+    ahead = led.select("leader", "copy", *[F.lit(None).cast("binary").alias(c) for c in ("member", "p", "q", "leader_comp", "member_comp")], "runs", "counts")
+    both = ahead.unionByName(told).repartition("leader", "copy").sortWithinPartitions("leader", "copy", F.col("member").asc_nulls_first())
+    both = both.select("p", "q", "leader_comp", "member_comp", "leader", "member", "runs", "counts")
+    schema = StructType([*both.select("p", "q", "leader_comp", "member_comp").schema.fields, StructField("alike", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
         for batch in batches:
             alike = []
-            for row in zip(*batch.columns[-4:]):
-                rx, cx, ry, cy = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<u8", "<u4", "<u8", "<u4")))
-                alike.append(probability_jaccard((rx, cx), (ry, cy)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(alike, pa.float64())], names=schema.names)
+            for leader, member, runs, counts in zip(*batch.columns[4:]):
+                own = np.frombuffer(runs.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4")
+                if member.is_valid:
+                    alike.append(probability_jaccard(head, own))
+                else:
+                    head = tuple(x.copy() for x in own)
+            pairs = batch.filter(batch.column(5).is_valid())
+            yield pa.RecordBatch.from_arrays([*pairs.columns[:4], pa.array(alike, pa.float64())], names=schema.names)
 
-    copies = lambda n: F.ceil(n / MEMBERS_A_COPY).cast("int")
-    dealt = pairs.withColumn("copy", F.pmod(F.xxhash64("member"), copies(F.col("n"))).cast("int"))
-    led = pairs.groupBy("leader").agg(F.max("n").alias("n")).select("leader", F.explode(F.sequence(F.lit(0), copies(F.col("n")) - 1)).alias("copy"))
-    led = led.join(features.select(F.col("content").alias("leader"), F.col("runs").alias("runs_a"), F.col("counts").alias("counts_a")), "leader")
-    own = features.select(F.col("content").alias("member"), F.col("runs").alias("runs_b"), F.col("counts").alias("counts_b"))
-    both = dealt.join(own, "member").join(led, ["leader", "copy"])
-    return both.select(*keep, "runs_a", "counts_a", "runs_b", "counts_b").mapInArrow(run, schema)
-
-
-def leaders_of(members: DataFrame, most: int, order: list[Column]) -> DataFrame:
-    """The first ``most`` members of each bucket in ``order``, and which is the first; ranked in cells of a bounded size."""
-    cells = members.withColumn("cell", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / MEMBERS_A_TASK)))
-    cells = cells.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "cell").orderBy(*order))).where(F.col("nth") <= most)
-    return cells.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("nth") <= most).drop("cell")
+    return both.mapInArrow(run, schema)
 
 
 def rare_runs(features: DataFrame, alike: float) -> DataFrame:
@@ -211,14 +209,34 @@ def relabel(df: DataFrame, col: str, grown: DataFrame) -> DataFrame:
 
 
 def opened(members: DataFrame, most: float) -> DataFrame:
-    """Those of ``members`` (bucket, content, meets, odds, comp) that may still be linked in their bucket: another
-    component has one whose odds and their own add up to ``most`` or less. Adds the bucket's size and largest component.
+    """Those of ``members`` (bucket, content, meets, odds, comp) that may still be linked in their bucket: it has several
+    components, and the least odds in it and their own add up to ``most`` or less. Adds the bucket's size and the
+    component of its most central member.
+    """
+    sides = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("odds").alias("low"), F.max(F.struct("meets", "content", "comp"))["comp"].alias("big"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+    sides = sides.where("one <> other").drop("one", "other")
+    return materialise(members.join(sides, "bucket").where(F.col("odds") + F.col("low") <= most).drop("low"), "near-open")
+
+
+def led_pairs(members: DataFrame, leaders: int, order: list[Column], most: float, largest: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs that the first ``leaders`` of each bucket lead, each once, and the members that have not led.
+
+    Buckets beyond MEMBERS_A_TASK are ranked in cells of that size first.
     """
-    sides = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("own"), F.min("odds").alias("low"))
-    first = sides.groupBy("bucket").agg(F.sum("own").alias("n"), F.max(F.struct("own", "comp"))["comp"].alias("big"), F.min(F.struct("low", "comp")).alias("least"))
-    second = sides.join(first.select("bucket", "least"), "bucket").where(F.col("comp") != F.col("least.comp")).groupBy("bucket").agg(F.min("low").alias("other"))
-    near = F.when(F.col("comp") == F.col("least.comp"), F.col("other")).otherwise(F.col("least.low"))
-    return materialise(members.join(first.join(second, "bucket"), "bucket").where(F.col("odds") + near <= most).drop("least", "other"), "near-open")
+    ranked = members
+    if largest > MEMBERS_A_TASK:
+        cells = members.withColumn("cell", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / MEMBERS_A_TASK)))
+        cells = cells.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "cell").orderBy(*order))).drop("cell")
+        first = cells.where(F.col("nth") <= leaders).withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("nth") <= leaders)
+        ranked = members.join(first.select("bucket", "content", "nth"), ["bucket", "content"], "left").withColumn("nth", F.coalesce("nth", F.lit(leaders + 1)))
+    else:
+        ranked = members.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+    heads = ranked.where(F.col("nth") <= leaders).select("bucket", F.col("content").alias("a"), F.col("comp").alias("a_comp"), F.col("odds").alias("a_odds"))
+    met = ranked.join(heads, "bucket").where("comp <> a_comp").where(F.col("odds") + F.col("a_odds") <= most)
+    # a pair of two leaders, or of several buckets, is met once, under the leader of the larger bucket
+    leads = F.struct("n", F.col("a").alias("leader"), F.col("content").alias("member"), F.col("a_comp").alias("leader_comp"), F.col("comp").alias("member_comp"))
+    pairs = met.groupBy(F.least("a", "content").alias("p"), F.greatest("a", "content").alias("q")).agg(F.max(leads).alias("top")).select("p", "q", "top.*")
+    return pairs, ranked.where(F.col("nth") > leaders).select("bucket", "content", "meets", "odds", "comp")
 
 
 def join_buckets(members: DataFrame, nodes: DataFrame, features: DataFrame, alike: float) -> DataFrame:
@@ -231,31 +249,24 @@ def join_buckets(members: DataFrame, nodes: DataFrame, features: DataFrame, alik
     spark = members.sparkSession
     turn, met_at, most = 0, [], 1 / alike - 1 + 1e-9
     members = opened(members.withColumns({"comp": F.col("content"), "odds": F.lit(0.0)}), most)
-    while not members.isEmpty():
-        # every other round those outside the largest component lead
+    while largest := members.agg(F.max("n")).first()[0]:
+        # every other round those outside the most central member's component lead
         order = [*([F.desc(F.col("comp") != F.col("big"))] if turn % 2 else []), "odds", F.desc("meets"), F.desc("content")]
-        heads = materialise(leaders_of(members, LEADERS[min(turn, len(LEADERS) - 1)], order).select("bucket", "content", "comp", "odds"), "near-heads")
-        led = heads.select("bucket", F.col("content").alias("a"), F.col("comp").alias("a_comp"), F.col("odds").alias("a_odds"))
-        met = members.join(led, "bucket").where("comp <> a_comp").where(F.col("odds") + F.col("a_odds") <= most)
-        # a pair of two leaders, or of several buckets, is met once, under the leader of the larger bucket
-        leads = F.struct("n", F.col("a").alias("leader"), F.col("content").alias("member"), F.col("a_comp").alias("leader_comp"), F.col("comp").alias("member_comp"))
-        pairs = met.groupBy(F.least("a", "content").alias("p"), F.greatest("a", "content").alias("q")).agg(F.max(leads).alias("top")).select("p", "q", "top.*")
+        pairs, rest = led_pairs(members, LEADERS[min(turn, len(LEADERS) - 1)], order, most, largest)
         if met_at:
-            pairs = pairs.join(spark.read.parquet(*met_at), ["p", "q"], "left_anti")
+            pairs = pairs.join(spark.read.parquet(*met_at).select("p", "q"), ["p", "q"], "left_anti")
         met_at.append(scratch(spark, "near-met"))
         verify(materialise(pairs, "near-pairs"), features).write.parquet(met_at[-1])
         links = spark.read.parquet(met_at[-1]).where(F.col("alike") >= alike).select(F.col("leader_comp").alias("a"), F.col("member_comp").alias("b"))
-        # who has led has met all of its bucket
-        rest = members.join(heads.select("bucket", "content"), ["bucket", "content"], "left_anti").select("bucket", "content", "meets", "odds", "comp")
         if not links.isEmpty():
             grown = components(links)
             nodes = materialise(relabel(nodes, "comp", grown), "near-nodes")
             rest = relabel(rest, "comp", grown)
-        members = opened(rest, most)
         if turn == 0:
-            left = members.groupBy("content").agg(F.max("meets").alias("meets"))
+            left = opened(rest, most).groupBy("content").agg(F.max("meets").alias("meets"))
             rare = rare_runs(features.join(left, "content", "left_semi"), alike)
-            members = opened(rare.join(left.join(nodes, "content"), "content"), most)
+            rest = rare.join(left.join(nodes, "content"), "content")
+        members = opened(materialise(rest, "near-rest"), most)
         turn += 1
     return nodes
 
