@@ -9,20 +9,23 @@ the four plain kinds, go to the library whole.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
 
 #: Chunks that a worker process remembers at most; the table is emptied when full, which changes speed only.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 400_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 48
 #: White space and invisible characters on whose class two libraries may differ.
 ODD = [chr(c) for c in (0, 11, 12, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _ASCII_ODD = [c for c in ODD if c.isascii()]
 _CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_POINT = ".,;:!?"
+#: Letters, then ASCII signs other than the apostrophe (contractions): two pieces for every tokenizer at hand.
+_SIGNS = re.compile("[!-&(-/:-@\\[-`{-~]+$")
 _PROBES = ["a", "the", "House", "zebra", "été", "Über", "ñandú", "qwertyuiop", "THTH", "x"]
 
 
@@ -31,19 +34,31 @@ class _Run(Exception):
 
 
 class _Memo(dict):
-    """From a chunk to what ``make`` gives for it. A chunk that ends in a letter and a point is the sum of both."""
+    """From a chunk to what ``make`` gives for it. A word with signs behind it is the sum of both, as is one white-space
+    character with a word behind it; signs and such characters have a small table of their own.
+    """
 
-    def __init__(self, make):
+    def __init__(self, make, bare: bool):
         super().__init__()
-        self.make = make
+        self.make, self.bare, self.parts = make, bare, {}
+
+    def part(self, text: str):
+        value = self.parts.get(text)
+        if value is None:
+            if len(self.parts) >= MEMO_CHUNKS // 16:
+                self.parts.clear()
+            value = self.parts[text] = self.make("", text)
+        return value
 
     def __missing__(self, chunk: str):
         if not chunk or chunk.isspace():
             raise _Run
-        if len(chunk) > 1 and chunk[-1] in _POINT and chunk[-2].isalpha() and chunk[-2] <= "\xff":
-            value = self[chunk[:-1]] + self.make("", chunk[-1])
-        elif chunk[0].isspace():
-            value = self.make("", chunk)
+        if chunk[0].isspace():
+            value = self.part(chunk[0]) + self.make("", chunk[1:]) if self.bare and _plain(chunk[1:]) else self.make("", chunk)
+        elif _plain(chunk):
+            value = self.make(" ", chunk)
+        elif (signs := _SIGNS.search(chunk)) and _plain(chunk[: signs.start()]):
+            value = self[chunk[: signs.start()]] + self.part(signs[0])
         else:
             value = self.make(" ", chunk)
         if len(chunk) <= MEMO_CHARS:
@@ -53,6 +68,11 @@ class _Memo(dict):
         return value
 
 
+def _plain(word: str) -> bool:
+    """Whether a word is all Latin letters."""
+    return word.isalpha() and max(word) <= "\xff"
+
+
 def _look(memo: _Memo, chunks: list[str]):
     """The memo's values, in order; one C call for all chunks."""
     return itemgetter(*chunks)(memo) if len(chunks) > 1 else [memo[c] for c in chunks]
@@ -74,8 +94,9 @@ class Encoder:
         self._lower = bool(self.tok.normalizer) and self.tok.normalizer.normalize_str("House") == "house"
         self._direct = False
         self._direct = all(self._word(g, w) == self._library(g + w) for g in ("", " ") for w in _PROBES)
-        self.packed = _Memo(lambda gap, chunk: np.array(self._ids(gap, chunk), self.dtype).tobytes())
-        self.counts = _Memo(lambda gap, chunk: len(self._ids(gap, chunk)))
+        bare = all(self._library(g + w) == self._library(g) + self._library(w) for g in "\n\t\r" for w in _PROBES)
+        self.packed = _Memo(lambda gap, chunk: self._pack(self._ids(gap, chunk)), bare)
+        self.counts = _Memo(lambda gap, chunk: len(self._ids(gap, chunk)), bare)
 
     def _library(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -86,8 +107,14 @@ class Encoder:
         chars = (gap + word).encode().decode("latin-1").translate(self._byte_chars)
         return [t.id for t in self.tok.model.tokenize(chars)]
 
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
     def _ids(self, gap: str, chunk: str) -> list[int]:
-        if self._direct and chunk.isalpha() and max(chunk) <= "\xff":
+        if self._direct and _plain(chunk):
             return self._word(gap, chunk)
         return self._library(gap + chunk)
 
@@ -100,7 +127,7 @@ class Encoder:
         if not text:
             return b""
         if self._whole(text):
-            return np.array(self._library(text), self.dtype).tobytes()
+            return self._pack(self._library(text))
         plain = text
         for space in "\n\t\r":
             if space in plain:
@@ -117,7 +144,7 @@ class Encoder:
         """A chunk as it stands: one that starts with a single space and no more is looked up without it."""
         if chunk[0] == " " and len(chunk) > 1 and not chunk[1].isspace():
             return self.packed[chunk[1:]]
-        return np.array(self._ids("", chunk), self.dtype).tobytes()
+        return self._pack(self._ids("", chunk))
 
     def count(self, text: str) -> int:
         """The number of ids, for tokenizers that drop white space."""

@@ -76,6 +76,9 @@ def test_decontamination(spark, docs, none, rows, block_bytes):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(rows, name):
     e = Encoder(tokenizer(name))
+    r, signs = random.Random(4), "abzé Üñ.,;:!?'\n\t\r  \"%*$#&|<>-_/\\0123456789日本ʼßſİǅªº²½\u0301\u200d💥()[]{}@^`~ABCst"
+    parts = ["don't", "a,b.", "x's", "of%%%", "\nWas", "\tÜber.", "é.é,", "it's.", "ab''s", "'s", "A1.", "ß!", "ª.", "_a_"]
+    rows = rows + [(0, "".join(r.choice(signs) for _ in range(r.randrange(60)))) for _ in range(1500)] + [(0, " ".join(r.choice(parts) for _ in range(9))) for _ in range(200)]
     odd = [" a  b\n\nc ", "\n", "  ", "a,b. c.", "tab\tx\r\ny", "don't they're 12,5", "é.é,", "\x1f x", "é ́x", " x y", "x" * 300 + ". y", "İstanbul, Straße."]
     for text in [t for _, t in rows] + odd:
         ids = e.tok.encode(text, add_special_tokens=False).ids
