@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gambrel.llm.common import materialise, quoted, without
+from gambrel.llm.common import materialise, quoted, shut, without
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Frequent function words of English, German, French and Spanish.
@@ -172,17 +172,19 @@ def judge_quality(docs: DataFrame, text_col: str = "text", least: float = 0.5) -
 
     Null texts are empty: no words, and so base_failed. Lines are split at ``\\n``; a line repeats where it equals an
     earlier one that has a word. Repeated rows are judged alike and count each. Input columns named like an added one are
-    replaced. The model is fitted on all rows; texts are read twice, once to fit and once to judge, and never shuffled.
+    replaced. The model is fitted on all rows. Texts are read once and never shuffled: rows and their features are
+    written, then fitted and judged from there. An empty table stays empty.
     """
-    shaped = features(docs, text_col)
-    return score(shaped, fit(features(docs.select(quoted(text_col)), text_col)), least)
+    shaped = materialise(features(docs, text_col), "quality-features")
+    return score(shaped, fit(shaped), least)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that ``judge_quality`` keeps, with their own columns.
+    """The documents that ``judge_quality`` keeps, with their own columns, whatever their names: a row travels as one struct.
 
-    Judged rows are written first: a filter on ``kept`` would otherwise be pushed below the columns it is made of, and
-    the optimiser would copy those into it many times over.
+    Features are written before rows are filtered on what they give, or the optimiser would copy their expressions into the
+    filter many times over.
     """
-    judged = judge_quality(docs.withColumn("__row", F.struct(*map(quoted, docs.columns))).select("__row", quoted(text_col).alias("__text")), "__text", least)
-    return materialise(judged.select("__row", "kept"), "quality-judged").where("kept").select("__row.*")
+    rows = shut(docs).select("row", quoted(text_col).alias("__text"))
+    shaped = materialise(features(rows, "__text").drop("__text"), "quality-features")
+    return score(shaped, fit(shaped), least).where("kept").select("row.*")
