@@ -66,12 +66,13 @@ def map_rows(df: DataFrame, fields: StructType, start: Callable[[], Callable[[pa
     ``longest``: the column of texts whose bytes bound a slice.
     """
     base = without(df, fields.names)
-    schema = StructType([*base.schema.fields, *fields.fields])
+    schema, names = StructType([*base.schema.fields, *fields.fields]), [*base.columns, *fields.names]
+    at = base.columns.index(longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for part in byte_slices(batches, base.columns.index(longest)):
-            yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=schema.names)
+        for part in byte_slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=names)
 
     return base.mapInArrow(run, schema)
 

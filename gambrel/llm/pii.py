@@ -1,9 +1,9 @@
 """Personal data by fixed patterns and by bootstrapped contexts.
 
-Addresses, numbers and phone numbers that fixed expressions find are seeds. The words left of a seed are a lexical
-pattern; identifier-like tokens are instances. A pattern is trusted as far as its instances are, an unseen instance as far
-as some of its patterns are, for a few rounds over the whole graph of patterns and instances; tokens that only trusted
-patterns introduce are added. Only DataFrame functions are used.
+Addresses, numbers and phone numbers that fixed expressions find are seeds, as are keys that their form alone gives away.
+The word, and the two words, left of a seed are lexical patterns; identifier-like tokens are instances. A pattern is
+trusted as far as its instances are, an unseen instance as far as some of its patterns are, for a few rounds over the
+whole graph of patterns and instances; tokens that trusted patterns introduce are added. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gambrel.llm.common import materialise, quoted, without
+from gambrel.llm.common import materialise, quoted, shut, without
 
 #: The four kinds, in order. Anchors and possessive repeats change nothing in what matches, only that long runs of one
 #: character class are passed once: a match that fails at a run's start fails anywhere in it.
@@ -26,7 +26,9 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT = "context"
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
-TOKENS = "array<struct<start:int,end:int,value:string,left:string>>"
+#: A key by its form: 32 hexadecimal digits or more, with a letter and a figure.
+KEY = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
+TOKENS = "array<struct<start:int,end:int,value:string,left:array<string>>>"
 ADDED = ("base_spans", "found_spans", "spans")
 
 
@@ -84,18 +86,24 @@ def base_spans(text: Column, numeric: Column) -> Column:
 
 
 def tokens(text: Column, some: Column) -> Column:
-    """Identifier-like tokens, less the points around them, each with up to two words to its left, digits as 0."""
+    """Identifier-like tokens: words with a figure or an @, less the signs around them, of four characters or more.
 
-    def one(m: Column) -> Column:
+    Each with its patterns: the word to its left, and the two words to its left, in lower case with figures as 0. Words
+    are looked for from the token before it on; a token with none there has no pattern and is left out.
+    """
+    found = matches(text, TOKEN)
+
+    def one(m: Column, i: Column) -> Column:
         lead = F.char_length(F.regexp_extract(m["value"], r"^[\"'(\[{<|]*", 0))
         bare = F.regexp_replace(F.regexp_replace(m["value"], r"^[\"'(\[{<|]+", ""), r"[\"')\]}>.,;:!?|#$%&*]+$", "")
-        back = F.reverse(F.filter(F.split(F.lower(m["gap"]), r"\s+"), lambda w: w != ""))
-        left = F.regexp_replace(F.array_join(F.reverse(F.slice(back, 1, 2)), " "), "[0-9]+", "0")
+        before = F.concat(F.coalesce(F.get(found, i - 1)["value"], F.lit("")), m["gap"])
+        back = F.slice(F.reverse(F.filter(F.split(F.regexp_replace(F.lower(before), "[0-9]+", "0"), r"\s+"), lambda w: w != "")), 1, 2)
+        left = F.when(F.size(back) == 2, F.array(F.get(back, F.lit(0)), F.array_join(F.reverse(back), " "))).otherwise(back)
         start = m["start"] + lead
         return F.struct(start.alias("start"), (start + F.char_length(bare)).alias("end"), bare.alias("value"), left.alias("left"))
 
-    found = F.filter(F.transform(matches(text, TOKEN), one), lambda t: (F.char_length(t["value"]) >= 4) & (t["left"] != ""))
-    return F.when(some, found).otherwise(F.array().cast(TOKENS))
+    kept = F.filter(F.transform(found, one), lambda t: (F.char_length(t["value"]) >= 4) & (F.size(t["left"]) > 0))
+    return F.when(some, kept).otherwise(F.array().cast(TOKENS))
 
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -107,11 +115,14 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def instances(found: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a token: keys, start, end, value, left, seed. The rest of a base span that a token begins is no token."""
+    """A row a token and pattern: keys, start, end, value, left, known, seed.
+
+    ``known``: a base span covers part of the token, which so is no find. Known tokens and keys by form are seeds.
+    """
     rows = found.where(F.size("tokens") > 0).select(*keys, "base_spans", F.explode("tokens").alias("t"))
-    inside = F.exists("base_spans", lambda b: (F.col("t.start") > b["start"]) & (F.col("t.start") < b["end"]))
-    begins = F.exists("base_spans", lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("t.end")))
-    return rows.where(~inside | begins).select(*keys, "t.*", begins.alias("seed"))
+    known = F.exists("base_spans", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
+    rows = rows.select(*keys, "t.start", "t.end", "t.value", F.explode("t.left").alias("left"), known.alias("known"))
+    return rows.withColumn("seed", F.col("known") | F.rlike("value", F.lit(KEY)))
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, trust: float = 0.6, seeds: int = 3) -> DataFrame:
@@ -132,15 +143,18 @@ def bootstrap(found: DataFrame, rounds: int = 3, trust: float = 0.6, seeds: int
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row a distinct (id, text): doc_id, row_digest (md5 of the text), base_spans, found_spans and spans (both, by
-    start, then kind). Texts are read once; what is found in them is written, then patterns are scored over all of it.
+    """One row a document: doc_id, row_digest (md5 of the text), base_spans, found_spans and spans (both, by start, then
+    kind). Texts are read once, whole; what is found in them is written, then patterns are scored over all of it.
+
+    Null texts are empty and have no spans. Repeated rows get the same spans and count once for the patterns. Null ids are
+    an id like others. Other columns are not returned. An empty table gives no rows.
     """
     source = docs.select(quoted(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit("")))).alias("row_digest"), quoted(text_col).alias("text"))
     found = materialise(detect(source).select("doc_id", "row_digest", "base_spans", "tokens"), "pii-found")
     rows = instances(found, ["doc_id", "row_digest"]).distinct()
     trusted = bootstrap(rows, **settings)
     span = F.struct("start", F.lit(len(PATTERNS)).alias("rank"), F.lit(CONTEXT).alias("kind"), "end")
-    new = rows.where("not seed").join(trusted, "left").groupBy("doc_id", "row_digest").agg(F.sort_array(F.collect_set(span)).alias("found_spans"))
+    new = rows.where("not known").join(trusted, "left").groupBy("doc_id", "row_digest").agg(F.sort_array(F.collect_set(span)).alias("found_spans"))
     new = new.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).drop("doc_id")
     full = found.drop("tokens").withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(new, ["__id", "row_digest"], "left").drop("__id")
     full = full.withColumn("found_spans", F.coalesce("found_spans", F.array().cast(f"array<{SPAN}>")))
@@ -161,16 +175,18 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents with personal data in ``text_col`` replaced by its kind; all rows and columns stay.
+    """The documents with personal data in ``text_col`` replaced by its kind; all rows and columns stay, whatever their
+    names: a row travels as one struct.
 
     Null texts stay null. Repeated rows get the same answer. Only rows with spans are joined back by (id, digest).
     """
-    spans = find_spans(docs, id_col, text_col, **settings).where(F.size("spans") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("row_digest").alias("__digest"), F.col("spans").alias("__spans"))
-    spans = spans.dropDuplicates(["__id", "__digest"])
-    text = quoted(text_col)
-    keyed = without(docs, ["__id", "__digest", "__spans"]).withColumn("__id", F.coalesce(quoted(id_col).cast("string"), F.lit(""))).withColumn("__digest", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
-    joined = keyed.join(spans, ["__id", "__digest"], "left")
-    return joined.select(*[(F.when(F.col("__spans").isNull(), text).otherwise(redacted(text, F.col("__spans"))).alias(c) if c == text_col else quoted(c)) for c in docs.columns])
+    spans = find_spans(docs, id_col, text_col, **settings).where(F.size("spans") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("row_digest").alias("digest"), "spans")
+    spans = spans.dropDuplicates(["id", "digest"])
+    keyed = shut(docs).select("row", F.coalesce(quoted(id_col).cast("string"), F.lit("")).alias("id"), F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit("")))).alias("digest"))
+    text = F.col("row").getField(text_col)
+    new = F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans")))
+    joined = keyed.join(spans, ["id", "digest"], "left")
+    return joined.select(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def span_digest(spans: Column) -> Column:
