@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 MIN_SCORE, MIN_CHARS = 0.45, 2
 
+#: What ends a line, and white space at its ends.
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+
 
 def room_name(name: Column) -> Column:
     """Trimmed, in capitals; null is empty."""
@@ -30,29 +34,41 @@ def is_callout(name: Column) -> Column:
 
 
 def joined_label(parts: Column) -> Column:
-    """L3: parts (struct<cy,cx,text>) in reading order, run-together meeting rooms parted; null for a bare ROOM."""
+    """L3: parts (struct<cy,cx,text>) in reading order, run-together and repeated ROOMs mended; null for a bare ROOM."""
     words = F.array_join(F.transform(F.sort_array(parts), lambda p: p["text"]), " ")
-    words = F.replace(words, F.lit("MEETINGROOM"), F.lit("MEETING ROOM"))
+    for old, new in (("MEETINGROOM", "MEETING ROOM"), ("MEETING ROOM ROOM", "MEETING ROOM"), ("ROOM ROOM", "ROOM")):
+        words = F.replace(words, F.lit(old), F.lit(new))
     return F.when(words != "ROOM", words)
 
 
 def page_label(text: Column, page: Column) -> Column:
     """The first line in capitals of 3 to 40 characters with DENAH, else the first such line, else Halaman n."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.char_length(x).between(3, 40) & (F.upper(x) == x) & (F.lower(x) != x))
+    bare = lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
+    lines = F.filter(F.transform(F.split(text, LINE_END), bare), lambda x: F.char_length(x).between(3, 40) & (F.upper(x) == x) & F.rlike(x, F.lit(r"\p{L}")))
     plan = F.filter(lines, lambda x: F.contains(x, F.lit("DENAH")))
     return F.coalesce(F.get(plan, F.lit(0)), F.get(lines, F.lit(0)), F.concat(F.lit("Halaman "), page.cast("string")))
 
 
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), "[^/]*$", 0)
+
+
 def stem(name: Column, fallback: str) -> Column:
-    """Letters, digits, - and _; anything else as _; at most 80 characters."""
-    kept = F.substring(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}_-]", "_"), 1, 80)
+    """The file's name without folder and extension: letters, digits, - and _; anything else as _; at most 80
+    characters.
+    """
+    bare = F.regexp_replace(file_name(name), r"(?s)^(.+)\.[^.]+$", "$1")
+    kept = F.substring(F.regexp_replace(bare, r"[^\p{L}\p{N}_-]", "_"), 1, 80)
     return F.when(kept == "", F.lit(fallback)).otherwise(kept)
 
 
 def extension(filename: Column, content_type: Column) -> Column:
     """Of the file name if it has a known one, else of the content type, else .png."""
-    known = F.regexp_extract(F.lower(F.coalesce(filename, F.lit(""))), r"\.(png|jpe?g|webp|bmp|gif)$", 0)
-    by_type = F.when(content_type.contains("jpeg"), ".jpg").when(content_type.contains("webp"), ".webp").when(content_type.contains("bmp"), ".bmp").when(content_type.contains("gif"), ".gif")
+    known = F.regexp_extract(F.lower(file_name(filename)), r"(?<=.)\.(png|jpe?g|webp|bmp|gif)$", 0)
+    kind = F.lower(content_type)
+    by_type = F.when(kind.isin("image/jpeg", "image/jpg"), ".jpg")
+    for name in ("webp", "bmp", "gif"):
+        by_type = by_type.when(kind == f"image/{name}", f".{name}")
     return F.when(known != "", known).otherwise(F.coalesce(by_type, F.lit(".png")))
 
 

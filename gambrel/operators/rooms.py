@@ -183,8 +183,8 @@ def clipped_boxes(boxes: DataFrame, labels: DataFrame, least: int = 8) -> DataFr
 
 def closing_radii(thickness: DataFrame, attempts: int = 8, factor: float = 1.6, least: int = 8) -> DataFrame:
     """(img, attempt, radius) from (img, half) of wall pixels: 8 or four half thicknesses, then 1.6 times each."""
-    start = thickness.groupBy("img").agg(F.greatest(F.lit(least), (4 * F.median("half")).cast("int")).alias("start"))
-    return start.select("img", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"), "start").select("img", "attempt", F.floor(F.col("start") * F.pow(F.lit(factor), F.col("attempt"))).cast("int").alias("radius"))
+    start = thickness.groupBy("img").agg(F.greatest(F.lit(float(least)), 4 * F.median("half")).alias("start"))
+    return start.select("img", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"), "start").select("img", "attempt", F.bround(F.col("start") * F.pow(F.lit(factor), F.col("attempt"))).cast("int").alias("radius"))
 
 
 def best_radius(scores: DataFrame) -> DataFrame:
@@ -304,8 +304,9 @@ def doors(segments: DataFrame, labels: DataFrame, ink: DataFrame, rooms: DataFra
 
 
 def look_broken(rooms: DataFrame, most: float = 0.3) -> DataFrame:
-    """(img, duplicated, broken): the share of rooms (img, points) whose bounds another room has too."""
-    b = rooms.select("img", P.bounds(F.col("points")).alias("box")).groupBy("img", "box").agg(F.count(F.lit(1)).alias("n"))
+    """(img, duplicated, broken): the share of rooms (img, points) whose bounds, in whole units, another room has too."""
+    box = P.bounds(F.col("points"))
+    b = rooms.select("img", F.struct(*[F.bround(box[k]).alias(k) for k in ("x0", "y0", "x1", "y1")]).alias("box")).groupBy("img", "box").agg(F.count(F.lit(1)).alias("n"))
     out = b.groupBy("img").agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("duplicated"))
     return out.withColumn("broken", F.col("duplicated") > most)
 

@@ -29,7 +29,7 @@ def dashed_lines(points: DataFrame, keys: list[str], line: list[str], at: str, l
     """Of each ``keys``, the longest chain of dashes on one line; of equals the first: (keys, line, start, stop)."""
     dashes = islands(points, [*keys, *line], at, bridge=2).where((F.col("stop") - F.col("start") + 1).between(shortest, longest))
     w = Window.partitionBy(*keys, *line).orderBy("start")
-    new = F.coalesce(F.col("start") - F.lag("stop").over(w) - 1 > gap, F.lit(True)).cast("int")
+    new = F.coalesce(F.col("start") - F.lag("stop").over(w) > gap, F.lit(True)).cast("int")
     chained = dashes.withColumn("__new", new).withColumn("__chain", F.sum("__new").over(w)).groupBy(*keys, *line, "__chain")
     chains = chained.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("dashes"))
     good = chains.where((F.col("dashes") >= least) & (F.col("stop") - F.col("start") >= span))

@@ -226,14 +226,15 @@ def l1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), L.token(F.col("p_name")).alias("text"))
 
 
-@query("""WITH l AS (SELECT doc_id, i, trim(ln, ' ') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) z),
- c AS (SELECT * FROM l WHERE length(x) BETWEEN 3 AND 40 AND upper(x) = x AND lower(x) <> x)
+@query(r"""WITH s AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS ls FROM documents),
+ l AS (SELECT doc_id, i, regexp_replace(ln, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') AS x FROM (SELECT doc_id, unnest(ls) AS ln, generate_subscripts(ls, 1) AS i FROM s) z),
+ c AS (SELECT * FROM l WHERE length(x) BETWEEN 3 AND 40 AND upper(x) = x AND regexp_matches(x, '\p{L}'))
 SELECT d.doc_id, coalesce((SELECT arg_min(x, i) FROM c WHERE c.doc_id = d.doc_id AND contains(x, 'DENAH')), (SELECT arg_min(x, i) FROM c WHERE c.doc_id = d.doc_id), 'Halaman ' || d.doc_id) AS label FROM documents d""")
 def l8_page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", L.page_label(F.col("text"), F.col("doc_id")).alias("label"))
 
 
-@query("SELECT page_id, substr(regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g'), 1, 80) AS stem, regexp_matches(upper(url), '^R[0-9]+(X[0-9]+)?$') AS callout FROM pages")
+@query("SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_extract(regexp_replace(coalesce(url, ''), '/+$', ''), '[^/]*$'), '^(.+)\\.[^.]+$', '\\1'), '[^\\p{L}\\p{N}_-]', '_', 'g'), 1, 80), ''), 'kasus') AS stem, regexp_matches(upper(url), '^R[0-9]+(X[0-9]+)?$') AS callout FROM pages")
 def l5_l9_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", L.stem(F.col("url"), "kasus").alias("stem"), L.is_callout(F.upper("url")).alias("callout"))
 
@@ -261,10 +262,10 @@ def v3_largest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.largest_cluster(b, gap=4.0).select("page", "cluster", "id")
 
 
-@query("""WITH b AS (SELECT p_brand AS img, p_partkey % 20 AS x0, p_size % 5 AS y0, count(*) AS n FROM part GROUP BY 1, 2, 3)
+@query("""WITH b AS (SELECT p_brand AS img, round(p_partkey % 20 + (p_partkey % 4) * 0.2) AS x0, p_size % 5 AS y0, count(*) AS n FROM part GROUP BY 1, 2, 3)
 SELECT img, round(CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS DOUBLE) / sum(n), 6) AS duplicated, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS DOUBLE) / sum(n) > 0.3 AS broken FROM b GROUP BY img""")
 def r17_look_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = (F.col("p_partkey") % 20).cast("double"), (F.col("p_size") % 5).cast("double")
+    x, y = F.col("p_partkey") % 20 + (F.col("p_partkey") % 4) * F.lit(0.2), (F.col("p_size") % 5).cast("double")
     p = A.table(spark, sf_dir, "part").select(F.col("p_brand").alias("img"), F.array(F.array(x, y), F.array(x + 9, y), F.array(x + 9, y + 7)).alias("points"))
     return rooms.look_broken(p).select("img", R6("duplicated").alias("duplicated"), "broken")
 

@@ -83,10 +83,14 @@ def test_verdicts_and_labels(spark):
     assert [r.v for r in spark.createDataFrame([(0.75,), (0.76,), (0.45,)], "d double").select(L.band(F.col("d")).alias("v")).collect()] == ["medium", "high", "low"]
     texts = [("toilet ", 0.9), ("3.50", 0.9), ("A", 0.9), ("R200", 0.44), (None, 0.9)]
     assert [bool(r.v) for r in spark.createDataFrame(texts, "t string, s double").select(L.is_token(F.col("t"), F.col("s")).alias("v")).collect()] == [True, False, False, False, False]
-    pages = [("x\nLANTAI 1\nDENAH LANTAI", "DENAH LANTAI"), ("TAMPAK\nabc", "TAMPAK"), ("abc\n12", "Halaman 3")]
+    pages = [("x\nLANTAI 1\nDENAH LANTAI", "DENAH LANTAI"), ("TAMPAK\nabc", "TAMPAK"), ("abc\n12", "Halaman 3"), ("abc\r\n\t DENAH LANTAI 1\u00a0\r\nX", "DENAH LANTAI 1"), ("平面図\u2028abc", "平面図")]
     assert [r.v for r in spark.createDataFrame(pages, "t string, w string").select(L.page_label(F.col("t"), F.lit(3)).alias("v")).collect()] == [w for _, w in pages]
-    parts = spark.createDataFrame([([(2.0, 1.0, "ROOM"), (1.0, 1.0, "MEETING")],), ([(1.0, 1.0, "ROOM")],)], "p array<struct<cy:double,cx:double,text:string>>")
-    assert [r.v for r in parts.select(L.joined_label(F.col("p")).alias("v")).collect()] == ["MEETING ROOM", None]
+    parts = spark.createDataFrame([([(2.0, 1.0, "ROOM"), (1.0, 1.0, "MEETING")],), ([(1.0, 1.0, "ROOM")],), ([(1.0, 1.0, "MEETINGROOM"), (2.0, 1.0, "ROOM")],), ([(1.0, 1.0, "WAITING ROOM"), (2.0, 1.0, "ROOM")],)], "p array<struct<cy:double,cx:double,text:string>>")
+    assert [r.v for r in parts.select(L.joined_label(F.col("p")).alias("v")).collect()] == ["MEETING ROOM", None, "MEETING ROOM", "WAITING ROOM"]
+    stems = [("dir/plan.v1.png", "plan_v1"), (".png", "_png"), ("a b/", "a_b"), ("", "kasus"), (None, "kasus"), ("x" * 90 + ".jpg", "x" * 80)]
+    assert [r.v for r in spark.createDataFrame(stems, "t string, w string").select(L.stem(F.col("t"), "kasus").alias("v")).collect()] == [w for _, w in stems]
+    kinds = [("A.JPEG", "", ".jpeg"), (".gif", "image/jpg", ".jpg"), (None, "IMAGE/WEBP", ".webp"), ("a.txt", "x/jpeg", ".png"), (None, None, ".png")]
+    assert [r.v for r in spark.createDataFrame(kinds, "f string, c string, w string").select(L.extension(F.col("f"), F.col("c")).alias("v")).collect()] == [w for _, _, w in kinds]
 
 
 def test_boundary_hull_simplification():

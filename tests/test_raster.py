@@ -74,6 +74,16 @@ def test_runs(spark):
     assert got() == [(1, 3), (6, 7), (20, 23)] and got(bridge=2) == [(1, 7), (20, 23)] and got(least=4) == [(20, 23)]
     dash = spark.createDataFrame([("i", 5, x) for d in range(7) for x in range(d * 25, d * 25 + 12)], "img string, y int, x int")
     assert [(r.y, r.start, r.stop) for r in runs.dashed_lines(dash, ["img"], ["y"], "x").collect()] == [(5, 0, 161)]
+    for step, found in ((33, True), (34, False)):  # dashes of twelve, 22 or 23 from the end of one to the start of the next
+        far = spark.createDataFrame([("i", 5, x) for d in range(6) for x in range(d * step, d * step + 12)], "img string, y int, x int")
+        assert (runs.dashed_lines(far, ["img"], ["y"], "x").count() == 1) is found
+    radii = [r.radius for r in rooms.closing_radii(spark.createDataFrame([("i", 1.0), ("j", 3.3)], "img string, half double")).orderBy("img", "attempt").collect()]
+    want = []
+    for start in (8.0, 13.2):
+        for _ in range(8):
+            want.append(int(round(start)))
+            start *= 1.6
+    assert radii == want
 
 
 def paint(spark, boxes, dark=30):
