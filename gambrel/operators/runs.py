@@ -10,10 +10,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gambrel.operators.components import components
 from gambrel.shared import materialise
 
+#: Lines of an image that one task labels.
+STRIPE = 1024
+
 
 def islands(points: DataFrame, keys: list[str], at: str, bridge: int = 0, least: int = 1) -> DataFrame:
     """(keys, start, stop, n) of positions on a line: gaps of up to ``bridge`` missing positions are closed, shorter
@@ -97,19 +101,49 @@ def minus(runs: DataFrame, other: DataFrame, sizes: DataFrame) -> DataFrame:
     return complement(complement(runs, sizes).unionByName(other.select("img", "y", "x0", "x1")), sizes)
 
 
+def label_lines(y: list[int], x0: list[int], x1: list[int], reach: int) -> list[int]:
+    """For each run, sorted by (y, x0), the place of the first run that it is connected to."""
+    root = list(range(len(y)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    above = 0  # the first run that may touch the runs to come
+    for i in range(len(y)):
+        while above < i and (y[above] < y[i] - 1 or (y[above] == y[i] - 1 and x1[above] + reach < x0[i])):
+            above += 1
+        k = above
+        while k < i and y[k] == y[i] - 1 and x0[k] <= x1[i] + reach:
+            if x1[k] + reach >= x0[i]:
+                p, q = sorted((top(k), top(i)))
+                root[q] = p
+            k += 1
+    return [top(i) for i in range(len(y))]
+
+
 def labelled(runs: DataFrame, eight: bool = False) -> DataFrame:
     """(img, y, x0, x1, comp) of connected components; comp is the first run's place, y * 2^32 + x0.
 
-    Runs of neighbouring lines that touch are linked; each image is linked for itself.
+    Stripes of STRIPE lines are labelled each by itself, then the labels of runs that touch across stripes are joined, so
+    an image of any height is spread over tasks and only labels at the seams meet.
     """
     reach = 1 if eight else 0
-    runs = materialise(runs.select("img", "y", "x0", "x1"), "runs")
-    named = runs.withColumn("__id", F.struct("img", "y", "x0"))
-    low = named.select("img", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("__id").alias("a"))
-    touch = low.join(named, ["img", "y"]).where((F.col("u0") <= F.col("x1") + reach) & (F.col("u1") + reach >= F.col("x0")))
-    found = components(touch.select("a", F.col("__id").alias("b")))
-    j = named.join(found.withColumnRenamed("node", "__id"), "__id", "left").withColumn("label", F.coalesce("label", "__id"))
-    return materialise(j.select("img", "y", "x0", "x1", (F.col("label.y").cast("long") * (1 << 32) + F.col("label.x0")).alias("comp")), "labelled")
+    runs = runs.select("img", F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1")).withColumn("stripe", F.floor(F.col("y") / STRIPE).cast("int"))
+    schema = StructType([*runs.schema.fields, StructField("own", LongType())])
+
+    def one(frame):
+        frame = frame.sort_values(["y", "x0"])
+        y, x0 = frame["y"].tolist(), frame["x0"].tolist()
+        frame["own"] = [(y[k] << 32) + x0[k] for k in label_lines(y, x0, frame["x1"].tolist(), reach)]
+        return frame
+
+    named = materialise(runs.groupBy("img", "stripe").applyInPandas(one, schema), "stripes").withColumn("node", F.struct("img", "own"))
+    low = named.where((F.col("y") + 1) % STRIPE == 0).select("img", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("a"))
+    touch = low.join(named.where(F.col("y") % STRIPE == 0), ["img", "y"]).where((F.col("u0") <= F.col("x1") + reach) & (F.col("u1") + reach >= F.col("x0")))
+    found = components(touch.select("a", F.col("node").alias("b")))
+    return materialise(named.join(found, "node", "left").select("img", "y", "x0", "x1", F.coalesce("label.own", "own").alias("comp")), "labelled")
 
 
 def measures(labels: DataFrame) -> DataFrame:

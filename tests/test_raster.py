@@ -153,3 +153,28 @@ def test_vector_layers(spark):
     assert [r.v for r in d.select(vector.drawing_class(F.col("f"), F.col("c"), F.col("n"), F.col("p")).alias("v")).collect()] == ["wall", "curve", None, None]
     line = spark.createDataFrame([("i", 1.0, 2.0, 4.0, 2.0)], "img string, x0 double, y0 double, x1 double, y1 double")
     assert [(r.y, r.x0, r.x1) for r in vector.lines_as_runs(line).collect()] == [(4, 2, 8)]
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_components_across_stripes(spark, monkeypatch, eight):
+    monkeypatch.setattr(runs, "STRIPE", 4)
+    r = random.Random(8)
+    pixels_ = {(y, x) for y in range(30) for x in range(24) if r.random() < 0.55}
+    df = runs.runs_of(spark.createDataFrame([("i", y, x) for y, x in pixels_], "img string, y int, x int"))
+    near = [(-1, 0), (1, 0), (0, -1), (0, 1)] + [(a, b) for a in (-1, 1) for b in (-1, 1)] * eight
+    want, left = set(), set(pixels_)
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            y, x = todo.pop()
+            seen.add((y, x))
+            for a, b in near:
+                if (y + a, x + b) in left:
+                    left.remove((y + a, x + b))
+                    todo.append((y + a, x + b))
+        want.add(frozenset(seen))
+    got = {}
+    for q in runs.labelled(df, eight=eight).collect():
+        got.setdefault(q.comp, set()).update((q.y, x) for x in range(q.x0, q.x1 + 1))
+    assert set(map(frozenset, got.values())) == want
+    assert all(c == min((y << 32) + x for y, x in cells) for c, cells in got.items())
