@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """From ``spark.checkpoint.dir``. Where that is unset a temporary folder will do for a local session; on a cluster it would
+    be of one machine only, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gambrel-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
