@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gambrel.llm.common import materialise
+from gambrel.llm.common import bounded, materialise
 from gambrel.llm.decontamination import decontaminate
 from gambrel.llm.near_dedup import deduplicate
 from gambrel.llm.packing import pack
@@ -21,26 +21,31 @@ from gambrel.llm.queries import table, tokenizer
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    bounded(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    bounded(spark)
     return deduplicate(docs).select(docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with too much of a benchmark item go."""
+    bounded(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in their texts is replaced by its kind, and n_chars follows."""
+    bounded(spark)
     return redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 1024 ids."""
+    bounded(spark)
     return pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, size=1024)
 
 
