@@ -76,7 +76,7 @@ ib AS (SELECT g.a, g.k, i, sum(CASE WHEN (ay > py) <> (bby > py) AND px < (bx -
 """
 
 
-@query(STAR + "," + _CELLS.format(steps=1, n=24) + "SELECT ia.a, ia.a + 1 AS b, round(CAST(sum(ia.f * ib.f) AS DOUBLE) / sum(greatest(ia.f, ib.f)), 6) AS overlap FROM ia JOIN ib ON ia.a = ib.a AND ia.i = ib.i GROUP BY ia.a")
+@query(STAR.replace("32", "64") + "," + _CELLS.format(steps=1, n=140) + "SELECT ia.a, ia.a + 1 AS b, round(CAST(sum(ia.f * ib.f) AS DOUBLE) / sum(greatest(ia.f, ib.f)), 6) AS overlap FROM ia JOIN ib ON ia.a = ib.a AND ia.i = ib.i GROUP BY ia.a")
 def g7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.star_pairs(spark, sf_dir).select("a", "b", R6(outline.overlap(F.col("pa"), F.col("pb"))).alias("overlap"))
 
@@ -130,7 +130,7 @@ def n1_room_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NATIONS = """WITH RECURSIVE ed AS (SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 40 AND c_nationkey <> s_nationkey GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 45),
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
 ad AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
 bf AS (SELECT n_nationkey AS s, n_nationkey AS v, 0 AS d FROM nation UNION SELECT s, b, d + 1 FROM bf JOIN ad ON v = a WHERE d < 12),
 ds AS (SELECT s, v, min(d) AS d FROM bf GROUP BY s, v),
@@ -178,8 +178,8 @@ def w1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.islands(hours, ["user_id"], "h", bridge=24, least=2)
 
 
-_WALLS = """WITH w AS (SELECT DISTINCT CAST(l_orderkey % 50 AS INTEGER) AS img, CASE WHEN l_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis, CAST(l_suppkey * 17 % 600 AS INTEGER) AS coord, CAST(l_orderkey * 53 % 500 AS INTEGER) AS a, CAST(l_orderkey * 53 % 500 AS INTEGER) + CAST(l_quantity AS INTEGER) * 6 AS b FROM lineitem WHERE l_linenumber = 1),
-p AS (SELECT CAST(p_partkey % 50 AS INTEGER) AS img, p_partkey AS id, CAST(p_partkey * 29 % 560 AS DOUBLE) AS cx, CAST(p_partkey * 43 % 580 AS DOUBLE) AS cy FROM part WHERE p_size <= 10)
+_WALLS = """WITH w AS (SELECT DISTINCT CAST(l_partkey // 10 AS INTEGER) AS img, CASE WHEN l_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis, CAST(l_suppkey * 17 % 600 AS INTEGER) AS coord, CAST(l_orderkey * 53 % 500 AS INTEGER) AS a, CAST(l_orderkey * 53 % 500 AS INTEGER) + CAST(l_quantity AS INTEGER) * 6 AS b FROM lineitem),
+p AS (SELECT CAST(p_partkey // 10 AS INTEGER) AS img, p_partkey AS id, CAST(p_partkey * 29 % 560 AS DOUBLE) AS cx, CAST(p_partkey * 43 % 580 AS DOUBLE) AS cy FROM part)
 """
 
 
