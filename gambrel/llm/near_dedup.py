@@ -9,6 +9,8 @@ Bands of equal registers name candidates; candidates are verified on their whole
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ MEMBERS_A_COPY, MEMBERS_A_TASK = 256, 4096
 ROWS_OUT = 1 << 16
 #: Leaders of a bucket in its first, second, ... round; the last is repeated.
 LEADERS = (1, 2, 16, 128, 1024)
+#: Words of 64 bits of a content's map of runs.
+MAP_WORDS = 16
+MAPS = [*(f"m{k}" for k in range(MAP_WORDS)), "marks", "weight"]
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LAST = (1 << 63) - 1
 
@@ -204,6 +209,36 @@ def rare_runs(features: DataFrame, alike: float) -> DataFrame:
     return rare.select("bucket", "content", (F.col("rarer") / (1 - F.col("rarer"))).alias("odds"))
 
 
+def run_maps(features: DataFrame) -> DataFrame:
+    """(content, m0, m1, ..., marks, weight): a map of bits, one marked for each run by its hash, how many are, the sum of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps, weights = np.zeros((batch.num_rows, MAP_WORDS * 64), bool), np.zeros(batch.num_rows, np.int64)
+            for k, (runs, counts) in enumerate(zip(*batch.columns[1:])):
+                maps[k, (_mix(np.frombuffer(runs.as_buffer(), "<u8")) % np.uint64(MAP_WORDS * 64)).astype(np.int64)] = True
+                weights[k] = np.frombuffer(counts.as_buffer(), "<u4").sum()
+            words = np.packbits(maps, axis=1).view(np.int64)
+            columns = [*(np.ascontiguousarray(words[:, k]) for k in range(MAP_WORDS)), maps.sum(axis=1), weights]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["content", *MAPS])
+
+    return features.select("content", "runs", "counts").mapInArrow(run, "content binary, " + ", ".join(f"{c} long" for c in MAPS))
+
+
+def may_be_alike(most: float) -> Column:
+    """Whether the maps of a member and a leader (``a_``) allow the similarity 1 / (1 + ``most``).
+
+    A mark of one map alone stands for a run, of a count of one or more, that the other lacks. So with c marks in both, and
+    s and t the weights less the marks, the shared weights are at most s + c and t + c; that bounds the unshared u and v, and
+    the similarity by 1 / (1 + u / (1 - u) + v / (1 - v)). The bound is met from the greater root in c on.
+    """
+    both = reduce(add, [F.bit_count(F.col(f"m{k}").bitwiseAND(F.col(f"a_m{k}"))) for k in range(MAP_WORDS)])
+    x, y, top = F.col("weight"), F.col("a_weight"), most + 2
+    s, t = x - F.col("marks"), y - F.col("a_marks")
+    half = (x + y - top * (s + t)) / (2 * top)
+    return both >= half + F.sqrt(F.greatest(half * half + (x * t + y * s - top * s * t) / top, F.lit(0.0))) - 1e-6
+
+
 def relabel(df: DataFrame, col: str, grown: DataFrame) -> DataFrame:
     return df.join(grown.select(F.col("node").alias(col), F.col("label").alias("further")), col, "left").withColumn(col, F.coalesce("further", col)).drop("further")
 
@@ -221,9 +256,9 @@ def opened(members: DataFrame, most: float) -> DataFrame:
 def led_pairs(members: DataFrame, leaders: int, order: list[Column], most: float, largest: int) -> tuple[DataFrame, DataFrame]:
     """The pairs that the first ``leaders`` of each bucket lead, each once, and the members that have not led.
 
-    Buckets beyond MEMBERS_A_TASK are ranked in cells of that size first.
+    Buckets beyond MEMBERS_A_TASK are ranked in cells of that size first. Where members have maps, pairs must pass them.
     """
-    ranked = members
+    ranked, own = members, [c for c in members.columns if c not in ("n", "big")]
     if largest > MEMBERS_A_TASK:
         cells = members.withColumn("cell", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / MEMBERS_A_TASK)))
         cells = cells.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "cell").orderBy(*order))).drop("cell")
@@ -231,12 +266,14 @@ def led_pairs(members: DataFrame, leaders: int, order: list[Column], most: float
         ranked = members.join(first.select("bucket", "content", "nth"), ["bucket", "content"], "left").withColumn("nth", F.coalesce("nth", F.lit(leaders + 1)))
     else:
         ranked = members.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
-    heads = ranked.where(F.col("nth") <= leaders).select("bucket", F.col("content").alias("a"), F.col("comp").alias("a_comp"), F.col("odds").alias("a_odds"))
+    maps = MAPS if set(MAPS) <= set(own) else []
+    heads = ranked.where(F.col("nth") <= leaders).select("bucket", F.col("content").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("comp", "odds", *maps)])
     met = ranked.join(heads, "bucket").where("comp <> a_comp").where(F.col("odds") + F.col("a_odds") <= most)
+    met = met.where(may_be_alike(most)) if maps else met
     # a pair of two leaders, or of several buckets, is met once, under the leader of the larger bucket
     leads = F.struct("n", F.col("a").alias("leader"), F.col("content").alias("member"), F.col("a_comp").alias("leader_comp"), F.col("comp").alias("member_comp"))
     pairs = met.groupBy(F.least("a", "content").alias("p"), F.greatest("a", "content").alias("q")).agg(F.max(leads).alias("top")).select("p", "q", "top.*")
-    return pairs, ranked.where(F.col("nth") > leaders).select("bucket", "content", "meets", "odds", "comp")
+    return pairs, ranked.where(F.col("nth") > leaders).select(own)
 
 
 def join_buckets(members: DataFrame, nodes: DataFrame, features: DataFrame, alike: float) -> DataFrame:
@@ -244,7 +281,8 @@ def join_buckets(members: DataFrame, nodes: DataFrame, features: DataFrame, alik
 
     ``members`` (bucket, content, meets). In the first round one leader of each bucket meets the others, and contents that
     copy it join. Those in buckets that hold several components then are dealt to buckets of their rarest runs, where more
-    leaders meet them, round by round, until no bucket holds two that may be linked and are not in one component.
+    leaders meet them, round by round, until no bucket holds two that may be linked and are not in one component. Members
+    still open after the first of these rounds carry maps of their runs, and pairs whose maps exclude a link are not formed.
     """
     spark = members.sparkSession
     turn, met_at, most = 0, [], 1 / alike - 1 + 1e-9
@@ -267,6 +305,8 @@ def join_buckets(members: DataFrame, nodes: DataFrame, features: DataFrame, alik
             rare = rare_runs(features.join(left, "content", "left_semi"), alike)
             rest = rare.join(left.join(nodes, "content"), "content")
         members = opened(materialise(rest, "near-rest"), most)
+        if turn == 1:
+            members = materialise(members.join(run_maps(features.join(members.select("content").distinct(), "content", "left_semi")), "content"), "near-maps")
         turn += 1
     return nodes
 

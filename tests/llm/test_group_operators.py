@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from gambrel.llm.decontamination import words_of
-from gambrel.llm.near_dedup import deduplicate, near_duplicates, probability_jaccard, shingles, signatures
+from gambrel.llm.near_dedup import MAPS, deduplicate, may_be_alike, near_duplicates, packed_features, probability_jaccard, run_maps, shingles, signatures
 from gambrel.llm.sharding import assign_shards
 from gambrel.llm.warc import assemble, read_archives, write_archives
 
@@ -129,6 +129,18 @@ def test_odds_bound_the_similarity():
         assert probability_jaccard(*pair) <= 1 / (1 + sum(odds)) + 1e-12
 
 
+def test_maps_bound_the_similarity(spark):
+    texts = {k: " ".join(changed(prose(9, 100) + prose(8, 10) * (k % 2), k, k % 3)) for k in range(30)} | {90: "one", 91: "one two", 92: " ".join(prose(3, 600)), 93: " ".join(changed(prose(3, 600), 5, 5))}
+    made = spark.createDataFrame([(bytes([k]), t) for k, t in texts.items()], "content binary, text string")
+    maps = run_maps(packed_features(made))
+    led = maps.select(*[maps[c].alias("a" if c == "content" else f"a_{c}") for c in ["content", *MAPS]])
+    passed = {(r.content[0], r.a[0]) for r in maps.crossJoin(led).where(may_be_alike(0.25)).select("content", "a").collect()}
+    runs = {k: weights(t) for k, t in texts.items()}
+    near = {(a, b) for a in runs for b in runs if exact(runs[a], runs[b]) >= 0.8}
+    assert near <= passed and len(near) > len(texts)
+    assert all(exact(runs[a], runs[b]) >= 0.6 for a, b in passed)
+
+
 def test_signature_estimates_probability_jaccard():
     texts = [" ".join(prose(5, 300)), " ".join(changed(prose(5, 300), 9, 8)), "a b c d e " * 40 + " ".join(prose(6, 100)), "a b c d e " * 40 + " ".join(prose(7, 100))]
     folded = [t.encode() for t in map(str.strip, texts)]
