@@ -166,17 +166,25 @@ def panel_points(fractions: Column, width: Column, height: Column) -> Column:
 
 
 def straightness(points: Column) -> Column:
-    """Of a path, the largest distance from its principal axis over its extent along it, in closed form."""
+    """Of a path, the largest distance from its principal axis over the diagonal of its bounds, in closed form; 0 for
+    under three points or none apart."""
 
     def about(c: Column) -> Column:
         dx, dy = (lambda p: _x(p) - _x(c)), (lambda p: _y(p) - _y(c))
         sxx, syy, sxy = (_total(points, f) for f in (lambda p: dx(p) * dx(p), lambda p: dy(p) * dy(p), lambda p: dx(p) * dy(p)))
-        return let(0.5 * F.atan2(2 * sxy, sxx - syy), lambda angle: along(c, angle))
+        return let(0.5 * F.atan2(2 * sxy, sxx - syy), lambda angle: across(c, angle))
 
-    def along(c: Column, angle: Column) -> Column:
-        across = F.array_max(F.transform(points, lambda p: F.abs((_y(p) - _y(c)) * F.cos(angle) - (_x(p) - _x(c)) * F.sin(angle))))
-        at = F.transform(points, lambda p: (_x(p) - _x(c)) * F.cos(angle) + (_y(p) - _y(c)) * F.sin(angle))
-        span = F.array_max(at) - F.array_min(at)
-        return F.when(span < 1e-9, 0.0).otherwise(across / span)
+    def across(c: Column, angle: Column) -> Column:
+        most = F.array_max(F.transform(points, lambda p: F.abs((_y(p) - _y(c)) * F.cos(angle) - (_x(p) - _x(c)) * F.sin(angle))))
+        return let(bounds(points), lambda b: most / F.nullif(F.hypot(b["x1"] - b["x0"], b["y1"] - b["y0"]), F.lit(0.0)))
 
-    return let(vertex_mean(points), about)
+    return F.when(F.size(points) < 3, 0.0).otherwise(F.coalesce(let(vertex_mean(points), about), F.lit(0.0)))
+
+
+def axis_share(points: Column, within: float = 14.0) -> Column:
+    """A5: the share of an outline's length in sides at most ``within`` degrees off an axis; 0 for under four points."""
+    length = lambda e: F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"])
+    turn = lambda e: F.pmod(F.degrees(F.atan2(e["by"] - e["ay"], e["bx"] - e["ax"])), F.lit(90.0))
+    along = lambda e: F.least(turn(e), 90 - turn(e)) <= within
+    share = let(edges(points), lambda v: _total(F.filter(v, along), length) / F.nullif(_total(v, length), F.lit(0.0)))
+    return F.when(F.size(points) < 4, 0.0).otherwise(F.coalesce(share, F.lit(0.0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gambrel.functions import polygon as P
+from gambrel.operators import rooms
 from gambrel.operators import runs as R
 
 OUTLINE, INK = 100, 200
@@ -54,21 +56,9 @@ def hole_share(labels: DataFrame, measures: DataFrame, least: int = MIN_DIM) ->
     return measures.join(held, ["img", "comp"], "left").select("img", "comp", F.coalesce(F.col("big") / (F.col("area") + F.col("all")), F.lit(0.0)).alias("holes"))
 
 
-def straight_share(labels: DataFrame) -> DataFrame:
-    """A5: (img, comp, axis): of a cell's outer sides, the share along the axes.
-
-    A side pixel counts as along an axis if its run of side pixels on one line or column is five long or more; shorter
-    steps are what slanted and curved sides leave. This replaces tracing and simplifying the outline; see the README.
-    """
-    ends = labels.select("img", "comp", "y", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x0").alias("x")), F.struct(F.lit(1).alias("side"), F.col("x1").alias("x")))).alias("e"))
-    upright = R.islands(ends.select("img", "comp", F.col("e.side").alias("side"), F.col("e.x").alias("x"), "y"), ["img", "comp", "side", "x"], "y").select("img", "comp", "n")
-    outer = labels.select("img", "comp", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    w = Window.partitionBy("img", "comp", "x").orderBy("y")
-    top = outer.withColumn("a", F.lag("y").over(w)).withColumn("b", F.lead("y").over(w))
-    flat = lambda c, step, side: top.where(F.col(c).isNull() | (F.col(c) != F.col("y") + step)).select("img", "comp", F.lit(side).alias("side"), "y", "x")
-    level = R.islands(flat("a", -1, 2).union(flat("b", 1, 3)), ["img", "comp", "side", "y"], "x").select("img", "comp", "n")
-    sides = upright.union(level)
-    return sides.groupBy("img", "comp").agg((F.sum(F.when(F.col("n") >= 5, F.col("n")).otherwise(0)) / F.sum("n")).alias("axis"))
+def straight_share(labels: DataFrame, share: float = 0.02) -> DataFrame:
+    """A5: (img, comp, axis): of a cell's outline, simplified by ``share`` of its length, the share along the axes."""
+    return rooms.traced(labels, share=share).select("img", "comp", P.axis_share(F.col("points")).alias("axis"))
 
 
 def is_opening(area: Column, width: Column, height: Column, holes: Column, axis: Column) -> Column:
@@ -96,7 +86,7 @@ def logical_openings(labels: DataFrame, kernel: int = 7) -> DataFrame:
 
 
 def ratios(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Opening and wall pixels, their ratio (null without wall) and two shares, of cells (keys, area, opening)."""
+    """Opening and wall pixels, their ratio (null without wall) and the openings' share, of cells (keys, area, opening)."""
     s = cells.groupBy(*keys).agg(F.sum(F.when(F.col("opening"), F.col("area")).otherwise(0)).alias("opening_px"), F.sum(F.when(F.col("opening"), 0).otherwise(F.col("area"))).alias("wall_px"))
     both = F.col("opening_px") + F.col("wall_px")
     return s.select(*keys, "opening_px", "wall_px", (F.col("opening_px") / F.nullif("wall_px", F.lit(0))).alias("ratio"), (F.col("opening_px") / F.nullif(both, F.lit(0))).alias("opening_share"))
@@ -109,7 +99,8 @@ def opening_sizes(openings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def analyze(pixels: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A1 to A10: one row an image (status, ratio, sizes), and its openings with their share of the classified area.
+    """A1 to A10: one row an image (status, ratio, shares of the cells and of the envelope, sizes), and its openings with
+    their share of the classified area.
 
     ``pixels``: (img, y, x, gray) of all or only the dark ones; ``sizes``: (img, width, height). An image without a
     building has a row with that status and nulls.
@@ -122,4 +113,6 @@ def analyze(pixels: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = ratios(judged, ["img"])
     total = F.col("opening_px") + F.col("wall_px")
     shared = openings.join(totals, "img").withColumn("area_frac", F.col("area_px") / F.when(total == 0, 1).otherwise(total)).drop("opening_px", "wall_px", "ratio", "opening_share")
-    return env.join(totals, "img", "left").join(opening_sizes(openings, ["img"]), "img", "left").fillna(0, ["openings"]), shared
+    box = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    summary = env.join(totals, "img", "left").withColumn("envelope_share", F.col("opening_px") / box)
+    return summary.join(opening_sizes(openings, ["img"]), "img", "left").fillna(0, ["openings"]), shared

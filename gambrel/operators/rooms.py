@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
 from gambrel.operators import runs as R
+from gambrel.shared import materialise
 
 
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
@@ -97,14 +98,17 @@ def outline(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return best
 
 
-def traced(labels: DataFrame, tolerance: float = 10.0) -> DataFrame:
+def traced(labels: DataFrame, tolerance: float = 10.0, share: float = 0.0) -> DataFrame:
     """(img, comp, points) of labelled runs: the outer outline, simplified; components under three points drop out.
+    ``share`` of the outline's length, if given, is the tolerance instead.
 
     Components are grouped one by one; a group is a component's runs.
     """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        line = simplified([(float(x), float(y)) for x, y in outline(list(zip(frame.y, frame.x0, frame.x1)))], tolerance)
+        line = [(float(x), float(y)) for x, y in outline(list(zip(frame.y, frame.x0, frame.x1)))]
+        length = sum(math.dist(p, q) for p, q in zip(line, [*line[1:], line[0]]))
+        line = simplified(line, share * length if share else tolerance)
         rows = [(frame.img.iloc[0], int(frame.comp.iloc[0]), [list(p) for p in line])] if len(line) >= 3 else []
         return pd.DataFrame(rows, columns=["img", "comp", "points"])
 
@@ -193,15 +197,23 @@ def best_radius(scores: DataFrame) -> DataFrame:
 
 
 def component_gaps(labels: DataFrame, least: int = 800) -> DataFrame:
-    """(img, i, j, gap) of the large components of each image: the least distance of their outlines, between runs
-    of any two lines; the pairs are of components, a handful an image, and each is reduced line by line."""
+    """(img, i, j, gap, xi, yi, xj, yj) of the large components of each image: the least distance between runs of
+    any two lines, and the pixels that are so near; the first by line and column of equals. The pairs are of components, a
+    handful an image, and each is reduced line by line."""
     big = R.measures(labels).where(F.col("area") >= least).select("img", "comp")
     lines = labels.join(big, ["img", "comp"], "left_semi").select("img", "comp", "y", "x0", "x1")
     packed = lines.groupBy("img", "comp").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("r"))
     pairs = packed.select("img", F.col("comp").alias("i"), F.col("r").alias("ri")).join(packed.select("img", F.col("comp").alias("j"), F.col("r").alias("rj")), "img").where("i < j")
-    apart = lambda a, b: F.hypot((a["y"] - b["y"]).cast("double"), F.greatest(F.lit(0), a["x0"] - b["x1"], b["x0"] - a["x1"]).cast("double"))
+
+    def apart(a: Column, b: Column) -> Column:
+        both = F.greatest(a["x0"], b["x0"])
+        xa = F.when(a["x1"] < b["x0"], a["x1"]).when(b["x1"] < a["x0"], a["x0"]).otherwise(both)
+        xb = F.when(a["x1"] < b["x0"], b["x0"]).when(b["x1"] < a["x0"], b["x1"]).otherwise(both)
+        gap = F.hypot((a["y"] - b["y"]).cast("double"), (xa - xb).cast("double"))
+        return F.struct(gap.alias("gap"), a["y"].alias("yi"), xa.alias("xi"), b["y"].alias("yj"), xb.alias("xj"))
+
     least_of = F.array_min(F.transform("ri", lambda a: F.array_min(F.transform("rj", lambda b: apart(a, b)))))
-    return pairs.select("img", "i", "j", least_of.alias("gap"))
+    return pairs.select("img", "i", "j", least_of.alias("g")).select("img", "i", "j", "g.gap", "g.xi", "g.yi", "g.xj", "g.yj")
 
 
 def bridge_cutoff(gaps: DataFrame, jump: float = 1.6) -> DataFrame:
@@ -235,21 +247,23 @@ def merge_radius(gaps: DataFrame, images: DataFrame, margin: int = 8) -> DataFra
     return images.select("img").join(found, "img", "left").fillna(margin, ["radius"])
 
 
-def silhouettes(mask: DataFrame, sizes: DataFrame, radius: int, tolerance: float = 6.0, least: int = 800, tries: int = 6) -> DataFrame:
-    """(img, points, how) of each image's mask: closed at ``radius``, then at 1.5 times and one more, until at most one
-    large component is left, whose outline it is; else the hull. Images that are done leave the next try."""
+def silhouettes(mask: DataFrame, sizes: DataFrame, radius: int | DataFrame, tolerance: float = 6.0, least: int = 800, tries: int = 6) -> DataFrame:
+    """(img, points, how) of each image's mask: closed at ``radius``, a number or (img, radius), then at 1.5 times and
+    one more, until at most one large component is left, whose outline it is; else the hull. Images that are done leave the
+    next try."""
     done, todo = None, mask
+    radii = sizes.select("img", F.lit(radius).alias("radius")) if isinstance(radius, int) else radius
     for _ in range(tries):
-        labels = R.labelled(R.closed(todo, sizes, radius), eight=True)
+        labels = R.labelled(R.closed(todo, sizes, radii), eight=True)
         m = R.measures(labels)
         ok = m.groupBy("img").agg(F.count_if(F.col("area") >= least).alias("big"), F.max_by("comp", "area").alias("comp")).where("big <= 1").select("img", "comp")
         mine = labels.join(ok, ["img", "comp"], "left_semi")
         found = traced(mine, tolerance).select("img", "points", F.lit("traced").alias("how"))
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(ok, "img", "left_anti")
+        todo = materialise(todo.join(ok, "img", "left_anti"), "open-masks")
         if todo.isEmpty():
             break
-        radius = int(radius * 1.5) + 1
+        radii = radii.select("img", (F.floor(F.col("radius") * 1.5) + 1).cast("int").alias("radius"))
     return done.unionByName(hulls(todo, ["img"]).select("img", "points", F.lit("hull").alias("how")))
 
 
@@ -260,12 +274,12 @@ def robust_silhouette(bridged: DataFrame, plain: DataFrame, hull_area: DataFrame
     return j.select("img", F.when(good, F.col("b")).otherwise(F.col("p")).alias("points"))
 
 
-def doors(segments: DataFrame, labels: DataFrame, ink: DataFrame, rooms: DataFrame, offset: int = 10, share: float = 0.55, samples: int = 12, gap: tuple[int, int] = (12, 90), half: int = 5, symbol: int = 40, window: int = 55) -> DataFrame:
+def doors(segments: DataFrame, labels: DataFrame, ink: DataFrame, rooms: DataFrame, offset: int = 10, share: float = 0.55, samples: int = 12, gap: tuple[int, int] = (12, 90), half: int = 5, symbol: int = 40, window: int = 55, off: int = 4) -> DataFrame:
     """(img, a, b, x, y): doors between traced rooms or circulation (img, comp).
 
     Along a wall, components 10 to either side of each inked position are counted; the commonest of each side must differ
     and cover ``share`` of the inked positions. An ink-free stretch of the wall's band, 12 to 90 long, is a door if ink of
-    its symbol, ``symbol`` pixels, lies in a window to one side. Horizontal walls first, the first door of two rooms counts.
+    its symbol, ``symbol`` pixels, lies in a window to one side, ``off`` lines from the wall on. Horizontal walls first, the first door of two rooms counts.
     """
     s = segments.withColumn("seg", F.struct("axis", "coord", "a", "b"))
     at = s.select("img", "seg", "axis", "coord", F.explode(F.sequence("a", "b")).alias("t"))
@@ -288,14 +302,14 @@ def doors(segments: DataFrame, labels: DataFrame, ink: DataFrame, rooms: DataFra
     bare = R.islands(mine.select("img", "seg", "t").join(some, ["img", "seg", "t"], "left_anti"), ["img", "seg"], "t")
     holes = bare.where((F.col("stop") - F.col("start") + 1).between(*gap)).withColumn("mid", F.floor((F.col("start") + F.col("stop")) / 2).cast("int"))
     placed = holes.join(pair, ["img", "seg"]).select("img", "seg", "a", "b", "mid", F.when(F.col("seg.axis") == "h", F.col("mid")).otherwise(F.col("seg.coord")).alias("x"), F.when(F.col("seg.axis") == "h", F.col("seg.coord")).otherwise(F.col("mid")).alias("y"))
-    reach = window // 2
-    lines = placed.withColumn("line", F.explode(F.sequence(F.lit(-window), F.lit(window)))).where("line <> 0")
-    # for a horizontal wall a line is a row of the window above or below; for a vertical one the window turns
-    horizontal = F.col("seg.axis") == "h"
-    spot = lines.withColumn("py", F.when(horizontal, F.col("y") + F.col("line")).otherwise(F.col("y") - reach + F.pmod(F.col("line") + window, F.lit(2 * reach + 1))))
-    low = F.when(horizontal, F.col("x") - reach).otherwise(F.when(F.col("line") < 0, F.col("x") - window).otherwise(F.col("x") + 1))
-    high = F.when(horizontal, F.col("x") + reach).otherwise(F.when(F.col("line") < 0, F.col("x") - 1).otherwise(F.col("x") + window))
-    spot = spot.select("img", "seg", "a", "b", "mid", "x", "y", (F.col("line") < 0).alias("before"), low.alias("w0"), high.alias("w1"), F.col("py").alias("py")).distinct()
+    # the window's lines on either side, ``off`` or more from the wall; ends are half-open
+    reach, horizontal = window // 2, F.col("seg.axis") == "h"
+    line = lambda before, dy, low, high: F.struct(F.lit(before).alias("before"), (F.col("y") + dy).cast("int").alias("py"), (F.col("x") + low).alias("w0"), (F.col("x") + high).alias("w1"))
+    lines = lambda before, ys, low, high: F.transform(F.sequence(F.lit(ys[0]), F.lit(ys[1])), lambda d: line(before, d, low, high))
+    across, along = ((-window, -off - 1), (off, window - 1)), (-reach, reach - 1)
+    flat = F.concat(*[lines(k == 0, ys, *along) for k, ys in enumerate(across)])
+    upright = F.concat(*[lines(k == 0, along, *xs) for k, xs in enumerate(across)])
+    spot = placed.select("img", "seg", "a", "b", "mid", "x", "y", F.inline(F.when(horizontal, flat).otherwise(upright)))
     met = spot.join(ink.select("img", F.col("y").alias("py"), "x0", "x1"), ["img", "py"]).where("x0 <= w1 and x1 >= w0")
     amount = F.sum(F.least("x1", "w1") - F.greatest("x0", "w0") + 1)
     strong = met.groupBy("img", "seg", "a", "b", "mid", "x", "y", "before").agg(amount.alias("px")).where(F.col("px") >= symbol)

@@ -87,13 +87,24 @@ def eroded(runs: DataFrame, sizes: DataFrame, shape: dict[int, int]) -> DataFram
     return complement(dilated(complement(runs, sizes), shape), sizes)
 
 
-def closed(runs: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
-    """Dilation, then erosion, by a disc, on a canvas widened so that borders do not matter."""
-    pad = radius + 1
-    moved = runs.select("img", (F.col("y") + pad).alias("y"), (F.col("x0") + pad).alias("x0"), (F.col("x1") + pad).alias("x1"))
-    canvas = sizes.select("img", (F.col("width") + 2 * pad).alias("width"), (F.col("height") + 2 * pad).alias("height"))
-    out = eroded(dilated(moved, disc(radius)), canvas, disc(radius))
-    return out.select("img", (F.col("y") - pad).alias("y"), (F.col("x0") - pad).alias("x0"), (F.col("x1") - pad).alias("x1"))
+def grown(runs: DataFrame, radii: DataFrame) -> DataFrame:
+    """Runs widened by a disc of their image's radius (img, radius)."""
+    r = F.col("radius")
+    shape = F.transform(F.sequence(-r, r), lambda dy: F.struct(dy.alias("dy"), F.floor(F.sqrt((r * r - dy * dy).cast("double"))).cast("int").alias("w")))
+    wide = runs.join(radii, "img").select("img", "y", "x0", "x1", F.explode(shape).alias("o"))
+    return merged(wide.select("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x0") - F.col("o.w")).alias("x0"), (F.col("x1") + F.col("o.w")).alias("x1")))
+
+
+def closed(runs: DataFrame, sizes: DataFrame, radius: int | DataFrame) -> DataFrame:
+    """Dilation, then erosion, by a disc of ``radius``, a number or (img, radius), on a canvas widened so that borders do
+    not matter."""
+    radii = sizes.select("img", F.lit(radius).alias("radius")) if isinstance(radius, int) else radius
+    pad, at = radii.select("img", (F.col("radius") + 1).alias("pad")), lambda c: F.col(c) + F.col("pad")
+    moved = runs.join(pad, "img").select("img", at("y").alias("y"), at("x0").alias("x0"), at("x1").alias("x1"))
+    canvas = sizes.join(pad, "img").select("img", (F.col("width") + 2 * F.col("pad")).alias("width"), (F.col("height") + 2 * F.col("pad")).alias("height"))
+    out = complement(grown(complement(grown(moved, radii), canvas), radii), canvas)
+    back = lambda c: (F.col(c) - F.col("pad")).alias(c)
+    return out.join(pad, "img").select("img", back("y"), back("x0"), back("x1"))
 
 
 def minus(runs: DataFrame, other: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def away_from_labels(segments: DataFrame, labels: DataFrame, longest: int = 110,
 
 def comb_patterns(segments: DataFrame, spacing: int = 24, ratio: float = 1.6, least: int = 4, even: float = 0.35) -> DataFrame:
     """Segments, less combs: of lines chained by ``spacing``, four or more of like length that overlap by over half of
-    the longer, evenly apart (population deviation over mean at most ``even``). A line seeds a cluster of later ones."""
+    the longer, evenly apart (population deviation over mean at most ``even``). A line seeds a cluster of later ones; what
+    was in a cluster neither seeds nor joins another, whether its cluster was a comb or not."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["coord", "a"]).reset_index(drop=True)
@@ -61,17 +62,17 @@ def comb_patterns(segments: DataFrame, spacing: int = 24, ratio: float = 1.6, le
                 if i in used:
                     continue
                 s = part.loc[i]
-                size = s.b - s.a
+                size = max(1, s.b - s.a)
                 rest = part.loc[[j for j in part.index if j > i and j not in used]]
-                other = rest.b - rest.a
-                longer, shorter = other.clip(lower=size), other.clip(upper=size).clip(lower=1)
+                other = (rest.b - rest.a).clip(lower=1)
+                longer, shorter = other.clip(lower=size), other.clip(upper=size)
                 shared = rest.b.clip(upper=s.b) - rest.a.clip(lower=s.a)
                 mates = [i, *rest.index[(longer / shorter <= ratio) & (shared > 0.5 * longer)]]
+                used |= set(mates)
                 if len(mates) >= least:
                     gaps = part.coord.loc[mates].diff().dropna()
                     if gaps.mean() > 0 and gaps.std(ddof=0) / gaps.mean() <= even:
                         gone |= set(mates)
-                        used |= set(mates)
         return frame.drop(index=list(gone))
 
     return segments.groupBy("img", "axis").applyInPandas(one, segments.schema)
@@ -96,8 +97,12 @@ def nearest_walls(points: DataFrame, segments: DataFrame, slack: int = 36, beyon
 
 
 def ray_cap(boxes: DataFrame, diagonal: Column, probe: float = 0.35, multiple: float = 1.6, floor: float = 60.0) -> DataFrame:
-    """Per image, from its labels' probed box sides (img, side) and its diagonal, how far rays may go."""
-    return boxes.groupBy("img").agg(F.greatest(F.lit(floor), F.least(F.first(diagonal) * probe, multiple * F.median("side"))).alias("cap"))
+    """Per image, from its labels' probed distances (img, side) and its diagonal, how far rays may go: a multiple of
+    the median of those that met a wall, between ``floor`` and the probe's own reach; that reach if none did."""
+    far = F.floor(diagonal * probe)
+    seen = boxes.select("img", far.alias("far"), F.when(F.col("side") < far, F.col("side")).alias("side"))
+    cap = F.greatest(F.lit(floor), F.least(F.first("far"), multiple * F.coalesce(F.median("side"), F.first("far"))))
+    return seen.groupBy("img").agg(F.floor(cap).cast("int").alias("cap"))
 
 
 def corners(segments: DataFrame, gap: int = 90) -> DataFrame:
@@ -145,30 +150,37 @@ def group_tokens(tokens: DataFrame, dx: float = 60.0, dy: float = 22.0) -> DataF
 
 
 def separated_boxes(boxes: DataFrame, passes: int = 12) -> DataFrame:
-    """Overlapping boxes (img, id, ord, fixed, x0, y0, x1, y1) drawn apart: of two, the later that is not fixed gives
-    way along the dimension of least overlap, again until nothing overlaps or ``passes`` are done."""
+    """Overlapping boxes (img, id, ord, fixed, x0, y0, x1, y1) drawn apart, again until nothing overlaps or ``passes``
+    are done. Of two free boxes the later gives way, then each to the fixed ones, which stay. A box gives way along the
+    overlap's lesser side: its low edge, if it lies in the other box, moves to the overlap's end, else its high edge back.
+    """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        b = frame.sort_values("ord").reset_index(drop=True)
+        frame = frame.sort_values("ord").reset_index(drop=True)
+        box = frame[["x0", "y0", "x1", "y1"]].to_numpy(float).tolist()
+        fixed = frame.fixed.tolist()
+        free, still = [k for k, f in enumerate(fixed) if not f], [k for k, f in enumerate(fixed) if f]
+
+        def gives_way(k: int, other: int) -> bool:
+            low = [max(box[k][d], box[other][d]) for d in (0, 1)]
+            high = [min(box[k][d + 2], box[other][d + 2]) for d in (0, 1)]
+            if min(high[0] - low[0], high[1] - low[1]) <= 1:
+                return False
+            d = 0 if high[0] - low[0] <= high[1] - low[1] else 1
+            if box[k][d] >= low[d]:
+                box[k][d] = high[d]
+            else:
+                box[k][d + 2] = low[d]
+            return True
+
         for _ in range(passes):
             moved = False
-            for j in range(len(b)):
-                for i in range(j):
-                    k, o = (j, i) if not b.fixed[j] else (i, j)
-                    if b.fixed[k]:
-                        continue
-                    w = min(b.x1[i], b.x1[j]) - max(b.x0[i], b.x0[j])
-                    h = min(b.y1[i], b.y1[j]) - max(b.y0[i], b.y0[j])
-                    if w <= 1 or h <= 1:
-                        continue
-                    low, high, cut = ("x0", "x1", w) if w <= h else ("y0", "y1", h)
-                    if b[low][k] + b[high][k] >= b[low][o] + b[high][o]:
-                        b.loc[k, low] = b[low][k] + cut
-                    else:
-                        b.loc[k, high] = b[high][k] - cut
-                    moved = True
+            for n, i in enumerate(free):
+                for k, other in [*((j, i) for j in free[n + 1 :]), *((i, f) for f in still)]:
+                    moved |= gives_way(k, other)
             if not moved:
                 break
-        return b
+        frame[["x0", "y0", "x1", "y1"]] = box
+        return frame
 
     return boxes.groupBy("img").applyInPandas(one, boxes.schema)
