@@ -8,9 +8,10 @@ whole graph of patterns and instances; tokens that trusted patterns introduce ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gambrel.functions.polygon import let
 from gambrel.llm.common import materialise, quoted, shut, without
 
 #: The four kinds, in order. Anchors and possessive repeats change nothing in what matches, only that long runs of one
@@ -25,6 +26,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT = "context"
+#: Matches that a fold places at a time.
+CHUNK = 128
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 #: A key by its form: 32 hexadecimal digits or more, with a letter and a figure.
 KEY = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
@@ -35,19 +38,33 @@ ADDED = ("base_spans", "found_spans", "spans")
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost matches that do not overlap: array of (start, end, value, gap), in code points; gap is the text before.
 
-    The text between matches and the matches themselves are two arrays; a fold over their lengths places them.
+    The text between matches and the matches themselves are two arrays; a fold over their lengths places them. A fold that
+    appends copies what it has, so it works on CHUNK matches at a time, each chunk from 0 on, and a fold over the chunks'
+    lengths moves them.
     """
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,gap:string>>").alias("out"))
+    one = "array<struct<start:int,end:int,value:string,gap:string>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(one).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.char_length(p["g"])
         end = start + F.char_length(p["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("value"), p["g"].alias("gap"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("value"), p["g"].alias("gap")))).alias("out"))
+
+    def move(acc: Column, c: Column) -> Column:
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before"))
+
+    def placed(chunks: Column) -> Column:
+        before = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before")), move)["before"]
+        by = lambda c, n: F.transform(c["out"], lambda m: F.struct((m["start"] + n).alias("start"), (m["end"] + n).alias("end"), m["value"].alias("value"), m["gap"].alias("gap")))
+        return F.flatten(F.zip_with(chunks, before, by))
+
+    def chunked(p: Column) -> Column:
+        starts = F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(starts, lambda i: F.aggregate(F.slice(p, i, CHUNK), none, step)), placed)
 
     # the last gap has no match behind it
-    return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), none, step)["out"]
+    return let(F.filter(pairs, lambda p: p["m"].isNotNull()), chunked)
 
 
 def luhn(digits: Column) -> Column:
@@ -91,9 +108,8 @@ def tokens(text: Column, some: Column) -> Column:
     Each with its patterns: the word to its left, and the two words to its left, in lower case with figures as 0. Words
     are looked for from the token before it on; a token with none there has no pattern and is left out.
     """
-    found = matches(text, TOKEN)
 
-    def one(m: Column, i: Column) -> Column:
+    def one(found: Column, m: Column, i: Column) -> Column:
         lead = F.char_length(F.regexp_extract(m["value"], r"^[\"'(\[{<|]*", 0))
         bare = F.regexp_replace(F.regexp_replace(m["value"], r"^[\"'(\[{<|]+", ""), r"[\"')\]}>.,;:!?|#$%&*]+$", "")
         before = F.concat(F.coalesce(F.get(found, i - 1)["value"], F.lit("")), m["gap"])
@@ -102,7 +118,8 @@ def tokens(text: Column, some: Column) -> Column:
         start = m["start"] + lead
         return F.struct(start.alias("start"), (start + F.char_length(bare)).alias("end"), bare.alias("value"), left.alias("left"))
 
-    kept = F.filter(F.transform(found, one), lambda t: (F.char_length(t["value"]) >= 4) & (F.size(t["left"]) > 0))
+    every = let(matches(text, TOKEN), lambda found: F.transform(found, lambda m, i: one(found, m, i)))
+    kept = F.filter(every, lambda t: (F.char_length(t["value"]) >= 4) & (F.size(t["left"]) > 0))
     return F.when(some, kept).otherwise(F.array().cast(TOKENS))
 
 
@@ -119,9 +136,14 @@ def instances(found: DataFrame, keys: list[str]) -> DataFrame:
 
     ``known``: a base span covers part of the token, which so is no find. Known tokens and keys by form are seeds.
     """
-    rows = found.where(F.size("tokens") > 0).select(*keys, "base_spans", F.explode("tokens").alias("t"))
-    known = F.exists("base_spans", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    rows = rows.select(*keys, "t.start", "t.end", "t.value", F.explode("t.left").alias("left"), known.alias("known"))
+    one = lambda name: found.where(F.size(name) > 0).select(*keys, F.explode(name).alias("t"))
+    tokens_ = one("tokens").select(*keys, F.col("t.end").alias("at"), F.lit(0).alias("side"), "t.start", "t.end", "t.value", "t.left")
+    base = one("base_spans").select(*keys, F.col("t.start").alias("at"), F.lit(1).alias("side"), "t.start", "t.end", F.lit(None).cast("string").alias("value"), F.lit(None).cast("array<string>").alias("left"))
+    # of the base spans that start before a token ends, one that ends after its start covers part of it
+    before = Window.partitionBy(*keys).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.max(F.when(F.col("side") == 1, F.col("end"))).over(before) > F.col("start"), F.lit(False))
+    rows = tokens_.unionByName(base).withColumn("known", known).where("side = 0")
+    rows = rows.select(*keys, "start", "end", "value", F.explode("left").alias("left"), "known")
     return rows.withColumn("seed", F.col("known") | F.rlike("value", F.lit(KEY)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -224,27 +225,44 @@ def luhn(d):
 PII = "mail a@b.com, x.y@c-d.org. 10.0.0.1 and 300.1.1.1 00001.2.3.4 4111 1111 1111 1111 or 4111111111111112 +1 (504) 555-2652 +12 3 éa@é.fr a.b@c@d.ef @ 1.2.3.4.5.6.7.8 +++1--------9 "
 
 
+DIGITS = lambda m: re.sub("[^0-9]", "", m)
+KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(DIGITS(m)) <= 19 and luhn(DIGITS(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(DIGITS(m)) <= 15),
+]
+
+
+def plain_spans(text: str) -> list[tuple]:
+    """(start, rank, kind, end) by the plain expressions of the contract."""
+    return sorted((m.start(), k, kind, m.end()) for k, (kind, p, ok) in enumerate(KINDS) for m in re.finditer(p, text) if ok(m.group()))
+
+
 def test_base_pii(spark):
     texts = [PII, None, "", "x" * 50_000 + "@", "1" * 30_000, "a" * 20_000 + "1 b@c.de", PII, "é日 +44 20 7946 0958", "1-2 " * 3000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    digits = lambda m: re.sub("[^0-9]", "", m)
-    kinds = [
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
-        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
-    ]
     for r in find_spans(df).collect():
         text = texts[r.doc_id] or ""
+        shift = 0
         if len(text) > 20_000 and "@" in text:  # the plain expression is quadratic there
             text = re.sub(r"^[ax]{10000,}", "", text)
             shift = len(texts[r.doc_id]) - len(text)
-        else:
-            shift = 0
-        want = sorted((m.start() + shift, k, kind, m.end() + shift) for k, (kind, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m.group()))
+        want = [(a + shift, k, kind, b + shift) for a, k, kind, b in plain_spans(text)]
         assert [(s.start, s.rank, s.kind, s.end) for s in r.base_spans] == want, r.doc_id
 
 
+def test_many_tokens_in_one_text(spark):
+    """A table of figures: the cost of a text is in proportion to its tokens, and all of them are placed."""
+    rows = [f"row{i} 10.0.{i % 256}.{i % 200} x{i}@y.org +1 (555) 100-{1000 + i} end" for i in range(5000)]
+    df = spark.createDataFrame([(1, "\n".join(rows))], "doc_id long, text string")
+    began = time.time()
+    r = find_spans(df).first()
+    took = time.time() - began
+    assert [(s.start, s.rank, s.kind, s.end) for s in r.base_spans] == plain_spans("\n".join(rows)) and len(r.base_spans) == 15_000
+    assert took < 60
+
+
 def test_contexts_find_unseen_identifiers(spark):
     seeds = [(i, f"please write to user at mail{i}@site.com today") for i in range(6)]
     unseen = [(10, "please write to user at mail10_site.com today"), (11, "the year 1999 was long")]
