@@ -104,8 +104,41 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
+#: Runs of letters, and the share of (document, run) pairs that lose a letter, in op11's words.
+LETTERS, SLIP = r"[A-Za-z\u00C0-\u00FF]+", 97
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.spelling import group_variants, vocabulary, words_of
+
+    words = words_of(table(spark, sf_dir, "documents"), LETTERS)
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")))
+    at = (F.col("h") % F.char_length("word")).cast("int")
+    slip = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
+    words = words.withColumn("h", h).select(F.when(F.col("h") % SLIP == 0, slip).otherwise(F.col("word")).alias("word"))
+    return group_variants(vocabulary(words)).select("word", "form", "root", "n", F.col("n_near").cast("long").alias("n_near"), "form_n")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    known = docs.join(labels, "doc_id").where(fold != 0)
+    scored = score(docs, fit(known, fold == 4))
+    return scored.select("doc_id", (F.coalesce(fold, F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gambrel.llm.hard_negatives import mine, prepared
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(prepared(table(spark, sf_dir, "embeddings"), label=label))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_find_pii, op3_token_files, op4_remove_repeats, op5_warc_captures, op6_assign_shards, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates, op11_spelling_variants, op12_toxicity, op13_hard_negatives)}
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_find_pii, op3_token_files, op4_remove_repeats, op5_warc_captures, op6_assign_shards, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates)}
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
