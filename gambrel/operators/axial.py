@@ -13,13 +13,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
+from gambrel.operators.graph import folded_back
 from gambrel.shared import materialise
 
 
+def met_cells(lines: DataFrame) -> DataFrame:
+    """(case, line, cx, cy): the grid cells that a line passes, column by column. A case's cells are its extent over the root
+    of its lines, so a line passes a number of cells in proportion to that root, and few lines share one."""
+    low = lambda a: F.least(f"{a}0", f"{a}1")
+    high = lambda a: F.greatest(f"{a}0", f"{a}1")
+    per = lines.groupBy("case").agg(F.min(low("x")).alias("left"), F.min(low("y")).alias("top"), F.greatest(F.max(high("x")) - F.min(low("x")), F.max(high("y")) - F.min(low("y")), F.lit(1e-9)).alias("size"), F.count(F.lit(1)).alias("n"))
+    on = lines.join(per, "case").withColumn("cell", F.col("size") / F.ceil(F.sqrt("n")))
+    column = lambda x: F.floor((x - F.col("left")) / F.col("cell")).cast("int")
+    on = on.withColumn("cx", F.explode(F.sequence(column(low("x")), column(high("x")))))
+    # the line's ys in its column, a hair wider than the column
+    hair = F.col("cell") * 1e-6
+    ends = [F.greatest(F.least(F.col("left") + F.col("cx") * F.col("cell") - hair, high("x")), low("x")), F.least(F.greatest(F.col("left") + (F.col("cx") + 1) * F.col("cell") + hair, low("x")), high("x"))]
+    y = lambda x: F.when(F.col("x1") == F.col("x0"), F.col("y0")).otherwise(F.col("y0") + (x - F.col("x0")) * (F.col("y1") - F.col("y0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0)))
+    other = lambda x: F.when(F.col("x1") == F.col("x0"), F.col("y1")).otherwise(y(x))
+    row = lambda v: F.floor((v - F.col("top")) / F.col("cell")).cast("int")
+    a, b = row(F.least(y(ends[0]), other(ends[1])) - hair), row(F.greatest(y(ends[0]), other(ends[1])) + hair)
+    return on.select("case", "line", "cx", F.explode(F.sequence(a, b)).alias("cy"))
+
+
 def segments(lines: DataFrame) -> DataFrame:
-    """(case, seg, line, x0, y0, x1, y1): lines cut where others cross them."""
+    """(case, seg, line, x0, y0, x1, y1): lines cut where others cross them. Lines meet in the grid cells they pass."""
+    cells = materialise(met_cells(lines), "line-cells")
+    pairs = cells.withColumnRenamed("line", "line_p").join(cells.withColumnRenamed("line", "line_q"), ["case", "cx", "cy"]).where("line_p <> line_q").select("case", "line_p", "line_q").distinct()
     side = lambda s: lines.select("case", F.col("line").alias(f"line_{s}"), F.struct(F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by")).alias(s))
-    met = side("p").join(side("q"), "case").where("line_p <> line_q").where(P.segments_cross(F.col("p"), F.col("q")))
+    met = pairs.join(side("p"), ["case", "line_p"]).join(side("q"), ["case", "line_q"]).where(P.segments_cross(F.col("p"), F.col("q")))
     dx, dy = F.col("p.bx") - F.col("p.ax"), F.col("p.by") - F.col("p.ay")
     ex, ey = F.col("q.bx") - F.col("q.ax"), F.col("q.by") - F.col("q.ay")
     t = ((F.col("q.ax") - F.col("p.ax")) * ey - (F.col("q.ay") - F.col("p.ay")) * ex) / (dx * ey - dy * ex)
@@ -58,20 +80,29 @@ def rooted(graph: DataFrame, exterior: DataFrame) -> DataFrame:
 
 
 def weighted_paths(graph: DataFrame, digits: int = 9) -> DataFrame:
-    """(case, src, node, d, paths): least total turn from every segment to every other, and the number of such ways.
+    """(case, src, node, d, hops, paths): least total turn from every segment to every other, the fewest segments of such
+    ways, and how many ways have both.
 
-    Distances relax until none falls; ways are then counted along tight edges of positive weight, in order of distance,
-    edges without turn being counted once.
+    Straight steps cost nothing, so ways of the same turn are told apart by their steps; each step of a shortest way is then
+    one hop further, and ways are counted hop by hop. Distances and hops relax together until none falls.
     """
     g = materialise(graph, "axial-graph")
     nodes = g.select("case", F.col("a").alias("node")).distinct()
-    d = materialise(nodes.select("case", F.col("node").alias("src"), "node", F.lit(0.0).alias("d")), "axial-d")
+    at = materialise(nodes.select("case", F.col("node").alias("src"), "node", F.lit(0.0).alias("d"), F.lit(0).alias("hops"), F.lit(True).alias("new")), "axial-d")
     while True:
-        step = d.join(g.withColumnRenamed("a", "node"), ["case", "node"]).select("case", "src", F.col("b").alias("node"), F.round(F.col("d") + F.col("weight"), digits).alias("d"))
-        new = materialise(d.unionByName(step).groupBy("case", "src", "node").agg(F.min("d").alias("d")), "axial-d")
-        if new.join(d, ["case", "src", "node", "d"], "left_anti").isEmpty():
-            return d
-        d = new
+        step = at.where("new").join(g.withColumnRenamed("a", "node"), ["case", "node"]).select("case", "src", F.col("b").alias("node"), F.round(F.col("d") + F.col("weight"), digits).alias("d"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("new"))
+        # of equals the one that was there, which is not new
+        both = at.withColumn("new", F.lit(False)).unionByName(step).groupBy("case", "src", "node").agg(F.min(F.struct("d", "hops", "new")).alias("m"))
+        at = materialise(both.select("case", "src", "node", "m.*"), "axial-d")
+        if at.where("new").isEmpty():
+            break
+    reached = front = at.where("hops = 0").select("case", "src", "node", "d", "hops", F.lit(1).cast("long").alias("paths"))
+    for k in range(1, (at.agg(F.max("hops")).first()[0] or 0) + 1):
+        step = front.join(g.withColumnRenamed("a", "node"), ["case", "node"]).select("case", "src", F.col("b").alias("node"), F.round(F.col("d") + F.col("weight"), digits).alias("d"), "paths")
+        step = step.groupBy("case", "src", "node", "d").agg(F.sum("paths").alias("paths"))
+        front = materialise(at.where(F.col("hops") == k).drop("new").join(step, ["case", "src", "node", "d"]).select("case", "src", "node", "d", "hops", "paths"), "axial-paths")
+        reached = reached.unionByName(front)
+    return reached
 
 
 def nain(paths: DataFrame) -> DataFrame:
@@ -80,15 +111,13 @@ def nain(paths: DataFrame) -> DataFrame:
     return r.select("case", "seg", (F.pow("nc", F.lit(1.2)) / (F.col("td") + 2)).alias("nain"), "td")
 
 
-def nach(paths: DataFrame, total: DataFrame) -> DataFrame:
-    """(case, seg, nach): log2 of choice plus 1 over log2 of total turn plus 3; choice is the number of pairs with
-    a shortest way through the segment."""
-    ends = paths.where("src < node").select("case", F.col("src").alias("s"), F.col("node").alias("t"), F.col("d").alias("st"))
-    left = paths.select("case", F.col("src").alias("s"), F.col("node").alias("v"), F.col("d").alias("sv"))
-    right = paths.select("case", F.col("src").alias("v"), F.col("node").alias("t"), F.col("d").alias("vt"))
-    on = ends.join(left, ["case", "s"]).where("v <> s and v <> t").join(right, ["case", "v", "t"]).where(F.abs(F.col("sv") + F.col("vt") - F.col("st")) < 1e-7)
-    choice = on.groupBy("case", F.col("v").alias("seg")).agg(F.count(F.lit(1)).alias("ch"))
-    j = total.select("case", "seg", "td").join(choice, ["case", "seg"], "left").fillna(0, ["ch"])
+def nach(paths: DataFrame, total: DataFrame, graph: DataFrame, digits: int = 9) -> DataFrame:
+    """(case, seg, nach): log2 of choice plus 1 over log2 of total turn plus 3; choice is, over unordered pairs, the share
+    of the shortest ways (least turn, then fewest segments) through the segment."""
+    near = graph.select(F.col("case").alias("graph"), "a", "b", F.lit(1).alias("m"), F.col("weight").alias("w"))
+    back = folded_back(paths.withColumnRenamed("case", "graph"), near, "hops", lambda far, d: far == F.round(d + F.col("w"), digits))
+    choice = back.groupBy(F.col("graph").alias("case"), F.col("node").alias("seg")).agg((F.sum("share") / 2).alias("ch"))
+    j = total.select("case", "seg", "td").join(choice, ["case", "seg"], "left").fillna(0.0, ["ch"])
     return j.select("case", "seg", (F.log2(F.col("ch") + 1) / F.log2(F.col("td") + 3)).alias("nach"))
 
 

@@ -49,13 +49,34 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         reached = materialise(reached.unionByName(front), "hops")
 
 
-def betweenness(paths: DataFrame) -> DataFrame:
-    """(graph, node, between): over unordered pairs, the share of shortest paths that pass a node."""
-    ends = paths.where("src < node").select("graph", F.col("src").alias("s"), F.col("node").alias("t"), F.col("d").alias("st"), F.col("paths").alias("all"))
-    left = paths.select("graph", F.col("src").alias("s"), F.col("node").alias("v"), F.col("d").alias("sv"), F.col("paths").alias("p1"))
-    right = paths.select("graph", F.col("src").alias("v"), F.col("node").alias("t"), F.col("d").alias("vt"), F.col("paths").alias("p2"))
-    on = ends.join(left.where("sv > 0"), ["graph", "s"]).where("v <> t and sv < st").join(right, ["graph", "v", "t"]).where("sv + vt = st")
-    return on.groupBy("graph", F.col("v").alias("node")).agg(F.sum(F.col("p1") * F.col("p2") / F.col("all")).alias("between"))
+def betweenness(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, node, between): over unordered pairs, the share of shortest paths that pass a node.
+
+    Dependencies are folded back from the far end, a level of hops a round: a node has of each node one hop further the share
+    of its ways that come through it. Rounds are as many as hops, rows as many as nodes times edges.
+    """
+    near = materialise(both_ways(edges).groupBy("graph", "a", "b").agg(F.count(F.lit(1)).alias("m")), "adjacency")
+    return folded_back(paths, near.withColumn("w", F.lit(1)), "d", lambda hop, back: hop == back + F.col("w")).groupBy("graph", "node").agg((F.sum("share") / 2).alias("between"))
+
+
+def folded_back(paths: DataFrame, near: DataFrame, level: str, tight) -> DataFrame:
+    """(graph, src, node, share): of all nodes beyond ``node`` on shortest ways from ``src``, the shares of the ways through it.
+
+    ``paths``: (graph, src, node, level, d, paths); ``near``: (graph, a, b, m, w), m ways of a weight from a to b. A way from
+    a level to the next is shortest where ``tight`` (the far distance, the near one) holds.
+    """
+    most = paths.agg(F.max(level)).first()[0] or 0
+    at = lambda k: paths.where(F.col(level) == k)
+    far = at(most).withColumn("share", F.lit(0.0))
+    out = far.select("graph", "src", "node", "share").limit(0)
+    for k in range(most, 1, -1):
+        step = far.select("graph", "src", F.col("node").alias("b"), F.col("d").alias("db"), ((1 + F.col("share")) / F.col("paths")).alias("part")).join(near, ["graph", "b"])
+        before = at(k - 1)
+        met = before.join(step.select("graph", "src", F.col("a").alias("node"), "db", "part", "m", "w"), ["graph", "src", "node"]).where(tight(F.col("db"), F.col("d")))
+        gained = met.groupBy("graph", "src", "node").agg(F.sum(F.col("paths") * F.col("m") * F.col("part")).alias("share"))
+        far = materialise(before.join(gained, ["graph", "src", "node"], "left").fillna(0.0, ["share"]), "shares")
+        out = out.unionByName(far.select("graph", "src", "node", "share"))
+    return out
 
 
 def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,7 +89,7 @@ def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     degree = both_ways(edges).groupBy("graph", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     reach = paths.where("d > 0").groupBy("graph", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("far"))
     j = nodes.select("graph", "node").join(size, "graph")
-    for part in (degree, reach, betweenness(paths)):
+    for part in (degree, reach, betweenness(paths, edges)):
         j = j.join(part, ["graph", "node"], "left")
     n, r = F.col("n"), F.col("r")
     return j.select(

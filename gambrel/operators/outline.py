@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
+from gambrel.functions.polygon import let
 
 ORDER = 10
 
@@ -71,36 +72,52 @@ def descriptor_distance(pairs: DataFrame, normal: DataFrame, key: str) -> DataFr
     return j.groupBy("a", "b").agg(F.sqrt(F.sum(square)).alias("distance"))
 
 
+def _events(points: Column, v: Column, grid: int, which: int) -> Column:
+    """Where the lines of cell centres meet a polygon's edges, as numbers: (line, cells whose centre is left of the crossing),
+    then ``which``. An edge goes only through the lines between its ends, so the work is in proportion to the crossings."""
+    width, height = v["x1"] - v["x0"], v["y1"] - v["y0"]
+    level = lambda j: v["y0"] + (j + 0.5) * height / grid
+    centre = lambda k: v["x0"] + (k + 0.5) * width / grid
+    clip = lambda c, most: F.least(F.greatest(c, F.lit(0)), F.lit(most)).cast("int")
+    line = lambda y: (y - v["y0"]) * grid / height - 0.5
+
+    def rank(at: Column) -> Column:
+        # the estimate may be one off; centres themselves decide
+        first = clip(F.ceil((at - v["x0"]) * grid / width - 0.5), grid)
+        return let(first, lambda n: n + ((n < grid) & (centre(n) < at)).cast("int") - ((n > 0) & (centre(n - 1) >= at)).cast("int"))
+
+    def meets(e: Column) -> Column:
+        near = F.sequence(clip(F.floor(line(F.least(e["ay"], e["by"]))), grid - 1), clip(F.ceil(line(F.greatest(e["ay"], e["by"]))), grid - 1))
+        on = F.filter(near, lambda j: (e["ay"] > level(j)) != (e["by"] > level(j)))
+        return F.transform(on, lambda j: (j.cast("long") * (grid + 1) + rank((e["bx"] - e["ax"]) * (level(j) - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])) * 2 + which)
+
+    return F.flatten(F.transform(P.edges(points), meets))
+
+
 def overlap(a: Column, b: Column, grid: int = 140, window: float | None = None) -> Column:
     """Shared over united cells of a grid over both bounds, each bound stretched by 1.15; G7b with a fixed
-    ``window``: from minus to plus that in both directions. 0 where no cell is in either."""
-    none = F.struct(F.lit(0).alias("both"), F.lit(0).alias("any"))
+    ``window``: from minus to plus that in both directions. 0 where no cell is in either.
+
+    A sweep: crossings of all lines in order, each of which enters or leaves one polygon; a line has an even number of each
+    polygon's, so lines do not meet. Cells between two crossings count at once.
+    """
     p, q = P.bounds(a), P.bounds(b)
     if window is None:
         box = [(f(p[k], q[k]) * 1.15).alias(k) for k, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))]
     else:
         box = [F.lit(s * window).alias(k) for k, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]
-
-    def cuts(sides: Column, y: Column) -> Column:
-        """Where a line of cells meets a polygon's edges."""
-        met = F.filter(sides, lambda e: (e["ay"] > y) != (e["by"] > y))
-        return F.transform(met, lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
-
-    def counted(v: Column) -> Column:
-        def cell(x: Column, line: Column, acc: Column) -> Column:
-            inside = lambda c: F.size(F.filter(line[c], lambda at: x < at)) % 2 == 1
-            add = lambda i: F.struct((acc["both"] + (i["a"] & i["b"]).cast("int")).alias("both"), (acc["any"] + (i["a"] | i["b"]).cast("int")).alias("any"))
-            return P.let(F.struct(inside("a").alias("a"), inside("b").alias("b")), add)
-
-        def row(acc: Column, j: Column) -> Column:
-            y = v["y0"] + (j + 0.5) * (v["y1"] - v["y0"]) / grid
-            across = lambda line: F.aggregate(F.sequence(F.lit(0), F.lit(grid - 1)), acc, lambda a, k: P.let(v["x0"] + (k + 0.5) * (v["x1"] - v["x0"]) / grid, lambda x: cell(x, line, a)))
-            return P.let(y, lambda at: P.let(F.struct(cuts(v["a"], at).alias("a"), cuts(v["b"], at).alias("b")), across))
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(grid - 1)), none, row)
-
-    end = P.let(F.struct(P.edges(a).alias("a"), P.edges(b).alias("b"), *box), counted)
-    return P.let(end, lambda e: F.when(e["any"] == 0, 0.0).otherwise(e["both"] / e["any"]))
+    names = ("at", "a", "b", "both", "any")
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
+
+    def step(acc: Column, event: Column) -> Column:
+        at, odd = F.shiftright(event, 1), event % 2
+        cells = at - acc["at"]
+        now = (at, (acc["a"] + 1 - odd) % 2, (acc["b"] + odd) % 2, acc["both"] + cells * acc["a"] * acc["b"], acc["any"] + cells * F.greatest(acc["a"], acc["b"]))
+        return F.struct(*[c.alias(n) for n, c in zip(names, now)])
+
+    events = let(F.struct(*box), lambda v: F.when((v["x1"] > v["x0"]) & (v["y1"] > v["y0"]), F.sort_array(F.concat(_events(a, v, grid, 0), _events(b, v, grid, 1)))))
+    end = F.aggregate(F.coalesce(events, F.array().cast("array<bigint>")), none, step)
+    return let(end, lambda e: F.when(e["any"] == 0, 0.0).otherwise(e["both"] / e["any"]))
 
 
 def best_rotation(pairs: DataFrame, keys: list[str], a: str, b: str, steps: int = 72, coarse: int = 55, fine: int = 150, window: float | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
+from gambrel.operators import distance
 from gambrel.operators import runs as R
 from gambrel.shared import materialise
 
@@ -128,10 +129,10 @@ def hulls(labels: DataFrame, keys: list[str]) -> DataFrame:
     return ends.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kind[k]}" for k in keys) + ", points array<array<double>>")
 
 
-def thick(ink: DataFrame, sizes: DataFrame, distance: float = 1.85) -> DataFrame:
-    """R2: runs of ink at least ``distance`` from the background: all eight neighbours are ink; from 2.2 on also the four
-    pixels two steps away along the axes."""
-    shape = {-2: 0, -1: 1, 0: 2, 1: 1, 2: 0} if distance > 1.91 else R.square(1)
+def thick(ink: DataFrame, sizes: DataFrame, least: float = 1.85) -> DataFrame:
+    """Runs of ink at least ``least`` (1.85 or 2.2) from the background, as ``distance.at_least`` gives them, by
+    erosion: all eight neighbours are ink; from 2.2 on also the four pixels two steps away along the axes."""
+    shape = {-2: 0, -1: 1, 0: 2, 1: 1, 2: 0} if least > 1.91 else R.square(1)
     return R.eroded(ink, sizes, shape)
 
 
@@ -177,11 +178,14 @@ def circulation(labels: DataFrame, used: DataFrame, least: int = 600) -> DataFra
     return free.select("img", "comp", "area", F.lit("sirkulasi").alias("name"), F.lit("terkaan").alias("source"))
 
 
-def clipped_boxes(boxes: DataFrame, labels: DataFrame, least: int = 8) -> DataFrame:
-    """Each box (img, id, comp, x0, y0, x1, y1) as the extent of its own component in it; short ones drop out."""
+def clipped_boxes(boxes: DataFrame, labels: DataFrame, least: int = 8, some: int = 4) -> DataFrame:
+    """Each box (img, id, comp, x0, y0, x1, y1; high ends outside) as the extent of its own component in it, if that has
+    ``some`` pixels there; a box without a component stays as it is. Boxes under ``least`` in a dimension drop out."""
     part = boxes.withColumnsRenamed({"x0": "bx0", "x1": "bx1", "y0": "by0", "y1": "by1"}).join(labels, ["img", "comp"])
-    part = part.where((F.col("y") >= F.col("by0")) & (F.col("y") <= F.col("by1")) & (F.col("x1") >= F.col("bx0")) & (F.col("x0") <= F.col("bx1")))
-    out = part.groupBy("img", "id").agg(F.min(F.greatest("x0", "bx0")).alias("x0"), F.min("y").alias("y0"), F.max(F.least("x1", "bx1")).alias("x1"), F.max("y").alias("y1"))
+    part = part.where((F.col("y") >= F.col("by0")) & (F.col("y") < F.col("by1")) & (F.col("x1") >= F.col("bx0")) & (F.col("x0") < F.col("bx1")))
+    low, high = F.greatest("x0", "bx0"), F.least(F.col("x1") + 1, F.col("bx1"))
+    own = part.groupBy("img", "id").agg(F.min(low).alias("cx0"), F.min("y").alias("cy0"), F.max(high).alias("cx1"), (F.max("y") + 1).alias("cy1"), F.sum(high - low).alias("px")).where(F.col("px") >= some)
+    out = boxes.join(own, ["img", "id"], "left").select("img", "id", *[F.coalesce(f"c{c}", c).alias(c) for c in ("x0", "y0", "x1", "y1")])
     return out.where((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
 
 
@@ -196,26 +200,6 @@ def best_radius(scores: DataFrame) -> DataFrame:
     return scores.where("resolved > 0").groupBy("img").agg(F.max_by(F.struct("attempt", "radius", "resolved"), F.struct("resolved", -F.col("attempt"))).alias("b")).select("img", "b.*")
 
 
-def component_gaps(labels: DataFrame, least: int = 800) -> DataFrame:
-    """(img, i, j, gap, xi, yi, xj, yj) of the large components of each image: the least distance between runs of
-    any two lines, and the pixels that are so near; the first by line and column of equals. The pairs are of components, a
-    handful an image, and each is reduced line by line."""
-    big = R.measures(labels).where(F.col("area") >= least).select("img", "comp")
-    lines = labels.join(big, ["img", "comp"], "left_semi").select("img", "comp", "y", "x0", "x1")
-    packed = lines.groupBy("img", "comp").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("r"))
-    pairs = packed.select("img", F.col("comp").alias("i"), F.col("r").alias("ri")).join(packed.select("img", F.col("comp").alias("j"), F.col("r").alias("rj")), "img").where("i < j")
-
-    def apart(a: Column, b: Column) -> Column:
-        both = F.greatest(a["x0"], b["x0"])
-        xa = F.when(a["x1"] < b["x0"], a["x1"]).when(b["x1"] < a["x0"], a["x0"]).otherwise(both)
-        xb = F.when(a["x1"] < b["x0"], b["x0"]).when(b["x1"] < a["x0"], b["x1"]).otherwise(both)
-        gap = F.hypot((a["y"] - b["y"]).cast("double"), (xa - xb).cast("double"))
-        return F.struct(gap.alias("gap"), a["y"].alias("yi"), xa.alias("xi"), b["y"].alias("yj"), xb.alias("xj"))
-
-    least_of = F.array_min(F.transform("ri", lambda a: F.array_min(F.transform("rj", lambda b: apart(a, b)))))
-    return pairs.select("img", "i", "j", least_of.alias("g")).select("img", "i", "j", "g.gap", "g.xi", "g.yi", "g.xj", "g.yj")
-
-
 def bridge_cutoff(gaps: DataFrame, jump: float = 1.6) -> DataFrame:
     """(img, cutoff): the gap before the largest relative jump of the sorted gaps, if that is ``jump`` or more; else
     the largest gap."""
@@ -228,22 +212,7 @@ def bridge_cutoff(gaps: DataFrame, jump: float = 1.6) -> DataFrame:
 def merge_radius(gaps: DataFrame, images: DataFrame, margin: int = 8) -> DataFrame:
     """(img, radius): half the longest edge of the least spanning tree of components, cut to an integer, and a margin;
     the margin alone for one component."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        root = {c: c for c in {*frame.i, *frame.j}}
-
-        def top(c):
-            while root[c] != c:
-                c = root[c]
-            return c
-
-        longest = 0.0
-        for i, j, gap in sorted(zip(frame.i, frame.j, frame.gap), key=lambda e: e[2]):
-            if top(i) != top(j):
-                root[top(i)], longest = top(j), gap
-        return pd.DataFrame([(frame.img.iloc[0], int(longest / 2) + margin)], columns=["img", "radius"])
-
-    found = gaps.groupBy("img").applyInPandas(one, f"img {dict(gaps.dtypes)['img']}, radius int")
+    found = distance.longest_tree_edge(gaps).select("img", (F.floor(F.col("longest") / 2) + margin).cast("int").alias("radius"))
     return images.select("img").join(found, "img", "left").fillna(margin, ["radius"])
 
 
@@ -256,7 +225,7 @@ def silhouettes(mask: DataFrame, sizes: DataFrame, radius: int | DataFrame, tole
     for _ in range(tries):
         labels = R.labelled(R.closed(todo, sizes, radii), eight=True)
         m = R.measures(labels)
-        ok = m.groupBy("img").agg(F.count_if(F.col("area") >= least).alias("big"), F.max_by("comp", "area").alias("comp")).where("big <= 1").select("img", "comp")
+        ok = m.groupBy("img").agg(F.count_if(F.col("area") >= least).alias("big"), F.max_by("comp", F.struct("area", -F.col("comp"))).alias("comp")).where("big <= 1").select("img", "comp")
         mine = labels.join(ok, ["img", "comp"], "left_semi")
         found = traced(mine, tolerance).select("img", "points", F.lit("traced").alias("how"))
         done = found if done is None else done.unionByName(found)

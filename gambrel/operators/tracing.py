@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
 from gambrel.functions.labels import is_callout
-from gambrel.operators import rooms, vector, walls
+from gambrel.operators import distance, rooms, vector, walls
 from gambrel.operators import runs as R
 from gambrel.shared import materialise
 
@@ -72,7 +72,7 @@ def box_rooms(mask: DataFrame, sizes: DataFrame, points: DataFrame, least: int =
 
 def bridged(mask: DataFrame, least: int = 800) -> DataFrame:
     """The mask with lines three wide between the nearest pixels of large components, for all gaps up to the cutoff."""
-    gaps = rooms.component_gaps(R.labelled(mask, eight=True), least)
+    gaps = distance.component_gaps(R.labelled(mask, eight=True), least)
     near = gaps.join(rooms.bridge_cutoff(gaps), "img").where("gap <= cutoff")
     lines = vector.lines_as_runs(near.select("img", F.col("xi").alias("x0"), F.col("yi").alias("y0"), F.col("xj").alias("x1"), F.col("yj").alias("y1")), zoom=1.0)
     return R.merged(mask.select("img", "y", "x0", "x1").unionByName(R.dilated(lines, R.square(1)).select("img", "y", "x0", "x1")))
@@ -80,7 +80,7 @@ def bridged(mask: DataFrame, least: int = 800) -> DataFrame:
 
 def merged_silhouette(mask: DataFrame, sizes: DataFrame, tolerance: float = 6.0, least: int = 800) -> DataFrame:
     """(img, points, how) of masks in pieces: closed from the radius of their own largest gap on."""
-    radii = materialise(rooms.merge_radius(rooms.component_gaps(R.labelled(mask, eight=True), least), sizes), "radii")
+    radii = materialise(rooms.merge_radius(distance.component_gaps(R.labelled(mask, eight=True), least), sizes), "radii")
     return rooms.silhouettes(mask, sizes, radii, tolerance, least)
 
 
@@ -111,27 +111,13 @@ def filled(polygons: DataFrame) -> DataFrame:
     return R.merged(spans.unionByName(sides.select("img", "y", "x0", "x1")))
 
 
-def half_thickness(mask: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(img, half): the median distance of mask pixels from the background, in whole pixels: the least radius of a disc
-    whose erosion leaves under half of them."""
-    count = lambda m: m.groupBy("img").agg(R.pixel_count(m).alias("n"))
-    todo, done, radius = count(mask).withColumnRenamed("n", "all"), None, 1
-    while not todo.isEmpty():
-        left = count(R.eroded(mask.join(todo, "img", "left_semi"), sizes.join(todo, "img", "left_semi"), R.disc(radius)))
-        j = materialise(todo.join(left, "img", "left").fillna(0, ["n"]), "thickness")
-        found = j.where("2 * n < all").select("img", F.lit(float(radius)).alias("half"))
-        done = found if done is None else done.unionByName(found)
-        todo, radius = j.where("2 * n >= all").select("img", "all"), radius + 1
-    return done if done is not None else todo.select("img", F.lit(0.0).alias("half"))
-
-
 def organic_rooms(mask: DataFrame, sizes: DataFrame, names: DataFrame, tolerance: float = 10.0, attempts: int = 8, stale: int = 2) -> DataFrame:
     """(img, ord, name, points) of labels (img, ord, name, cx, cy) that have an area of their own inside the walls.
 
     The mask is closed at each radius in turn; the first radius at which most labels have one is kept. An image is done when
     all its labels have one, or after ``stale`` worse tries once any had.
     """
-    radii = materialise(rooms.closing_radii(half_thickness(mask, sizes), attempts), "radii")
+    radii = materialise(rooms.closing_radii(distance.half_thickness(mask, sizes), attempts), "radii")
     inside = materialise(filled(rooms.hulls(mask, ["img"])), "hull")
     px = inside.groupBy("img").agg(R.pixel_count(inside).alias("pixels"))
     outside = R.complement(inside, sizes)

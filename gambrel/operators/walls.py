@@ -40,10 +40,11 @@ def cluster_runs(segments: DataFrame, bridge: int = 55, least: int = 60, thickne
     return segments.groupBy("img", "axis").applyInPandas(one, segments.select("img", "axis", "coord", "a", "b").schema)
 
 
-def away_from_labels(segments: DataFrame, labels: DataFrame, longest: int = 110, near: int = 26) -> DataFrame:
-    """Segments, less those under ``longest`` that pass a label's centre (img, cx, cy) by less than ``near``."""
+def away_from_labels(segments: DataFrame, labels: DataFrame, longest: int = 110, near: int = 26, beyond: int = 8) -> DataFrame:
+    """Segments, less those under ``longest`` that pass a label's centre (img, cx, cy) by less than ``near``, their ends
+    lengthened by ``beyond``."""
     across, along = F.when(F.col("axis") == "h", F.col("cy")).otherwise(F.col("cx")), F.when(F.col("axis") == "h", F.col("cx")).otherwise(F.col("cy"))
-    hit = (F.abs(F.col("coord") - across) < near) & (along >= F.col("a") - near) & (along <= F.col("b") + near) & (F.col("b") - F.col("a") < longest)
+    hit = (F.abs(F.col("coord") - across) < near) & (along >= F.col("a") - beyond) & (along <= F.col("b") + beyond) & (F.col("b") - F.col("a") < longest)
     return segments.alias("s").join(labels.select(F.col("img").alias("li"), "cx", "cy"), (F.col("img") == F.col("li")) & hit, "left_anti")
 
 

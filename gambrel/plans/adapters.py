@@ -87,3 +87,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     w, h = F.col("p_size").cast("int"), (k % 40 + 1).cast("int")
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("img"), k.alias("comp"), w.alias("width"), h.alias("height"), F.greatest(F.lit(1), F.floor(w * h * (k % 10 + 1) / 10)).cast("long").alias("area"), ((k % 7) / 100).alias("holes"), (1 - (k % 5) / 10).alias("axis"))
+
+
+def axial_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case, line, x0, y0, x1, y1): a line a supplier, ten a case: across, upright or slanted by its key."""
+    k = F.col("s_suppkey")
+    at, low = (9.0 * (k % 10) + 0.5).cast("double"), F.lit(-5.0)
+    end = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
+    return table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("case"), k.alias("line"), end(low, at, at).alias("x0"), end(at, low, low).alias("y0"), end(F.lit(95.0), at, at + 40.0).alias("x1"), end(at, F.lit(95.0), F.lit(95.0)).alias("y1"))

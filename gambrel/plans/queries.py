@@ -192,7 +192,7 @@ def w7_w8_nearest_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_WALLS + """SELECT img, axis, coord, a, b FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.img = w.img AND b - a < 110 AND abs(coord - CASE WHEN axis = 'h' THEN cy ELSE cx END) < 26
- AND CASE WHEN axis = 'h' THEN cx ELSE cy END BETWEEN a - 26 AND b + 26)""")
+ AND CASE WHEN axis = 'h' THEN cx ELSE cy END BETWEEN a - 8 AND b + 8)""")
 def w5_away_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walls.away_from_labels(A.walls(spark, sf_dir), A.spots(spark, sf_dir))
 
@@ -294,13 +294,8 @@ def a1_a10_facade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def n17_n20_axial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NAIN and NACH of lines, one a nation, that cross in the case of their region."""
-    k = F.col("n_nationkey")
-    across = k % 2 == 0
-    at = (10.0 * (k % 7) + k / 5).cast("double")
-    end = lambda low: [F.when(across, F.lit(low)).otherwise(at), F.when(across, at).otherwise(F.lit(low))]
-    (x0, y0), (x1, y1) = end(-5.0), end(90.0)
-    lines = A.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("case"), k.alias("line"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-    paths = axial.weighted_paths(axial.turns(axial.segments(lines)))
+    """NAIN and NACH of lines, one a supplier, that cross in the case of ten suppliers."""
+    graph = axial.turns(axial.segments(A.axial_lines(spark, sf_dir)))
+    paths = axial.weighted_paths(graph)
     integration = axial.nain(paths)
-    return integration.join(axial.nach(paths, integration), ["case", "seg"]).select("case", "seg", R6("nain").alias("nain"), R6("nach").alias("nach"))
+    return integration.join(axial.nach(paths, integration, graph), ["case", "seg"]).select("case", "seg", R6("nain").alias("nain"), R6("nach").alias("nach"))

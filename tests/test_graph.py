@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -76,7 +77,7 @@ def test_paths_and_betweenness_equal_brute_force(spark):
     got = graph.shortest_paths(nodes, e)
     assert {(x.src, x.node): (x.d, x.paths) for x in got.collect()} == {k: (len(v[0]) - 1, len(v)) for k, v in paths.items()}
     want = {v: sum(sum(v in p[1:-1] for p in ps) / len(ps) for (s, t), ps in paths.items() if s < t) for v in range(n)}
-    assert {x.node: x.between for x in graph.betweenness(got).collect()} == pytest.approx({v: b for v, b in want.items() if b})
+    assert {x.node: x.between for x in graph.betweenness(got, e).collect() if x.between} == pytest.approx({v: b for v, b in want.items() if b})
 
 
 def test_edits(spark):
@@ -97,7 +98,7 @@ def test_axial_tier(spark):
     paths = axial.weighted_paths(t)
     n = axial.nain(paths)
     assert {round(r.nain, 6) for r in n.collect()} == {round(4**1.2 / 3, 6)}
-    assert axial.nach(paths, n).where("nach is not null").count() == 4
+    assert axial.nach(paths, n, t).where("nach is not null").count() == 4
     room = spark.createDataFrame([(1, "in", [[-1.0, -1.0], [2.0, -1.0], [2.0, 1.0], [-1.0, 1.0]]), (1, "out", [[90.0, 90.0], [91.0, 90.0], [91.0, 91.0]])], "case int, node string, points array<array<double>>")
     v = {r.node: r.value for r in axial.room_values(segs, n, room, "nain").collect()}
     assert v["in"] > 0 and v["out"] is None
@@ -105,6 +106,55 @@ def test_axial_tier(spark):
     assert axial.rooted(t, segs.select("case", "seg").limit(1)).count() == t.count() + 2
 
 
+def test_segments_against_all_pairs(spark):
+    """Slanted, upright, level and touching lines of two cases, one of them tiny."""
+    r = random.Random(9)
+    rows = [(c, k, *[r.uniform(0, 100) * (1 if c else 1e-3) + 5 for _ in range(4)]) for c in (0, 1) for k in range(25)]
+    rows += [(1, 30, 10.0, 0.0, 10.0, 100.0), (1, 31, 0.0, 50.0, 100.0, 50.0), (1, 32, 50.0, 50.0, 50.0, 90.0), (2, 1, 1.0, 1.0, 1.0, 1.0)]
+    lines = spark.createDataFrame(rows, "case int, line int, x0 double, y0 double, x1 double, y1 double")
+    side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    crossed = lambda p, q: side(p[2:4], p[4:6], q[2:4]) * side(p[2:4], p[4:6], q[4:6]) < 0 and side(q[2:4], q[4:6], p[2:4]) * side(q[2:4], q[4:6], p[4:6]) < 0
+    want = {(p[0], p[1]): 1 + sum(q[0] == p[0] and q[1] != p[1] and crossed(p, q) for q in rows) for p in rows}
+    got = {}
+    for q in axial.segments(lines).collect():
+        got[(q.case, q.line)] = got.get((q.case, q.line), 0) + 1
+    assert got == want and sum(want.values()) > 150
+
+
+def test_choice_against_all_shortest_ways(spark):
+    """Least turn, then fewest segments; pairs with several such ways share them."""
+    lines = [(1, k, -5.0, 10.0 * k, 45.0, 10.0 * k) for k in range(3)] + [(1, 10 + k, 10.0 * k + 3, -5.0, 10.0 * k + 3 + (k == 2) * 9.0, 35.0) for k in range(3)]
+    t = axial.turns(axial.segments(spark.createDataFrame(lines, "case int, line int, x0 double, y0 double, x1 double, y1 double")))
+    near = {}
+    for q in t.collect():
+        near.setdefault(q.a, {})[q.b] = q.weight
+    ways = {}
+    for s in near:
+        best, todo = {s: (0.0, 0)}, [s]
+        while todo:
+            todo.sort(key=lambda v: best[v])
+            v = todo.pop(0)
+            for u, w in near[v].items():
+                new = (round(best[v][0] + w, 9), best[v][1] + 1)
+                if new < best.get(u, (1e9, 0)):
+                    best[u] = new
+                    todo.append(u)
+        found = {s: [[s]]}
+        for v in sorted(best, key=lambda v: best[v][1]):
+            for u, w in near[v].items():
+                if best[u] == (round(best[v][0] + w, 9), best[v][1] + 1):
+                    found.setdefault(u, []).extend([*p, u] for p in found[v])
+        ways |= {(s, v): (best[v], found[v]) for v in best}
+    paths = axial.weighted_paths(t)
+    assert {(q.src, q.node): (q.d, q.hops, q.paths) for q in paths.collect()} == {k: (*b, len(f)) for k, (b, f) in ways.items()}
+    assert any(len(f) > 1 for _, f in ways.values())
+    n = axial.nain(paths)
+    td = {q.seg: q.td for q in n.collect()}
+    ch = {v: sum(sum(v in p[1:-1] for p in f) / len(f) for (a, b), (_, f) in ways.items() if a < b) for v in near}
+    got = {q.seg: q.nach for q in axial.nach(paths, n, t).collect()}
+    assert got == pytest.approx({v: math.log2(ch[v] + 1) / math.log2(td[v] + 3) for v in near})
+
+
 def test_broken_case_is_a_row(spark, tmp_path):
     (tmp_path / "a.json").write_text('﻿{"rooms": [{"id": "", "name": null, "points": [[0, 0], [1, 0.5], [1, 1]]}], "adjacency": [{"a": "r1", "b": "r2"}]}', encoding="utf-8")
     (tmp_path / "b.json").write_text("{broken")

@@ -77,6 +77,33 @@ def test_overlap_and_rotation(spark):
     assert best.angle_step == 11 and best.overlap > 0.97
 
 
+def plain_overlap(a, b, box, g):
+    x0, y0, x1, y1 = box
+    both = some = 0
+    for j in range(g):
+        y = y0 + (j + 0.5) * (y1 - y0) / g
+        for i in range(g):
+            x = x0 + (i + 0.5) * (x1 - x0) / g
+            inside = [sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in zip(poly, [*poly[1:], poly[0]])) % 2 for poly in (a, b)]
+            both, some = both + min(inside), some + max(inside)
+    return both / some if some else 0.0
+
+
+def test_overlap_against_cells(spark):
+    """Random and crossing outlines, edges on cell centres, flat and empty ones."""
+    r = random.Random(2)
+    shapes = [[[r.uniform(-1, 1), r.uniform(-1, 1)] for _ in range(r.randrange(3, 12))] for _ in range(24)]
+    shapes += [SQUARE, [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]], [[1.0, 0.0], [2.0, 0.0], [3.0, 0.0]], [[0.0, 0.0], [0.0, 5.0]]]
+    rows = [(k, shapes[k], shapes[k + 1]) for k in range(len(shapes) - 1)] + [(99, [], [])]
+    df = spark.createDataFrame(rows, "k int, a array<array<double>>, b array<array<double>>")
+    got = {q.k: (q.o, q.w) for q in df.select("k", outline.overlap(F.col("a"), F.col("b"), 20).alias("o"), outline.overlap(F.col("a"), F.col("b"), 24, window=1.2).alias("w")).collect()}
+    for k, a, b in rows[:-1]:
+        xs, ys = zip(*a, *b)
+        want = plain_overlap(a, b, [1.15 * f(c) for f in (min, max) for c in (xs, ys)], 20), plain_overlap(a, b, [-1.2, -1.2, 1.2, 1.2], 24)
+        assert got[k] == pytest.approx(want, abs=1e-12), k
+    assert got[99] == (0.0, 0.0)
+
+
 def test_verdicts_and_labels(spark):
     rows = [(0.1,), (0.15,), (0.4,)]
     assert [r.v for r in spark.createDataFrame(rows, "d double").select(L.outline_verdict(F.col("d")).alias("v")).collect()] == ["sangat dekat", "sedang", "jauh"]

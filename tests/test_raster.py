@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
-from gambrel.operators import facade, rooms, runs, vector, walls
+from gambrel.operators import distance, facade, rooms, runs, vector, walls
 
 
 def mask(seed: int, h: int, w: int, share: float) -> list[list[bool]]:
@@ -140,7 +140,7 @@ def test_token_groups_and_boxes(spark):
 def test_gaps_radius_and_silhouettes(spark):
     m = [[(2 <= x <= 31 or 36 <= x <= 65) and 2 <= y <= 31 for x in range(70)] for y in range(35)]
     lab = runs.labelled(runs.runs_of(frame(spark, m)))
-    gaps = rooms.component_gaps(lab)
+    gaps = distance.component_gaps(lab)
     assert [r.gap for r in gaps.collect()] == [5.0]
     assert rooms.merge_radius(gaps, sizes(spark, 35, 70)).first().radius == 10
     assert rooms.bridge_cutoff(spark.createDataFrame([("i", 1, 2, 3.0), ("i", 1, 3, 4.0), ("i", 2, 3, 40.0)], "img string, i int, j int, gap double")).first().cutoff == 4.0

@@ -3,7 +3,6 @@ from __future__ import annotations
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
@@ -112,7 +111,6 @@ def test_filled(spark):
     assert on(tracing.filled(df)) == {(y, x) for y in range(2, 10) for x in range(2, 13)}
 
 
-@pytest.mark.skip(reason="takes over two minutes; not yet seen to pass with these bounds")
 def test_organic_plan(spark):
     """Two rooms with a door between them, and a label on a wall of neither."""
     w = [(10, 10, 250, 19), (10, 140, 250, 149), (10, 10, 19, 149), (241, 10, 250, 149), (126, 10, 135, 60), (126, 85, 135, 149)]
