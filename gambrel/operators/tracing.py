@@ -175,3 +175,41 @@ def page_plan(mask: DataFrame, sizes: DataFrame, names: DataFrame, zoom: float =
     real = names.where((F.coalesce("name", F.lit("")) != "") & ~is_callout(F.col("name")))
     found = box_rooms(mask, sizes, real)
     return merged_silhouette(mask, sizes, 2.0 * zoom, math.ceil(300 * zoom)), real.select("img", "id", "name").join(found, ["img", "id"])
+
+
+def vector_pages(drawings: DataFrame, words: DataFrame, pages: DataFrame, zoom: float = vector.ZOOM) -> tuple[DataFrame, DataFrame]:
+    """V2 to V5: silhouettes (page, points, how) and rooms (page, name, x, y, points) of pages, in pixels of ``zoom``.
+
+    ``drawings``: (page, draw_id, fill, color, n_items, segs, x0, y0, x1, y1) with the line items of each drawing; ``words``:
+    (page, x0, y0, x1, y1, text); ``pages``: (page, width, height), all in points. Walls and curves are told by their
+    colours and shapes; the largest cluster of them is the plan, and words outside it (one point of room) do not count. Lines
+    run between whole pixels, curves one wider to each side; words, numbers too, punch holes. Names are grouped words.
+    A page without walls and curves keeps all its words and has no silhouette and no rooms.
+    """
+    at = lambda s, x, y: F.array(s[x], s[y])
+    path = F.concat(F.transform("segs", lambda s: at(s, "x0", "y0")), F.when(F.size("segs") > 0, F.array(at(F.element_at("segs", -1), "x1", "y1"))).otherwise(F.array().cast(P.POINTS)))
+    kind = vector.drawing_class(F.col("fill"), F.col("color"), F.col("n_items"), path)
+    found = drawings.withColumn("kind", kind).where("kind is not null").withColumnRenamed("draw_id", "id")
+    plan = materialise(vector.largest_cluster(found.select("page", "id", "kind", "segs", "x0", "y0", "x1", "y1")), "page-plan")
+    frame = plan.groupBy("page").agg(F.min("x0").alias("px0"), F.min("y0").alias("py0"), F.max("x1").alias("px1"), F.max("y1").alias("py1"))
+    bounds = pages.join(frame, "page", "left").select("page", F.coalesce("px0", F.lit(0.0)).alias("px0"), F.coalesce("py0", F.lit(0.0)).alias("py0"), F.coalesce("px1", "width").alias("px1"), F.coalesce("py1", "height").alias("py1"))
+    mine = words.join(bounds, "page").where("x0 between px0 - 1 and px1 + 1 and y0 between py0 - 1 and py1 + 1").withColumn("raw", F.upper(F.trim("text")))
+    sizes = pages.select(F.col("page").alias("img"), F.ceil(F.col("width") * zoom).cast("int").alias("width"), F.ceil(F.col("height") * zoom).cast("int").alias("height"))
+    px = lambda c: F.floor(F.col(c) * zoom).cast("double").alias(c.split(".")[-1])
+    lines = plan.select(F.col("page").alias("img"), "kind", F.explode("segs").alias("s")).select("img", "kind", *[px(f"s.{c}") for c in ("x0", "y0", "x1", "y1")])
+    thin = vector.lines_as_runs(lines.where("kind = 'wall'").drop("kind"), zoom=1.0)
+    wide = R.dilated(vector.lines_as_runs(lines.where("kind = 'curve'").drop("kind"), zoom=1.0), {-1: 0, 0: 1, 1: 0})
+    holes = mine.select(F.col("page").alias("img"), F.floor(F.col("x0") * zoom).alias("x0"), F.floor(F.col("y0") * zoom).alias("y0"), F.floor(F.col("x1") * zoom).alias("x1"), F.floor(F.col("y1") * zoom).alias("y1"))
+    # the high ends are outside
+    margin = 6
+    holes = holes.select("img", (F.col("x0") - margin).alias("x0"), (F.col("y0") - margin).alias("y0"), (F.col("x1") + margin - 1).alias("x1"), (F.col("y1") + margin - 1).alias("y1"))
+    mask = R.minus(R.merged(thin.unionByName(wide.select("img", "y", "x0", "x1"))), R.boxes_as_runs(holes), sizes)
+    mask = materialise(mask.join(plan.select(F.col("page").alias("img")).distinct(), "img", "left_semi"), "page-mask")
+    names = mine.where((F.col("raw") != "") & ~F.rlike("raw", F.lit("[0-9]")))
+    tokens = names.select(F.col("page").alias("img"), ((F.col("x0") + F.col("x1")) / 2 * zoom).alias("cx"), ((F.col("y0") + F.col("y1")) / 2 * zoom).alias("cy"), F.col("raw").alias("text"), *[(F.col(c) * zoom).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    groups = walls.group_tokens(tokens, 60.0 * zoom, 22.0 * zoom)
+    named = groups.select("img", F.col("ord").alias("id"), F.array_join(F.transform(F.sort_array("parts"), lambda p: p["text"]), " ").alias("name"), "cx", "cy")
+    named = materialise(named.join(mask.select("img").distinct(), "img", "left_semi"), "page-names")
+    outlines, boxes = page_plan(mask, sizes.join(mask.select("img").distinct(), "img", "left_semi"), named, zoom)
+    rooms_ = boxes.join(named.select("img", "id", "cx", "cy"), ["img", "id"])
+    return outlines.withColumnRenamed("img", "page"), rooms_.select(F.col("img").alias("page"), "name", F.col("cx").alias("x"), F.col("cy").alias("y"), "points")

@@ -95,3 +95,52 @@ def axial_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, low = (9.0 * (k % 10) + 0.5).cast("double"), F.lit(-5.0)
     end = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
     return table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("case"), k.alias("line"), end(low, at, at).alias("x0"), end(at, low, low).alias("y0"), end(F.lit(95.0), at, at + 40.0).alias("x1"), end(at, F.lit(95.0), F.lit(95.0)).alias("y1"))
+
+
+def plan_pixels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pixels, sizes and labels of a painted plan for every tenth supplier: two rooms in walls ten thick, side by side, with a
+    door of 35 and its symbol between them; every third plan is a diamond with a wall down its middle instead.
+    """
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").where(k % 10 == 0).select(k.alias("img"), (k % 3 == 0).alias("bent"), (110 + 7 * (k % 4)).cast("int").alias("mid"))
+    box = lambda *c: F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("int").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), c)])
+    m = F.col("mid")
+    straight = [box(10, 10, 250, 19), box(10, 140, 250, 149), box(10, 10, 19, 149), box(241, 10, 250, 149), box(m, 10, m + 9, 60), box(m, 95, m + 9, 149), box(m - 18, 74, m - 10, 81)]
+    flat = s.where("not bent").select("img", F.inline(F.array(*straight)))
+    flat = flat.select("img", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1")
+    bent = s.where("bent").select("img", F.explode(F.sequence(F.lit(8), F.lit(212))).alias("y")).withColumn("dy", F.abs(F.col("y") - 110))
+    part = lambda low, high: F.struct(F.greatest(low, F.lit(0)).cast("int").alias("x0"), high.cast("int").alias("x1"))
+    outer, inner = 102 - F.col("dy"), F.greatest(90 - F.col("dy"), F.lit(0))
+    ring = F.array(part(130 - outer, 130 - inner), part(130 + inner, 130 + outer), part(F.lit(126), F.when(F.col("dy") <= 96, 134).otherwise(125)))
+    bent = bent.select("img", "y", F.inline(ring)).where("x0 <= x1")
+    px = flat.unionByName(bent.select("img", "y", "x0", "x1")).select("img", "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct().withColumn("gray", F.lit(30))
+    sizes = s.select("img", F.lit(270).alias("width"), F.lit(220).alias("height"))
+    name = lambda n, x, y: F.struct(F.lit(n).alias("ord"), F.concat(F.lit("RUANG "), F.lit("AB"[n])).alias("name"), x.cast("double").alias("cx"), y.cast("double").alias("cy"))
+    low, high = F.when(F.col("bent"), 90).otherwise(60), F.when(F.col("bent"), 170).otherwise(200)
+    down = F.when(F.col("bent"), 110).otherwise(115)
+    at = s.select("img", F.inline(F.array(name(0, low, down), name(1, high, down))))
+    return px, sizes, at.select("*", *[(F.col(c) + d).alias(n) for n, c, d in (("x0", "cx", -10), ("y0", "cy", -5), ("x1", "cx", 10), ("y1", "cy", 5))])
+
+
+def vector_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drawings, words and pages in points: the ``IMAGE_PARTS`` parts of an image as rooms in two rows of five, each a black
+    rectangle of a size by its key with its name in the middle; and on every page a title block far off, with a number.
+    """
+    k = F.col("p_partkey")
+    x0, y0 = (40.0 + 70 * (k % 5)).cast("double"), (40.0 + 60 * F.floor(k % IMAGE_PARTS / 5)).cast("double")
+    x1, y1 = x0 + 44 + k % 3 * 4, y0 + 36 + k % 4 * 3
+    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+    seg = lambda *c: F.struct(*[v.cast("double").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), c)])
+    ring = lambda a, b, c, d: F.array(seg(a, b, c, b), seg(c, b, c, d), seg(c, d, a, d), seg(a, d, a, b))
+    p = table(spark, sf_dir, "part")
+    black = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    none = F.lit(None).cast("array<double>")
+    draw = lambda id_, fill, color, n, segs, a, b, c, d: [id_.alias("draw_id"), fill.alias("fill"), color.alias("color"), F.lit(n).alias("n_items"), segs.alias("segs"), a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1")]
+    rooms_ = p.select(image(k).alias("page"), *draw(k, black, none, 4, ring(x0, y0, x1, y1), x0, y0, x1, y1))
+    pages = p.select(image(k).alias("page")).distinct().select("page", F.lit(600.0).alias("width"), F.lit(300.0).alias("height"))
+    far = [F.lit(v) for v in (500.0, 200.0, 560.0, 260.0)]
+    block = pages.select("page", *draw(F.lit(-1).cast("long"), black, none, 4, ring(*far), *far))
+    word = lambda text, a, b, c, d: [a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"), text.alias("text")]
+    texts = p.select(image(k).alias("page"), *word(F.element_at(F.split("p_name", " "), 1), cx - 6, cy - 3, cx + 6, cy + 3))
+    title = pages.select("page", *word(F.lit("JUDUL"), *[F.lit(v) for v in (510.0, 220.0, 530.0, 226.0)])).unionByName(pages.select("page", *word(F.lit("2.50"), *[F.lit(v) for v in (300.0, 45.0, 302.0, 46.0)])))
+    return rooms_.unionByName(block), texts.unionByName(title), pages

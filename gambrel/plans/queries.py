@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gambrel.functions import labels as L
 from gambrel.functions import polygon as P
-from gambrel.operators import axial, facade, graph, matching, outline, rooms, runs, vector, walls
+from gambrel.operators import axial, distance, editing, facade, graph, matching, outline, plan, rooms, runs, tracing, vector, walls
 from gambrel.plans import adapters as A
 
 QUERIES: dict = {}
@@ -299,3 +299,65 @@ def n17_n20_axial(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = axial.weighted_paths(graph)
     integration = axial.nain(paths)
     return integration.join(axial.nach(paths, integration, graph), ["case", "seg"]).select("case", "seg", R6("nain").alias("nain"), R6("nach").alias("nach"))
+
+
+@query("""SELECT img, 'RUANG ' || label AS name, CASE WHEN bent THEN 'poligon-organik' ELSE 'tulisan' END AS source, CASE WHEN bent THEN 'organic' ELSE 'rectilinear' END AS mode, CAST(1 AS BIGINT) AS size, CAST(CASE WHEN bent THEN 0 ELSE 1 END AS BIGINT) AS doors
+ FROM (SELECT s_suppkey AS img, s_suppkey % 3 = 0 AS bent, unnest(['A', 'B']) AS label FROM supplier WHERE s_suppkey % 10 = 0) p""")
+def r18_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Painted plans from pixels to rooms and doors; ``size``: a room's area over what was painted, rounded."""
+    _, found, doors = plan.analyse(*A.plan_pixels(spark, sf_dir))
+    mid = 110 + 7 * (F.col("img") % 4)
+    painted = F.when(F.col("mode") == "organic", 85 * 85).when(F.col("name") == "RUANG A", (mid - 20) * 120).otherwise((231 - mid) * 120)
+    n = doors.groupBy("img").agg(F.count(F.lit(1)).alias("doors"))
+    return found.join(n, "img", "left").select("img", "name", "source", "mode", F.round(P.area(F.col("points")) / painted).cast("long").alias("size"), F.coalesce("doors", F.lit(0)).cast("long").alias("doors"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, CAST(p_partkey // 10 AS INTEGER) AS page, upper(split_part(p_name, ' ', 1)) AS name, 40 + 70 * (p_partkey % 5) AS x0, 40 + 60 * (p_partkey % 10 // 5) AS y0, 44 + p_partkey % 3 * 4 AS w, 36 + p_partkey % 4 * 3 AS h FROM part)
+SELECT page, name, CAST(2 * x0 + w AS DOUBLE) AS x, CAST(2 * y0 + h AS DOUBLE) AS y, CAST(2 * x0 AS DOUBLE) AS x0, CAST(2 * y0 AS DOUBLE) AS y0, CAST(2 * (x0 + w) AS DOUBLE) AS x1, CAST(2 * (y0 + h) AS DOUBLE) AS y1 FROM r""")
+def v5_page_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of vector items to room boxes; the title block and its word are left out with its cluster."""
+    _, found = tracing.vector_pages(*A.vector_pages(spark, sf_dir))
+    b = P.bounds(F.col("points"))
+    return found.select("page", "name", "x", "y", *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("""WITH r AS (SELECT p_brand AS "case", p_partkey AS id, p_size AS s, p_name, CAST(p_partkey * 37 % 400 AS DOUBLE) AS x0, CAST(p_partkey * 91 % 300 AS DOUBLE) AS y0, CAST(p_partkey * 37 % 400 + p_size + 2 AS DOUBLE) AS x1, CAST(p_partkey * 91 % 300 + p_partkey % 40 + 3 AS DOUBLE) AS y1 FROM part),
+h AS (SELECT DISTINCT a."case", a.id FROM r a JOIN r b ON a."case" = b."case" AND a.s % 2 = 1 AND b.s % 2 = 0 WHERE
+ ((b.x0 <= a.x0 AND a.x0 < b.x1 OR b.x0 <= a.x1 AND a.x1 < b.x1) AND (b.y0 <= a.y0 AND a.y0 < b.y1 OR b.y0 <= a.y1 AND a.y1 < b.y1))
+ OR ((a.x0 <= b.x0 AND b.x0 < a.x1 OR a.x0 <= b.x1 AND b.x1 < a.x1) AND (a.y0 <= b.y0 AND b.y0 < a.y1 OR a.y0 <= b.y1 AND b.y1 < a.y1))
+ OR ((a.x0 < b.x0 AND b.x0 < a.x1 OR a.x0 < b.x1 AND b.x1 < a.x1) AND (b.y0 < a.y0 AND a.y0 < b.y1 OR b.y0 < a.y1 AND a.y1 < b.y1))
+ OR ((b.x0 < a.x0 AND a.x0 < b.x1 OR b.x0 < a.x1 AND a.x1 < b.x1) AND (a.y0 < b.y0 AND b.y0 < a.y1 OR a.y0 < b.y1 AND b.y1 < a.y1)))
+SELECT r."case", r.id, CASE WHEN s % 3 = 0 THEN 'Ruangan baru' ELSE p_name END AS name, CASE WHEN s % 7 = 0 THEN 'perlu tiga titik' WHEN h.id IS NOT NULL THEN 'menimpa ruang lain' ELSE 'diterima' END AS verdict FROM r LEFT JOIN h ON h."case" = r."case" AND h.id = r.id WHERE s % 2 = 1""")
+def e3_close_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of odd size as rooms drawn into the plans of those of even size; every third has no name, every seventh two
+    points."""
+    r = A.rooms(spark, sf_dir).select(F.col("graph").alias("case"), F.col("node").alias("id"), "points")
+    r = r.join(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("s"), F.col("p_name").alias("name")), "id")
+    drawn = r.where("s % 2 = 1").select("case", "id", F.when(F.col("s") % 3 == 0, " ").otherwise(F.col("name")).alias("name"), F.when(F.col("s") % 7 == 0, F.slice("points", 1, 2)).otherwise(F.col("points")).alias("points"))
+    return editing.close_rooms(drawn, r.where("s % 2 = 0").select("case", "id", "points")).select("case", "id", "name", "verdict")
+
+
+@query(_WALLS + """, b AS (SELECT img, CASE WHEN axis = 'h' THEN a ELSE coord - 1 END AS x0, CASE WHEN axis = 'h' THEN b ELSE coord + 1 END AS x1, CASE WHEN axis = 'h' THEN coord - 1 ELSE a END AS y0, CASE WHEN axis = 'h' THEN coord + 1 ELSE b END AS y1 FROM w)
+SELECT p.img, p.id, CAST(greatest(0, cx - 120, coalesce(max(CASE WHEN cy BETWEEN y0 AND y1 AND x0 < cx THEN least(x1, cx - 1) END), 0)) AS INTEGER) AS x0, CAST(greatest(0, cy - 120, coalesce(max(CASE WHEN cx BETWEEN x0 AND x1 AND y0 < cy THEN least(y1, cy - 1) END), 0)) AS INTEGER) AS y0,
+ CAST(least(819, cx + 120, coalesce(min(CASE WHEN cy BETWEEN y0 AND y1 AND x1 > cx THEN greatest(x0, cx + 1) END), 819)) AS INTEGER) AS x1, CAST(least(819, cy + 120, coalesce(min(CASE WHEN cx BETWEEN x0 AND x1 AND y1 > cy THEN greatest(y0, cy + 1) END), 819)) AS INTEGER) AS y1
+ FROM p LEFT JOIN b ON b.img = p.img GROUP BY p.img, p.id, cx, cy""")
+def w9_ray_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays of at most 120 steps from every label to the walls' barriers."""
+    spots = A.spots(spark, sf_dir)
+    sizes = spots.select("img").distinct().select("img", F.lit(820).alias("width"), F.lit(820).alias("height"))
+    return tracing.ray_boxes(walls.barriers(A.walls(spark, sf_dir)), sizes, spots.withColumn("cap", F.lit(120)))
+
+
+@query(_WALLS + """, q AS (SELECT DISTINCT img, unnest(CASE WHEN axis = 'h' THEN range(coord - 1, coord + 2) ELSE range(a, b + 1) END) AS y, CASE WHEN axis = 'h' THEN a ELSE coord - 1 END AS x0, CASE WHEN axis = 'h' THEN b ELSE coord + 1 END AS x1 FROM w),
+m AS (SELECT DISTINCT img, y, unnest(range(x0, x1 + 1)) AS x FROM q),
+k AS (SELECT unnest(range(-3, 4)) AS d),
+g AS (SELECT m.img, m.y, m.x, coalesce(min(abs(k.d)) FILTER (n.x IS NULL), 9) AS g FROM m CROSS JOIN k LEFT JOIN m n ON n.img = m.img AND n.x = m.x AND n.y = m.y + k.d GROUP BY m.img, m.y, m.x),
+t AS (SELECT a.img, a.y, a.x, min(sqrt(k.d * k.d + coalesce(b.g, 0) * coalesce(b.g, 0))) AS d FROM g a CROSS JOIN k LEFT JOIN g b ON b.img = a.img AND b.y = a.y AND b.x = a.x + k.d WHERE a.x + k.d >= -9 GROUP BY a.img, a.y, a.x)
+SELECT img, CAST(count(*) AS BIGINT) AS pixels, CAST(count(*) FILTER (d >= 1.85) AS BIGINT) AS thick, round(CAST(sum(least(d, 3)) AS DOUBLE), 4) AS total FROM t GROUP BY img""")
+def r2_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of barrier pixels from the background: pixels, those 1.85 or more away, and the sum, 3 at most each."""
+    spots = A.walls(spark, sf_dir)
+    mask = walls.barriers(spots).select("img", (F.col("y") + 10).alias("y"), (F.col("x0") + 10).alias("x0"), (F.col("x1") + 10).alias("x1"))
+    sizes = spots.select("img").distinct().select("img", F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    d = distance.distances(mask, sizes).select("img", F.explode("d").alias("d"))
+    return d.groupBy("img").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("d") >= 1.85).alias("thick"), F.round(F.sum(F.least("d", F.lit(3.0))), 4).alias("total"))
