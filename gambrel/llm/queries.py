@@ -124,9 +124,8 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    known = docs.join(labels, "doc_id").where(fold != 0)
-    scored = score(docs, fit(known, fold == 4))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(fold != 0)
+    scored = score(docs, fit(docs, labels, fold == 4))
     return scored.select("doc_id", (F.coalesce(fold, F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

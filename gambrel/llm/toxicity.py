@@ -24,6 +24,8 @@ from gambrel.llm.common import byte_slices, materialise, quoted, without
 
 #: Bytes of a word's code, which is a window; words of a training sample.
 CODE, SAMPLE = 16, 8
+#: Words of a piece of a training text that is sampled or not.
+CHUNK = 64
 LEVEL = 19
 #: Margins that a worker process remembers at most.
 MEMO = 1_000_000
@@ -107,12 +109,16 @@ def _kept_model(model: Model) -> Model:
 
 def train_dictionary(codes: np.ndarray, size: int) -> bytes:
     """A dictionary from hashes of words in order; of segments of one word. Too little text becomes a plain-content
-    dictionary, which has no entropy tables but finds the same matches."""
+    dictionary, which has no entropy tables but finds the same matches.
+
+    Samples are shuffled, always alike: the trainer goes through them in stretches and ends early where several in a row, as
+    of one long text that repeats itself, bring it nothing new.
+    """
     import zstandard
 
     raw = coded(codes)
     step = CODE * SAMPLE
-    samples = [raw[k : k + step] for k in range(0, len(raw), step)]
+    samples = [raw[k * step : (k + 1) * step] for k in np.random.default_rng(7).permutation(-(-len(raw) // step))]
     try:
         return zstandard.train_dictionary(size, samples, k=CODE, d=8, level=3).as_bytes()
     except zstandard.ZstdError:
@@ -143,60 +149,75 @@ def design(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(count), np.log1p(count), np.log1p(1000 * count / np.maximum(total, 1))], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights by Newton's rule, with a small penalty on all but the constant, and their loss."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> tuple[np.ndarray, float]:
+    """Weights by Newton's rule, rows counting as ``weight`` says, with a small penalty on all but the constant; their loss."""
     w = np.zeros(x.shape[1])
     penalty = np.diag([0.0, *[ridge] * (x.shape[1] - 1)])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (weight * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum())
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str, text_col: str, label_col: str, label_rows: int) -> tuple[DataFrame, dict, dict]:
+    """(label, fold, digest, codes) of the texts of at most ``label_rows`` ids a label, taken in the order of a hash; the ids
+    of each label, and those taken. What is taken has a bound, so it is broadcast to the documents."""
+    ids = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("label"), F.coalesce(fold, F.lit(False)).alias("fold"))
+    ids = ids.where("id is not null and label in (0, 1)").distinct()
+    totals = {r.label: r.n for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = [ids.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(label_rows) for k in (0, 1)]
+    picked = some[0].unionByName(some[1])
+    text = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    rows = text.join(F.broadcast(picked), "id").select("label", "fold", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), word_codes(F.col("text")).alias("codes"))
+    rows = materialise(rows.groupBy("digest", "label").agg(F.min("fold").alias("fold"), F.first("codes").alias("codes")), "toxic-rows")
+    return rows, totals, {k: min(n, label_rows) for k, n in totals.items()}
 
 
-def fit(labelled: DataFrame, fold: Column, text_col: str = "text", label_col: str = "label", sample_words: int = 1_000_000, calibration_rows: int = 20_000, share: float = 0.01, least: int = 4, sizes: tuple[int, int] = (1 << 20, 1 << 16)) -> Model:
-    """The model of texts with labels 0 and 1; rows with other labels or none are left out.
+def fit(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", label_rows: int = 10_000, sample_words: int = 1_000_000, share: float = 0.01, least: int = 4, sizes: tuple[int, int] = (1 << 20, 1 << 16)) -> Model:
+    """The model of the documents that ``labels`` (id, label 0 or 1) names; other labels, null ids and ids without a document
+    are left out.
 
-    Rows where ``fold`` is true calibrate, the others train, so thresholds are of texts that the dictionaries did not see.
-    Equal texts of a label count once, and train if any of them does. How many training texts hold a word is counted over all of them; words in under
-    ``share`` of the toxic ones, or under ``least``, stay out of the toxic dictionary, which so holds what toxic texts have
-    in common. Of the training windows a sample of ``sample_words`` words a label, in the order of a hash, comes to the
-    driver, as do the window counts of ``calibration_rows`` rows: the two bounds of what the driver holds.
+    ``label_rows`` ids a label, in the order of a hash, are used: the bound of all that is fitted. Labelled rows where
+    ``fold`` is true calibrate, the others train, so thresholds are of texts that the dictionaries did not see; in calibration
+    the labels weigh as they do among all labelled rows. Equal texts of a label count once, and train if any of them does.
+    Words in under ``share`` of the toxic training texts, or under ``least``, stay out of the toxic dictionary, which so holds
+    what toxic texts have in common. Of the training texts about ``sample_words`` words a label, whole windows by a hash, come
+    to the driver.
 
     Without texts of both labels the model gives every text the share of label 1, or 0.
     """
-    rows = labelled.select(quoted(label_col).cast("int").alias("label"), F.coalesce(fold, F.lit(False)).alias("fold"), F.md5(F.coalesce(quoted(text_col), F.lit(""))).alias("digest"), word_codes(quoted(text_col)).alias("codes")).where("label in (0, 1)")
-    rows = materialise(rows.groupBy("digest", "label").agg(F.min("fold").alias("fold"), F.first("codes").alias("codes")), "toxic-rows")
+    rows, totals, taken = labelled_rows(docs, labels, fold, id_col, text_col, label_col, label_rows)
     train = rows.where("not fold")
-    totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes_of = {r.label: r.n for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = {r.label: r for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.size("codes") / CHUNK)).alias("chunks")).collect()}
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    if not sizes_of.get(0) or not sizes_of.get(1):
+    if not (0 in texts and 1 in texts):
         return Model(prior=prior)
     known = train.where("label = 1").select(F.explode(F.array_distinct("codes")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     # words in a hundredth of the texts are at most a hundred times a text's words
-    often = np.array([r.code for r in known.where(F.col("n") >= max(min(least, sizes_of[1]), math.ceil(share * sizes_of[1]))).select("code").collect()], np.int64)
+    often = np.array([r.code for r in known.where(F.col("n") >= max(min(least, texts[1].n), math.ceil(share * texts[1].n))).select("code").collect()], np.int64)
 
     def sample(label: int) -> np.ndarray:
-        chunks = windows_of(train.where(F.col("label") == label), 64).orderBy(F.xxhash64("digest", "start"), "digest", "start").limit(sample_words // 64).select("codes")
-        parts = [np.array(r.codes, np.int64) for r in chunks.collect()]
+        kept = min(1.0, sample_words / CHUNK / max(1, texts[label].chunks))
+        chunks = windows_of(train.where(F.col("label") == label), CHUNK).where(F.pmod(F.xxhash64("digest", "start"), F.lit(1 << 20)) < kept * (1 << 20))
+        parts = [np.array(r.codes, np.int64) for r in chunks.select("digest", "start", "codes").orderBy("digest", "start").toLocalIterator()]
         return np.concatenate(parts) if parts else np.array([], np.int64)
 
     toxic = sample(1)
     model = Model(train_dictionary(sample(0), sizes[0]), train_dictionary(toxic[np.isin(toxic, often)], sizes[1]), prior=prior)
-    held = rows.where("fold").orderBy(F.xxhash64("digest"), "digest", "label").limit(calibration_rows)
-    counted = features_of(held, model, "label").collect()
+    counted = features_of(rows.where("fold"), model, "label").collect()
     y = np.array([r.label for r in counted], float)
     if not counted or y.min() == y.max():
-        # nothing to calibrate by: a window counts if one dictionary knows all of it and the other nothing
+        # nothing to calibrate by: a window counts if the toxic dictionary alone knows it
         return Model(model.ordinary, model.toxic, CODE // 2, (-3.0, 3.0, 0.5), prior)
     table = np.array([r.counts for r in counted], float)
+    weight = np.array([totals[r.label] / taken[r.label] for r in counted])
     best = None
     for threshold in range(1, CODE + 1):
-        w, loss = logistic(design(table[:, threshold:].sum(axis=1), table.sum(axis=1)), y)
+        w, loss = logistic(design(table[:, threshold:].sum(axis=1), table.sum(axis=1)), y, weight)
         if best is None or loss < best[0] - 1e-12:
             best = (loss, threshold, tuple(float(v) for v in w))
     return Model(model.ordinary, model.toxic, best[1], best[2], prior)

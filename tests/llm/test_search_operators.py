@@ -105,7 +105,7 @@ def auc(pairs):
 
 
 def test_op12_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in QUERIES["op12_toxicity"](spark, sf).collect()}
     docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -113,7 +113,7 @@ def test_op12_on_held_out_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
     held = [(got[d].score, y) for d, y in labels.items() if got[d].held_out]
     right = sum((s >= 0.5) == bool(y) for s, y in held) / len(held)
-    assert auc(held) >= 0.8 and right >= 0.93, (auc(held), right)  # 8 toxic ones, some labels are noise
+    assert auc(held) >= 0.94 and right >= 0.97, (auc(held), right)  # some labels are noise
 
 
 def toxic_rows(spark, n=60):
@@ -129,7 +129,7 @@ def toxic_rows(spark, n=60):
 
 
 def test_toxicity_of_odd_rows(spark):
-    model = T.fit(toxic_rows(spark), F.col("doc_id") % 4 == 1, sample_words=5000)
+    model = T.fit(toxic_rows(spark), toxic_rows(spark), F.col("doc_id") % 4 == 1, sample_words=5000)
     rows = [(1, None, 0.5), (2, "", 0.5), (3, "12 34 !!", 0.5), (4, "you vile rotten dog", 0.5), (5, "the cat and the dog", 0.5), (5, "the cat and the dog", 0.5), (6, "VILE " * 20_000 + "Rotten", 0.5)]
     out = T.score(spark.createDataFrame(rows, "doc_id long, text string, score double"), model).collect()
     by = defaultdict(list)
@@ -139,9 +139,9 @@ def test_toxicity_of_odd_rows(spark):
     assert by[1][0].score == by[2][0].score == by[3][0].score < 0.5 <= by[4][0].score and by[5][0].score < 0.5 <= by[6][0].score
     assert by[6][0].windows == by[6][0].toxic_windows == 20_001
     assert T.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
-    one = T.fit(toxic_rows(spark).where("label = 0"), F.lit(False))
+    one = T.fit(toxic_rows(spark), toxic_rows(spark).where("label = 0"), F.lit(False))
     assert [r.score for r in T.score(toxic_rows(spark, 2), one).collect()] == [0.0, 0.0]
-    assert T.fit(toxic_rows(spark).limit(0), F.lit(False)).prior == 0
+    assert T.fit(toxic_rows(spark), toxic_rows(spark).limit(0), F.lit(False)).prior == 0
 
 
 def plain_negatives(rows, every=100):
