@@ -2,7 +2,8 @@
 
 Documents with equal texts are linked; a group of them is a node that all of them neighbour, so no pair is made. A label
 is a shard. The state is, for each group and shard, how many of its documents are there; each round joins that table to
-the shards' free capacity and moves documents to the shard, with room, where most of their group is, until none moves.
+the shards' capacity and moves documents to the shard where most of their group is, into free room or in exchange for as
+many that wish the other way, until none moves.
 Documents without links fill what is left, so row counts are at most one apart. Only DataFrame functions are used.
 """
 
@@ -28,38 +29,83 @@ def _case(of: Column, values: list[int]) -> Column:
     return out.cast("long")
 
 
-def propagate(cells: DataFrame, quota: list[int], rounds: int = 12) -> DataFrame:
+def rooms_for(wishes: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How many rows may go from a shard to another: those that change places, two shards or a ring of several, and those
+    that end, directly or over others, where there is room. Shards and their room are the nodes of a small graph; rings in
+    it, shortest first from each edge, are filled until there is none."""
+    room = -1
+    left = {k: n for k, n in wishes.items() if n}
+    left |= {(t, room): n for t, n in enumerate(free) if n} | {(room, s): sum(wishes.values()) for s in range(len(free))}
+    out = dict.fromkeys(wishes, 0)
+
+    def ring(first: tuple[int, int]) -> list[tuple[int, int]]:
+        came, todo = {first[1]: None}, [first[1]]
+        for u in todo:
+            for v in (v for (w, v) in sorted(left) if w == u and v not in came):
+                came[v] = u
+                todo.append(v)
+        if first[0] not in came:
+            return []
+        edges, at = [first], first[0]
+        while came[at] is not None:
+            edges.append((came[at], at))
+            at = came[at]
+        return edges
+
+    for first in sorted(wishes):
+        while first in left and (edges := ring(first)):
+            n = min(left[e] for e in edges)
+            for e in edges:
+                left[e] -= n
+                if not left[e]:
+                    del left[e]
+                if e in out:
+                    out[e] += n
+    return out
+
+
+def propagate(cells: DataFrame, quota: list[int], stale: int = 16) -> DataFrame:
     """(group, shard, n) after label propagation; no shard is filled beyond its quota by a move.
 
-    A cell moves to the shard where most of its group is (the lowest of equals), if that has more of it, or as many and a
-    lower number, and has room; all cells bound for one shard share its room in the order of their groups' hashes,
-    summed by bins first. Room is what linked documents leave: the others give way.
+    In each round every cell wishes to the shard where most of its group is, in every other round of those with room; of
+    equals to one with room, then by a hash of group, shard and round, so that ties go either way in turn. Rows that wish from one shard to another change places with
+    as many that wish back, or in a ring, and go into what room there is beyond; who goes is settled by the order of the groups' hashes,
+    summed by bins first. Room is what linked documents leave: the others give way. Each moved row brings the sum of squares
+    of the cells up, so moves end; ``stale`` rounds without any, after which ties have gone every way, end the rounds.
     """
     shards = len(quota)
     cells = materialise(cells, "shard-cells")
-    for _ in range(rounds):
+    idle = turn = 0
+    while idle < stale:
+        turn += 1
         held = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
         free = [max(0, q - held.get(s, 0)) for s, q in enumerate(quota)]
-        open_ = [s for s in range(shards) if free[s]]
-        if not open_:
-            break
-        w = Window.partitionBy("group")
-        # the best shard with room, of those where the group is
-        rank = F.when(F.col("shard").isin(open_), F.struct("n", (-F.col("shard")).alias("low")))
-        best = cells.withColumn("best", F.max(rank).over(w))
-        target = (-F.col("best.low")).cast("int")
-        better = (F.col("best.n") > F.col("n")) | ((F.col("best.n") == F.col("n")) & (target < F.col("shard")))
-        wish = best.where(F.col("best").isNotNull() & (target != F.col("shard")) & better).select("group", "shard", "n", target.alias("target"))
-        wish = wish.withColumn("bin", bin_of(F.col("group"), bins=GROUP_BINS))
-        sums = wish.groupBy("target", "bin").agg(F.sum("n").alias("bin_n"))
-        before = sums.withColumn("before", F.sum("bin_n").over(Window.partitionBy("target").orderBy("bin")) - F.col("bin_n")).drop("bin_n")
-        inside = Window.partitionBy("target", "bin").orderBy("group", "shard")
-        # at most shards * GROUP_BINS rows
-        ranked = wish.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(before), ["target", "bin"])
-        take = F.greatest(F.lit(0), F.least(F.col("n"), _case(F.col("target"), free) - F.col("before") - F.col("inside")))
+        has = F.col("shard").isin([s for s in range(shards) if free[s]])
+        # rounds take turns: shards with room only, then all, where an exchange may help
+        rank = F.struct("n", has.alias("open"), F.xxhash64("group", "shard", F.lit(turn)).alias("tie"), "shard")
+        best = F.max(F.when(has, rank) if turn % 2 else rank).over(Window.partitionBy("group"))
+        wish = cells.withColumns({"own": rank, "best": best}).where((F.col("best") > F.col("own")) & (F.col("best.shard") != F.col("shard")))
+        wish = wish.select("group", "shard", "n", F.col("best.shard").alias("target")).withColumn("bin", bin_of(F.col("group"), bins=GROUP_BINS))
+        wish = materialise(wish, "shard-wishes")
+        if wish.isEmpty():
+            if turn % 2 == 0:
+                break  # no group has a shard that it would rather be in
+            idle += 1
+            continue
+        sums = wish.groupBy("shard", "target", "bin").agg(F.sum("n").alias("bin_n"))
+        before = sums.withColumn("before", F.sum("bin_n").over(Window.partitionBy("shard", "target").orderBy("bin")) - F.col("bin_n")).drop("bin_n")
+        total = {(r.shard, r.target): r.n for r in sums.groupBy("shard", "target").agg(F.sum("bin_n").alias("n")).collect()}  # at most shards^2 rows
+        may = rooms_for(total, free)
+        inside = Window.partitionBy("shard", "target", "bin").orderBy("group")
+        # at most shards^2 * GROUP_BINS rows
+        ranked = wish.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(before), ["shard", "target", "bin"])
+        most = _case(F.col("shard") * shards + F.col("target"), [may.get((s, t), 0) for s in range(shards) for t in range(shards)])
+        take = F.greatest(F.lit(0), F.least(F.col("n"), most - F.col("before") - F.col("inside")))
         moved = materialise(ranked.withColumn("take", take).where("take > 0").select("group", "shard", "target", "take"), "shard-moves")
         if moved.isEmpty():
-            break
+            idle += 1
+            continue
+        idle = 0
         gone = moved.select("group", "shard", (-F.col("take")).alias("n"))
         come = moved.select("group", F.col("target").alias("shard"), F.col("take").alias("n"))
         cells = cells.unionByName(gone).unionByName(come).groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0")

@@ -224,3 +224,24 @@ def test_entry_without_corpus_operators(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith(('op', 'pipe'))])"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": "/root", "PYTHONPATH": ""})
     assert said.returncode == 0 and said.stdout.strip().endswith("[]"), said.stderr
+
+
+def test_full_shards_change_places(spark):
+    """Pairs cut over shards that have no room: only an exchange joins them. A pair over a full and an open shard joins too."""
+    from gambrel.llm.sharding import propagate, rooms_for
+
+    cells = lambda rows: spark.createDataFrame(rows, "group string, shard int, n long")
+    pairs = [(f"g{k}", s, 1) for k in range(20) for s in (k % 4, (k + 1 + k % 3) % 4)]
+    got = propagate(cells(pairs), [10] * 4).collect()
+    by, held = {}, {}
+    for r in got:
+        by.setdefault(r.group, []).append(r.shard)
+        held[r.shard] = held.get(r.shard, 0) + r.n
+    assert sum(r.n for r in got) == 40 and max(held.values()) <= 10
+    assert all(len(v) == 1 for v in by.values())
+    one = propagate(cells([("a", 0, 1), ("a", 1, 1), ("b", 0, 3)]), [4, 9]).collect()
+    assert sorted((r.group, r.shard, r.n) for r in one) in ([("a", 0, 2), ("b", 0, 3)], [("a", 1, 2), ("b", 0, 3)]) and sum(r.n for r in one if r.shard == 0) <= 4
+    assert propagate(cells([]), [1, 1]).count() == 0
+    assert rooms_for({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 3, 9]) == {(0, 1): 5, (1, 0): 3, (2, 1): 1}
+    assert rooms_for({(0, 1): 2, (1, 2): 3, (2, 0): 4}, [0, 0, 0]) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
+    assert rooms_for({(0, 1): 2, (1, 2): 3}, [0, 0, 2]) == {(0, 1): 2, (1, 2): 2}
