@@ -26,8 +26,9 @@ from gambrel.llm.common import byte_slices, map_rows, quoted, text_of, without
 PART_BYTES, SEND_BYTES, HASH_BYTES = 16 << 20, 24 << 20, 1 << 20
 #: Packed words compress by half; what they are sent as is most of the disk in use.
 LEVEL = 6
-#: A slot of minimisers with more than this many times the mean load is split.
-HOT = 4.0
+#: A slot of minimisers with more than this many times the mean load is split, and so is one with this many eighths of a
+#: part, which holds the load of a group where the table of slots has its largest size.
+HOT, MOST_SLOTS = 4.0, 1 << 20
 _LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15 | 1
 ADDED = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
@@ -200,7 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, math.ceil(3 * size / part_bytes))
-    slots = min(1 << 20, max(4096, 1 << (8 * parts - 1).bit_length()))
+    slots = min(MOST_SLOTS, max(4096, 1 << (8 * parts - 1).bit_length()))
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, bytes, list[int]]]:
         for some in byte_slices(batches, 1):
@@ -216,7 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["slot", "bytes"])
 
     loads = wanted.mapInArrow(load, "slot long, bytes long").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
-    most = HOT * 3 * size / slots
+    most = HOT * min(3 * size / slots, part_bytes / 8)
     hot = [r.slot for r in loads.where((F.col("bytes") > most) & (F.col("bytes") > part_bytes // 256)).select("slot").collect()]  # at most slots / HOT
     hot_shared = spark.sparkContext.broadcast(hot)
 

@@ -140,9 +140,11 @@ def test_token_counts(docs, none, rows, tmp_path):
     assert count_tokens(none, path, cache).count() == 0
 
 
-@pytest.mark.parametrize("hot", [S.HOT, 0.0])
-def test_substring_dedup(spark, docs, none, rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot, slots", [(S.HOT, S.MOST_SLOTS), (0.0, S.MOST_SLOTS), (S.HOT, 16)])
+def test_substring_dedup(spark, docs, none, rows, hot, slots, monkeypatch):
+    """Few hot minimisers, all of them hot, and a table of slots too small for the load."""
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "MOST_SLOTS", slots)
     rows = [(d if d is not None else S._LAST, t) for d, t in rows]
     seen, want = {}, []
     for d, t in sorted(rows, key=lambda r: r[0]):
