@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_find_pii, op3_token_files, op4_remove_repeats, op5_warc_captures, op6_assign_shards, op7_quality_rules, op8_count_tokens, op9_pack, op10_near_duplicates, op11_spelling_variants, op12_toxicity, op13_hard_negatives)}
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The checksum's steps for half a byte, from its polynomial.
+_NIBBLES = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), k) for k in range(16)]
 _PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -163,4 +167,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p),
 c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (k % 4))) & 31) + 1, 1), '' ORDER BY k) AS digest FROM p, (SELECT CAST(unnest(range(32)) AS INTEGER) AS k) ks GROUP BY page_id)
 SELECT m.page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN m.page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m.page_id = last THEN NULL ELSE last END AS refers_to FROM m JOIN c ON c.page_id = m.page_id""",
+    "op11_spelling_variants": f"""WITH RECURSIVE t AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents) x GROUP BY 1, 2),
+x AS (SELECT w, c, hex(encode(CAST(doc_id AS VARCHAR) || ':' || w)) AS k FROM t),
+y AS (SELECT w, c, xor(list_reduce([CAST(strpos('0123456789ABCDEF', k[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1 AS BIGINT) FOR i IN range(1, length(k) + 1)], lambda a, b: xor(a >> 4, {_NIBBLES}[1 + (xor(a, b) & 15)]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM x),
+z AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS w, c FROM y),
+v AS (SELECT w, CAST(sum(c) AS BIGINT) AS n FROM z WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+d AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS d FROM (SELECT w, CAST(unnest(range(1, length(w) + 1)) AS INTEGER) AS i FROM v) u),
+p AS (SELECT a.w, b.w AS o FROM d a JOIN d b ON a.i = b.i AND a.d = b.d AND a.w <> b.w UNION SELECT w, d FROM d WHERE d IN (SELECT w FROM v) UNION SELECT d, w FROM d WHERE d IN (SELECT w FROM v)),
+q AS (SELECT p.w, p.o, b.n, row_number() OVER (PARTITION BY p.w ORDER BY b.n DESC, p.o) AS nth, count(*) OVER (PARTITION BY p.w) AS n_near FROM p JOIN v b ON b.w = p.o),
+f AS (SELECT v.w, v.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN q.n >= 2 * v.n THEN q.o END AS form, CASE WHEN q.n >= 2 * v.n THEN q.n END AS form_n FROM v LEFT JOIN q ON q.w = v.w AND q.nth = 1),
+r AS (SELECT w, w AS word, 0 AS d FROM f UNION ALL SELECT r.w, f.form, r.d + 1 FROM r JOIN f ON f.w = r.word WHERE f.form IS NOT NULL),
+e AS (SELECT w, arg_max(word, d) AS root FROM r GROUP BY w)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN e ON e.w = f.w""",
+    "op13_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_dot_product(a.x, v.x) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same) x WHERE nth <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
