@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambrel.operators import runs as R
@@ -19,10 +19,19 @@ def wall_runs(ink: DataFrame, bridge: int = 55, least: int = 60) -> DataFrame:
     return h.union(v)
 
 
+def chained(rows: DataFrame, keys: list[str], by: str, reach: float) -> DataFrame:
+    """Rows with their ``chain``: those of the same keys whose ``by`` follows the one before at no more than ``reach``. Steps
+    that look no further back than that see one chain at a time, so the rows of an image need not meet in one task."""
+    w = Window.partitionBy(*keys).orderBy(by)
+    new = F.coalesce(F.col(by) - F.lag(by).over(w) > reach, F.lit(True)).cast("int")
+    return rows.withColumn("__new", new).withColumn("chain", F.sum("__new").over(w)).drop("__new")
+
+
 def cluster_runs(segments: DataFrame, bridge: int = 55, least: int = 60, thickness: int = 8) -> DataFrame:
     """Near-parallel runs as one wall. Each run, by (coord, a), joins the first group whose coordinate is within
     ``thickness`` and whose span it overlaps or nears by ``bridge``; a group's coordinate is its members' median, cut to
-    an integer. The order decides, so an image's runs of one axis are grouped one after the other."""
+    an integer. The order decides, so runs are grouped one after the other; as a median lies under the largest coordinate so
+    far, a run more than ``thickness`` beyond the one before joins nothing of it, and a chain without such a gap is a group."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         groups: list[dict] = []
@@ -37,7 +46,7 @@ def cluster_runs(segments: DataFrame, bridge: int = 55, least: int = 60, thickne
         kept = [(frame.img.iloc[0], frame.axis.iloc[0], g["coord"], g["a"], g["b"]) for g in groups if g["b"] - g["a"] >= least]
         return pd.DataFrame(kept, columns=["img", "axis", "coord", "a", "b"])
 
-    return segments.groupBy("img", "axis").applyInPandas(one, segments.select("img", "axis", "coord", "a", "b").schema)
+    return chained(segments, ["img", "axis"], "coord", thickness).groupBy("img", "axis", "chain").applyInPandas(one, segments.select("img", "axis", "coord", "a", "b").schema)
 
 
 def away_from_labels(segments: DataFrame, labels: DataFrame, longest: int = 110, near: int = 26, beyond: int = 8) -> DataFrame:
@@ -51,32 +60,30 @@ def away_from_labels(segments: DataFrame, labels: DataFrame, longest: int = 110,
 def comb_patterns(segments: DataFrame, spacing: int = 24, ratio: float = 1.6, least: int = 4, even: float = 0.35) -> DataFrame:
     """Segments, less combs: of lines chained by ``spacing``, four or more of like length that overlap by over half of
     the longer, evenly apart (population deviation over mean at most ``even``). A line seeds a cluster of later ones; what
-    was in a cluster neither seeds nor joins another, whether its cluster was a comb or not."""
+    was in a cluster neither seeds nor joins another, whether its cluster was a comb or not. A chain is a group."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["coord", "a"]).reset_index(drop=True)
-        chain = (frame.coord.diff() > spacing).cumsum()
+        part = frame.sort_values(["coord", "a"]).reset_index(drop=True)
         gone: set[int] = set()
-        for _, part in frame.groupby(chain):
-            used: set[int] = set()
-            for i in part.index:
-                if i in used:
-                    continue
-                s = part.loc[i]
-                size = max(1, s.b - s.a)
-                rest = part.loc[[j for j in part.index if j > i and j not in used]]
-                other = (rest.b - rest.a).clip(lower=1)
-                longer, shorter = other.clip(lower=size), other.clip(upper=size)
-                shared = rest.b.clip(upper=s.b) - rest.a.clip(lower=s.a)
-                mates = [i, *rest.index[(longer / shorter <= ratio) & (shared > 0.5 * longer)]]
-                used |= set(mates)
-                if len(mates) >= least:
-                    gaps = part.coord.loc[mates].diff().dropna()
-                    if gaps.mean() > 0 and gaps.std(ddof=0) / gaps.mean() <= even:
-                        gone |= set(mates)
-        return frame.drop(index=list(gone))
-
-    return segments.groupBy("img", "axis").applyInPandas(one, segments.schema)
+        used: set[int] = set()
+        for i in part.index:
+            if i in used:
+                continue
+            s = part.loc[i]
+            size = max(1, s.b - s.a)
+            rest = part.loc[[j for j in part.index if j > i and j not in used]]
+            other = (rest.b - rest.a).clip(lower=1)
+            longer, shorter = other.clip(lower=size), other.clip(upper=size)
+            shared = rest.b.clip(upper=s.b) - rest.a.clip(lower=s.a)
+            mates = [i, *rest.index[(longer / shorter <= ratio) & (shared > 0.5 * longer)]]
+            used |= set(mates)
+            if len(mates) >= least:
+                gaps = part.coord.loc[mates].diff().dropna()
+                if gaps.mean() > 0 and gaps.std(ddof=0) / gaps.mean() <= even:
+                    gone |= set(mates)
+        return part.drop(index=list(gone)).drop(columns="chain")
+
+    return chained(segments, ["img", "axis"], "coord", spacing).groupBy("img", "axis", "chain").applyInPandas(one, segments.schema)
 
 
 def nearest_walls(points: DataFrame, segments: DataFrame, slack: int = 36, beyond: float = 4.0) -> DataFrame:
@@ -127,7 +134,8 @@ def group_tokens(tokens: DataFrame, dx: float = 60.0, dy: float = 22.0) -> DataF
     """Tokens (img, cx, cy, text, x0, y0, x1, y1) as groups (img, ord, cx, cy, parts, x0, y0, x1, y1).
 
     By (cy, cx) each joins the first group whose mean centre is nearer than dx and dy; the mean then moves, so the order
-    decides and an image's few tokens are grouped one after the other.
+    decides. A mean lies under the largest cy so far, so a token ``dy`` or more beyond the one before opens a new chain, and
+    a chain is grouped by itself. Groups are numbered in the order of their first tokens.
     """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -141,13 +149,16 @@ def group_tokens(tokens: DataFrame, dx: float = 60.0, dy: float = 22.0) -> DataF
                 groups.append([t])
         mean = lambda g, c: sum(getattr(m, c) for m in g) / len(g)
         rows = [
-            (g[0].img, n, mean(g, "cx"), mean(g, "cy"), [{"cy": m.cy, "cx": m.cx, "text": m.text} for m in g], min(m.x0 for m in g), min(m.y0 for m in g), max(m.x1 for m in g), max(m.y1 for m in g))
+            (g[0].img, g[0].chain, n, mean(g, "cx"), mean(g, "cy"), [{"cy": m.cy, "cx": m.cx, "text": m.text} for m in g], min(m.x0 for m in g), min(m.y0 for m in g), max(m.x1 for m in g), max(m.y1 for m in g))
             for n, g in enumerate(groups)
         ]
-        return pd.DataFrame(rows, columns=["img", "ord", "cx", "cy", "parts", "x0", "y0", "x1", "y1"])
+        return pd.DataFrame(rows, columns=["img", "chain", "n", "cx", "cy", "parts", "x0", "y0", "x1", "y1"])
 
     kind = dict(tokens.dtypes)["img"]
-    return tokens.groupBy("img").applyInPandas(one, f"img {kind}, ord int, cx double, cy double, parts array<struct<cy:double,cx:double,text:string>>, x0 double, y0 double, x1 double, y1 double")
+    chains = chained(tokens.select("img", "cx", "cy", "text", "x0", "y0", "x1", "y1"), ["img"], "cy", dy).groupBy("img", "chain")
+    out = chains.applyInPandas(one, f"img {kind}, chain long, n int, cx double, cy double, parts array<struct<cy:double,cx:double,text:string>>, x0 double, y0 double, x1 double, y1 double")
+    place = F.row_number().over(Window.partitionBy("img").orderBy("chain", "n")) - 1
+    return out.select("img", place.alias("ord"), "cx", "cy", "parts", "x0", "y0", "x1", "y1")
 
 
 def separated_boxes(boxes: DataFrame, passes: int = 12) -> DataFrame:

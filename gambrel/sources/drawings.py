@@ -6,11 +6,17 @@ its text in ``_corrupt`` and a status, and never fails a job.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gambrel.functions.labels import stem
 
+#: Lines of images that a task decodes at a time.
+LINES = 256
 POINTS = "array<array<double>>"
 ROOM = f"struct<id:string,name:string,source:string,points:{POINTS}>"
 EDGE = "struct<a:string,b:string,door_at:array<double>>"
@@ -42,15 +48,49 @@ def edges_of(plans: DataFrame) -> DataFrame:
     return plans.where("status = 'ok'").select("graph", F.explode("adjacency").alias("e")).select("graph", "e.*")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels (img, y, x, gray) of images, by Spark's image source; gray by the usual weights of its BGR bytes."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(img, y, channels, line) of images: the BGR bytes of each line. Files that are no images give no rows."""
     i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     at = i.where("height > 0").select(F.col("origin").alias("img"), "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    at = at.select("img", "width", "nChannels", "y", F.substring("data", F.col("y") * F.col("width") * F.col("nChannels") + 1, F.col("width") * F.col("nChannels")).alias("line"))
-    at = at.select("img", "nChannels", "y", "line", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    byte = lambda k: F.conv(F.hex(F.substring("line", F.col("x") * F.col("nChannels") + k + 1, F.lit(1))), 16, 10).cast("int")
-    gray = F.when(F.col("nChannels") == 1, byte(0)).otherwise(F.round(0.114 * byte(0) + 0.587 * byte(1) + 0.299 * byte(2)).cast("int"))
-    return at.select("img", "y", "x", gray.alias("gray"))
+    size = F.col("width") * F.col("nChannels")
+    return at.select("img", "y", F.col("nChannels").alias("channels"), F.substring("data", F.col("y") * size + 1, size).alias("line"))
+
+
+def _gray(line: bytes, channels: int) -> np.ndarray:
+    """Gray by the usual weights of BGR bytes."""
+    px = np.frombuffer(line, np.uint8).reshape(-1, channels)
+    return px[:, 0].astype(int) if channels == 1 else np.floor(px[:, :3] @ np.array([0.114, 0.587, 0.299]) + 0.5).astype(int)
+
+
+def _decoded(spark: SparkSession, path: str, names: list[str], of: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """(img, y, *names) of whole lines, decoded in Arrow batches: ``of`` gives a line's columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, LINES):
+                img, y, channels, line = (c.to_pylist() for c in batch.slice(k, LINES).columns)
+                found = [of(_gray(b, c)) for b, c in zip(line, channels)]
+                n = [len(f[0]) for f in found]
+                cols = [np.concatenate([f[j] for f in found]) for j in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(img, object), n), pa.string()), pa.array(np.repeat(y, n), pa.int32()), *[pa.array(c, pa.int32()) for c in cols]], names=["img", "y", *names])
+
+    return _lines(spark, path).mapInArrow(run, "img string, y int, " + ", ".join(f"{n} int" for n in names))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels (img, y, x, gray) of images, by Spark's image source."""
+    return _decoded(spark, path, ["x", "gray"], lambda g: [np.arange(len(g)), g])
+
+
+def read_ink(spark: SparkSession, path: str, dark: int = 110) -> DataFrame:
+    """Masks (img, y, x0, x1) of images: runs of pixels darker than ``dark``, straight from the bytes of a line; no row is a
+    pixel."""
+
+    def runs(gray: np.ndarray) -> list[np.ndarray]:
+        turn = np.diff(np.concatenate([[0], gray < dark, [0]]).astype(np.int8))
+        return [np.flatnonzero(turn == 1), np.flatnonzero(turn == -1) - 1]
+
+    return _decoded(spark, path, ["x0", "x1"], runs)
 
 
 def image_bytes(cases: DataFrame) -> DataFrame:
