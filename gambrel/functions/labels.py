@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gambrel.functions.polygon import let
+
 MIN_SCORE, MIN_CHARS = 0.45, 2
 
 #: What ends a line, and white space at its ends.
@@ -43,10 +45,12 @@ def joined_label(parts: Column) -> Column:
 
 def page_label(text: Column, page: Column) -> Column:
     """The first line in capitals of 3 to 40 characters with DENAH, else the first such line, else Halaman n."""
-    bare = lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
-    lines = F.filter(F.transform(F.split(text, LINE_END), bare), lambda x: F.char_length(x).between(3, 40) & (F.upper(x) == x) & F.rlike(x, F.lit(r"\p{L}")))
-    plan = F.filter(lines, lambda x: F.contains(x, F.lit("DENAH")))
-    return F.coalesce(F.get(plan, F.lit(0)), F.get(lines, F.lit(0)), F.concat(F.lit("Halaman "), page.cast("string")))
+    # a run of blanks is tried once, at its start
+    bare = lambda x: F.regexp_replace(x, f"^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
+    capital = F.filter(F.split(text, LINE_END), lambda x: F.upper(x) == x)
+    lines = F.filter(F.transform(capital, bare), lambda x: F.char_length(x).between(3, 40) & F.rlike(x, F.lit(r"\p{L}")))
+    found = let(lines, lambda some: F.coalesce(F.get(F.filter(some, lambda x: F.contains(x, F.lit("DENAH"))), F.lit(0)), F.get(some, F.lit(0))))
+    return F.coalesce(found, F.concat(F.lit("Halaman "), page.cast("string")))
 
 
 def file_name(path: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +24,42 @@ def drawing_class(fill: Column, color: Column, n_items: Column, points: Column)
     return F.when(fill.isNotNull() & (_sum(fill) < DARK), "wall").when(fill.isNull() & color.isNotNull() & (_sum(color) < DARK) & (n_items >= ITEMS) & (P.straightness(points) >= BENT), "curve")
 
 
-def rect_clusters(rects: DataFrame, gap: float = GAP, cell: float = 256.0) -> DataFrame:
+def joined_in_cell(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, gap: float) -> list[int]:
+    """For each rect, sorted by x0, the place of the first one that it is joined to over rects within ``gap``."""
+    root = list(range(len(x0)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    ends = np.searchsorted(x0, x1 + gap, "right")
+    for i, end in enumerate(ends.tolist()):
+        near = np.flatnonzero((y0[i + 1 : end] <= y1[i] + gap) & (y0[i] <= y1[i + 1 : end] + gap)) + i + 1
+        for k in near.tolist():
+            p, q = sorted((top(i), top(k)))
+            root[q] = p
+    return [top(i) for i in range(len(root))]
+
+
+def rect_clusters(rects: DataFrame, gap: float = GAP, cell: float = 128.0) -> DataFrame:
     """V3: rects (page, id, x0, y0, x1, y1) with the cluster of those within ``gap`` of each other.
 
-    Rects are dealt to the grid cells that they, grown by the gap, touch; only those of one cell meet.
+    Rects are dealt to the grid cells that they, grown by the gap, touch. A cell joins its rects by itself, in order of
+    their left sides, and gives each one link to the first of its cluster there, not one for each near pair; clusters of
+    cells are then joined over the rects that they share.
     """
     at = lambda c: F.floor(c / cell).cast("int")
-    grown = rects.withColumn("gx", F.explode(F.sequence(at(F.col("x0") - gap), at(F.col("x1") + gap)))).withColumn("gy", F.explode(F.sequence(at(F.col("y0") - gap), at(F.col("y1") + gap))))
-    left = grown.select("page", "gx", "gy", F.struct("page", "id").alias("a"), F.struct("x0", "y0", "x1", "y1").alias("p"))
-    right = grown.select("page", "gx", "gy", F.struct("page", "id").alias("b"), F.struct("x0", "y0", "x1", "y1").alias("q"))
-    near = (F.col("p.x0") <= F.col("q.x1") + gap) & (F.col("q.x0") <= F.col("p.x1") + gap) & (F.col("p.y0") <= F.col("q.y1") + gap) & (F.col("q.y0") <= F.col("p.y1") + gap)
-    found = components(left.join(right, ["page", "gx", "gy"]).where(F.col("a") < F.col("b")).where(near).select("a", "b"))
+    grown = rects.select("page", "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).withColumn("gx", F.explode(F.sequence(at(F.col("x0") - gap), at(F.col("x1") + gap)))).withColumn("gy", F.explode(F.sequence(at(F.col("y0") - gap), at(F.col("y1") + gap))))
+    kind = dict(rects.dtypes)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["x0", "id"]).reset_index(drop=True)
+        first = joined_in_cell(*(frame[c].to_numpy() for c in ("x0", "y0", "x1", "y1")), gap)
+        return pd.DataFrame({"page": frame.page, "a": frame.id, "b": frame.id.to_numpy()[first]})
+
+    links = grown.groupBy("page", "gx", "gy").applyInPandas(one, f"page {kind['page']}, a {kind['id']}, b {kind['id']}").where("a <> b")
+    found = components(links.select(F.struct("page", F.col("a").alias("id")).alias("a"), F.struct("page", F.col("b").alias("id")).alias("b")))
     named = rects.withColumn("node", F.struct("page", "id"))
     return named.join(found, "node", "left").withColumn("cluster", F.coalesce("label.id", "id")).drop("node", "label")
 
@@ -65,3 +92,14 @@ def page_words(words: DataFrame, boxes: DataFrame, slack: float = 1.0) -> DataFr
     j = words.join(boxes, "img")
     inside = (F.col("x0") >= F.col("px0") - slack) & (F.col("y0") >= F.col("py0") - slack) & (F.col("x1") <= F.col("px1") + slack) & (F.col("y1") <= F.col("py1") + slack)
     return j.where(inside).select("img", token(F.col("text")).alias("text"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "x0", "y0", "x1", "y1", F.rlike("text", F.lit("[0-9]")).alias("numeric"))
+
+
+def overlapping_boxes(boxes: DataFrame, cell: float = 64.0) -> DataFrame:
+    """(graph, a, b) of boxes (graph, node, x0, y0, x1, y1), a below b, that share more than 1 in both dimensions. Boxes
+    meet in the grid cells they touch, and a pair counts in the cell of the corner where its intersection begins."""
+    at = lambda c: F.floor(c / cell)
+    dealt = boxes.withColumn("gx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("gy", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
+    side = lambda s: dealt.select("graph", "gx", "gy", F.col("node").alias(s), *[F.col(c).alias(f"{s}{c}") for c in ("x0", "y0", "x1", "y1")])
+    j = side("a").join(side("b"), ["graph", "gx", "gy"]).where("a < b").where((F.col("gx") == at(F.greatest("ax0", "bx0"))) & (F.col("gy") == at(F.greatest("ay0", "by0"))))
+    met = P.box_overlap(*[F.col(f"{s}{c}") for s in "ab" for c in ("x0", "y0", "x1", "y1")])
+    return j.where(met.isNotNull()).select("graph", "a", "b")

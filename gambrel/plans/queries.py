@@ -91,11 +91,7 @@ def g8_best_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
  WITH r AS (SELECT p_brand, p_partkey AS k, CAST(p_partkey * 37 % 400 AS DOUBLE) AS x0, CAST(p_partkey * 91 % 300 AS DOUBLE) AS y0, p_partkey * 37 % 400 + p_size + 2 AS x1, p_partkey * 91 % 300 + p_partkey % 40 + 3 AS y1 FROM part)
  SELECT s.p_brand, s.k AS p, t.k AS q FROM r s JOIN r t ON s.p_brand = t.p_brand AND s.k < t.k WHERE least(s.x1, t.x1) - greatest(s.x0, t.x0) > 1 AND least(s.y1, t.y1) - greatest(s.y0, t.y0) > 1) z""")
 def g12_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = A.boxes(spark, sf_dir)
-    side = lambda s: b.select("graph", F.col("node").alias(s), *[F.col(c).alias(f"{s}{c}") for c in ("x0", "y0", "x1", "y1")])
-    j = side("a").join(side("b"), "graph").where("a < b")
-    met = P.box_overlap(*[F.col(f"{s}{c}") for s in "ab" for c in ("x0", "y0", "x1", "y1")])
-    return j.where(met.isNotNull()).select("graph", "a", "b")
+    return vector.overlapping_boxes(A.boxes(spark, sf_dir))
 
 
 _EFD = STAR + """, d AS (SELECT vec_id, k, bx - ax AS dx, bby - ay AS dy, greatest(sqrt((bx - ax) * (bx - ax) + (bby - ay) * (bby - ay)), 1e-9) AS dt FROM e),
