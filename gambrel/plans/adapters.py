@@ -55,17 +55,20 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return t("nation").select(F.lit(0).alias("graph"), F.col("n_nationkey").alias("node")), pairs
 
 
-def region_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rooms, edges and pairs of five graphs, one a region: nations named by their first letter, joined where their keys
-    differ by a multiple of three or by five."""
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("node"), F.upper(F.substring("n_name", 1, 1)).alias("name"), (F.col("n_nationkey") + 1).alias("w"))
-    w = Window.partitionBy("graph")
-    nodes = nodes.select("graph", "node", F.row_number().over(w.orderBy("node")).alias("ord"), "name", (F.col("w") / F.sum("w").over(w)).alias("norm_area"))
+def plan_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rooms, edges and pairs of graphs of four and three parts in turn, each graph with the next. Rooms are named by their
+    place, every fifth part by an X, so that a graph has no name twice and matches of least cost have no equals; they are
+    joined where the sum of their keys is no multiple of three."""
+    k, place = F.col("p_partkey"), F.col("p_partkey") % 7 % 4
+    graph = F.floor(k / 7) * 2 + F.when(k % 7 > 3, 1).otherwise(0)
+    name = F.when(k % 5 == 0, "X").otherwise(F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), (place + 1).cast("int")))
+    nodes = table(spark, sf_dir, "part").select(graph.alias("graph"), k.alias("node"), (place + 1).alias("ord"), name.alias("name"), ((F.col("p_size") + 2) * (k % 40 + 3) + F.sqrt(k)).alias("w"))
+    nodes = nodes.withColumn("norm_area", F.col("w") / F.sum("w").over(Window.partitionBy("graph"))).drop("w")
     other = nodes.select("graph", F.col("node").alias("b"))
-    edges = nodes.select("graph", F.col("node").alias("a")).join(other, "graph").where("a < b and ((b - a) % 3 = 0 or b - a = 5)")
+    edges = nodes.select("graph", F.col("node").alias("a")).join(other, "graph").where("a < b and (a + b) % 3 <> 0")
     g = nodes.select("graph").distinct()
-    pairs = g.select(F.col("graph").alias("graph_a"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("graph_b")).where("graph_a < graph_b")
-    return nodes, edges, pairs.select((F.col("graph_a") * 10 + F.col("graph_b")).alias("pair"), "graph_a", "graph_b")
+    pairs = g.join(g.select((F.col("graph") - 1).alias("graph")), "graph")
+    return nodes, edges, pairs.select(F.col("graph").alias("pair"), F.col("graph").alias("graph_a"), (F.col("graph") + 1).alias("graph_b"))
 
 
 def walls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,20 @@ def g7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.star_pairs(spark, sf_dir).select("a", "b", R6(outline.overlap(F.col("pa"), F.col("pb"))).alias("overlap"))
 
 
-@query()
+#: Overlap of a (even) with b turned by angles {src}, by crossings in order: (a, k, ov) of {n} cells a side.
+_SWEEP = """{name}p AS (SELECT a, t.k, x, y FROM v JOIN {src} t ON a = vec_id UNION ALL SELECT a, t.k, x * cos(t.k * (2 * pi() / 72)) - y * sin(t.k * (2 * pi() / 72)), x * sin(t.k * (2 * pi() / 72)) + y * cos(t.k * (2 * pi() / 72)) FROM v JOIN {src} t ON a + 1 = vec_id),
+{name}w AS (SELECT a, k, 1.15 * min(x) AS x0, 1.15 * min(y) AS y0, 1.15 * max(x) - 1.15 * min(x) AS dx, 1.15 * max(y) - 1.15 * min(y) AS dy FROM {name}p GROUP BY a, k),
+{name}e AS (SELECT a, t.k, 0 AS f, ax, ay, bx, bby FROM e JOIN {src} t ON a = vec_id UNION ALL
+  SELECT a, k, 1, ax * c - ay * s, ax * s + ay * c, bx * c - bby * s, bx * s + bby * c FROM (SELECT a, t.k, ax, ay, bx, bby, cos(t.k * (2 * pi() / 72)) AS c, sin(t.k * (2 * pi() / 72)) AS s FROM e JOIN {src} t ON a + 1 = vec_id) z),
+{name}c AS (SELECT a, k, f, j, x0, dx, (bx - ax) * (py - ay) / (bby - ay) + ax AS cut FROM (SELECT *, y0 + (j + 0.5) * dy / {n} AS py FROM {name}e JOIN {name}w USING (a, k), (SELECT unnest(range({n})) AS j) js) z WHERE (ay > py) <> (bby > py)),
+{name}r AS (SELECT a, k, f, j, r + CASE WHEN r < {n} AND x0 + (r + 0.5) * dx / {n} < cut THEN 1 ELSE 0 END - CASE WHEN r > 0 AND x0 + (r - 0.5) * dx / {n} >= cut THEN 1 ELSE 0 END AS r FROM (SELECT *, least(greatest(CAST(ceil((cut - x0) * {n} / dx - 0.5) AS BIGINT), 0), {n}) AS r FROM {name}c) z),
+{name}s AS (SELECT a, k, lead(r) OVER q - r AS n, sum(1 - f) OVER q % 2 AS fa, sum(f) OVER q % 2 AS fb FROM {name}r WINDOW q AS (PARTITION BY a, k, j ORDER BY r, f ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT a, k, CAST(sum(n * fa * fb) AS DOUBLE) / sum(n * greatest(fa, fb)) AS ov FROM {name}s GROUP BY a, k)"""
+
+
+@query(STAR.replace("32", "64") + ", st AS (SELECT vec_id AS a, CAST(unnest(range(72)) AS BIGINT) AS k FROM embeddings WHERE vec_id % 2 = 0 AND vec_id + 1 IN (SELECT vec_id FROM embeddings)),"
+ + _SWEEP.format(name="co", src="st", n=55) + ", ch AS (SELECT a, k FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY ov DESC, k) AS nth FROM co) z WHERE nth = 1)," + _SWEEP.format(name="fi", src="ch", n=150)
+ + " SELECT a, a + 1 AS b, CAST(k AS INTEGER) AS angle_step, round(ov, 6) AS overlap FROM fi")
 def g8_best_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = outline.best_rotation(A.star_pairs(spark, sf_dir), ["a", "b"], "pa", "pb")
     return best.select("a", "b", "angle_step", R6("overlap").alias("overlap"))
@@ -149,22 +162,54 @@ def n7_n13_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("node", R6("connectivity").alias("connectivity"), R6("integration").alias("integration"), R6("choice").alias("choice"), "place")
 
 
-@query()
+#: Graphs of parts; {cost}: of a room a with a room b; all ways to match as many rooms as can be, and the cheapest.
+_PLANS = """WITH RECURSIVE pk AS (SELECT p_partkey AS k, p_partkey // 7 * 2 + CASE WHEN p_partkey % 7 > 3 THEN 1 ELSE 0 END AS graph, p_partkey % 7 % 4 + 1 AS ord, (p_size + 2) * (p_partkey % 40 + 3) + sqrt(p_partkey) AS w FROM part),
+nd AS (SELECT graph, k AS node, ord, CASE WHEN k % 5 = 0 THEN 'X' ELSE substr('ABCD', CAST(ord AS INTEGER), 1) END AS name, w / sum(w) OVER (PARTITION BY graph) AS area, count(*) OVER (PARTITION BY graph) AS n FROM pk),
+ed AS (SELECT a.graph, a.node AS a, b.node AS b FROM nd a JOIN nd b ON a.graph = b.graph AND a.node < b.node AND (a.node + b.node) % 3 <> 0),
+ad AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
+bf AS (SELECT node AS s, node AS v, 0 AS d FROM nd UNION SELECT s, b, d + 1 FROM bf JOIN ad ON v = a WHERE d < 4),
+ds AS (SELECT s, v, min(d) AS d FROM bf GROUP BY s, v),
+pt AS (SELECT s, v, 0 AS d FROM ds WHERE s = v UNION ALL SELECT pt.s, ds.v, ds.d FROM pt JOIN ad ON pt.v = ad.a JOIN ds ON ds.s = pt.s AND ds.v = ad.b AND ds.d = pt.d + 1),
+sg AS (SELECT s, v, d, count(*) AS p FROM pt GROUP BY s, v, d),
+bt AS (SELECT l.v, sum(CAST(l.p AS DOUBLE) * r.p / t.p) AS bet FROM sg t JOIN sg l ON l.s = t.s JOIN sg r ON r.s = l.v AND r.v = t.v WHERE t.s < t.v AND l.v <> t.s AND l.v <> t.v AND l.d + r.d = t.d GROUP BY l.v),
+dg AS (SELECT a, count(*) AS deg FROM ad GROUP BY a), rc AS (SELECT s, count(*) AS r, sum(d) AS far FROM ds WHERE d > 0 GROUP BY s),
+nc AS (SELECT nd.*, CASE WHEN n > 1 THEN coalesce(deg, 0) / CAST(n - 1 AS DOUBLE) ELSE 0 END AS con, CASE WHEN n > 1 THEN coalesce(CAST(r AS DOUBLE) / (n - 1) * r / far, 0) ELSE 0 END AS integ, CASE WHEN n > 2 THEN coalesce(bet, 0) / ((n - 1) * (n - 2) / 2.0) ELSE 0 END AS cho
+  FROM nd LEFT JOIN dg ON dg.a = node LEFT JOIN rc ON rc.s = node LEFT JOIN bt ON bt.v = node),
+pr AS (SELECT a.graph AS pair, a.n AS n_a, b.n AS n_b FROM (SELECT DISTINCT graph, n FROM nd) a JOIN (SELECT DISTINCT graph, n FROM nd) b ON b.graph = a.graph + 1),
+ct AS (SELECT a.graph AS pair, a.ord AS oa, b.ord AS ob, a.node AS a, b.node AS b, {cost} AS c FROM nc a JOIN nc b ON b.graph = a.graph + 1),
+op AS (SELECT pair, oa, ob, c, 1 AS m FROM ct UNION ALL SELECT DISTINCT pair, oa, 0, 0.0, 0 FROM ct),
+wk AS (SELECT pair, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken, CAST(0 AS DOUBLE) AS c, 0 AS m FROM pr
+  UNION ALL SELECT wk.pair, i + 1, list_append(taken, ob), wk.c + op.c, wk.m + op.m FROM wk JOIN op ON op.pair = wk.pair AND oa = i + 1 AND (ob = 0 OR NOT list_contains(taken, ob))),
+be AS (SELECT pair, n_a, n_b, arg_min(taken, c) AS taken, min(c) AS sub, min(m) AS m FROM wk JOIN pr USING (pair) WHERE i = n_a AND m = least(n_a, n_b) GROUP BY pair, n_a, n_b),
+mt AS (SELECT be.pair, ct.a, ct.b, ct.c FROM be JOIN ct ON ct.pair = be.pair AND taken[oa] = ob)
+"""
+_BY_AREA = _PLANS.format(cost="CASE WHEN a.name = b.name THEN 0 ELSE 0.7 END + 0.3 * abs(a.area - b.area)")
+_BY_RANK = _PLANS.format(cost="CASE WHEN a.name = b.name THEN 0 ELSE 0.4 END + 0.2 * abs(a.con - b.con) + 0.2 * abs(a.integ - b.integ) + 0.2 * abs(a.cho - b.cho)")
+
+
+@query(_BY_AREA + """, ia AS (SELECT ed.graph AS pair, least(x.b, y.b) AS u, greatest(x.b, y.b) AS v, x.b IS NOT NULL AND y.b IS NOT NULL AS whole FROM ed JOIN pr ON pr.pair = ed.graph LEFT JOIN mt x ON x.pair = ed.graph AND x.a = ed.a LEFT JOIN mt y ON y.pair = ed.graph AND y.a = ed.b),
+ka AS (SELECT pair, count(*) AS e, count(*) FILTER (whole AND EXISTS (SELECT 1 FROM ed z WHERE z.graph = ia.pair + 1 AND z.a = ia.u AND z.b = ia.v)) AS kept FROM ia GROUP BY pair), eb AS (SELECT graph - 1 AS pair, count(*) AS e FROM ed GROUP BY graph),
+r AS (SELECT be.pair, sub + n_a + n_b - 2 * m AS node_cost, coalesce(kept, 0) AS kept, coalesce(ka.e, 0) - coalesce(kept, 0) AS removed, coalesce(eb.e, 0) - coalesce(kept, 0) AS added, n_a + n_b + coalesce(ka.e, 0) + coalesce(eb.e, 0) AS most FROM be LEFT JOIN ka USING (pair) LEFT JOIN eb USING (pair))
+SELECT pair, round(node_cost, 6) AS node_cost, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(added AS BIGINT) AS added, round(node_cost + removed + added, 6) AS ged, round(greatest(0, 1 - (node_cost + removed + added) / most), 6) AS similarity, CASE WHEN 1 - (node_cost + removed + added) / most > 0.75 THEN 'high' WHEN 1 - (node_cost + removed + added) / most > 0.45 THEN 'medium' ELSE 'low' END AS band FROM r""")
 def n3_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, pairs = A.region_graphs(spark, sf_dir)
-    return matching.edit_distance(pairs, nodes, edges).withColumn("band", L.band(F.col("similarity")))
+    nodes, edges, pairs = A.plan_graphs(spark, sf_dir)
+    d = matching.edit_distance(pairs, nodes, edges).withColumn("band", L.band(F.col("similarity")))
+    return d.select("pair", R6("node_cost").alias("node_cost"), "kept", "removed", "added", R6("ged").alias("ged"), R6("similarity").alias("similarity"), "band")
 
 
-@query()
+@query(_BY_RANK + "SELECT pair, round(sub + n_a + n_b - 2 * m, 6) AS cost, round(greatest(0, 1 - (sub + n_a + n_b - 2 * m) / (n_a + n_b)), 6) AS similarity FROM be")
 def n10_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, pairs = A.region_graphs(spark, sf_dir)
-    return matching.hierarchy_similarity(pairs, nodes, graph.centralities(nodes.select("graph", "node"), edges))
+    nodes, edges, pairs = A.plan_graphs(spark, sf_dir)
+    s = matching.hierarchy_similarity(pairs, nodes, graph.centralities(nodes.select("graph", "node"), edges))
+    return s.select("pair", R6("cost").alias("cost"), R6("similarity").alias("similarity"))
 
 
-@query()
+@query(_BY_AREA + """SELECT pair, 'matched' AS kind, a, b, round(c, 6) AS cost FROM mt
+ UNION ALL SELECT graph, 'deleted', node, NULL, 1 FROM nd JOIN pr ON pr.pair = graph WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.pair = graph AND mt.a = node)
+ UNION ALL SELECT graph - 1, 'inserted', NULL, node, 1 FROM nd JOIN pr ON pr.pair = graph - 1 WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.pair = graph - 1 AND mt.b = node)""")
 def n12_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, pairs = A.region_graphs(spark, sf_dir)
-    return matching.match_table(pairs, nodes)
+    nodes, _, pairs = A.plan_graphs(spark, sf_dir)
+    return matching.match_table(pairs, nodes).withColumn("cost", R6("cost"))
 
 
 @query("""WITH t AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events), g AS (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY user_id ORDER BY h) - 1 <= 24 THEN 0 ELSE 1 END AS nw FROM t),
@@ -274,18 +319,22 @@ def r3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.measures(runs.labelled(runs.complement(mask, sizes)))
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey // 10 AS img, 9 + p_partkey % 13 AS w, 27 + p_partkey % 20 AS h FROM part),
+s AS (SELECT img, CAST(sum(CASE WHEN w >= 15 THEN w * h ELSE 0 END) AS BIGINT) AS opening_px, CAST(202 * 252 - sum((w + 6) * (h + 6) - 4) + sum(CASE WHEN w >= 15 THEN 0 ELSE w * h END) AS BIGINT) AS wall_px, count(*) FILTER (w >= 15) AS openings, min(w * h) FILTER (w >= 15) AS least, max(w * h) FILTER (w >= 15) AS largest, CAST(median(w * h) FILTER (w >= 15) AS DOUBLE) AS median FROM w GROUP BY img)
+SELECT img, 9 AS x0, 14 AS y0, 216 AS x1, 271 AS y1, 'ok' AS status, opening_px, wall_px, round(CAST(opening_px AS DOUBLE) / wall_px, 6) AS ratio, round(CAST(opening_px AS DOUBLE) / (opening_px + wall_px), 6) AS opening_share, round(opening_px / (208 * 258.0), 6) AS envelope_share, openings, least, largest, median FROM s""")
 def a1_a10_facade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elevations, one a region: a frame around the building and one for each nation's window, of a size by its key."""
-    k = F.col("n_nationkey")
-    n = A.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("img"), (20 + 36 * (k % 5)).alias("x0"), (30 + 70 * F.floor(k / 9)).cast("int").alias("y0"), (18 + k % 9).cast("int").alias("w"), (30 + k % 20).cast("int").alias("h"))
+    """Elevations of ten parts each, painted: a frame around the building and one for each part's window, of a size by its
+    key; windows too narrow for an opening are wall."""
+    k = F.col("p_partkey")
+    n = A.table(spark, sf_dir, "part").select(F.floor(k / 10).alias("img"), (20 + 38 * (k % 5)).cast("int").alias("x0"), (30 + 110 * F.floor(k % 10 / 5)).cast("int").alias("y0"), (12 + k % 13).cast("int").alias("w"), (30 + k % 20).cast("int").alias("h"))
     windows = n.select("img", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
     building = windows.select("img", F.lit(10).alias("x0"), F.lit(15).alias("y0"), F.lit(215).alias("x1"), F.lit(270).alias("y1")).distinct()
     side = lambda axis, coord, a, b: F.struct(F.lit(axis).alias("axis"), F.col(coord).alias("coord"), F.col(a).alias("a"), F.col(b).alias("b"))
     frame = windows.union(building).select("img", F.explode(F.array(side("h", "y0", "x0", "x1"), side("h", "y1", "x0", "x1"), side("v", "x0", "y0", "y1"), side("v", "x1", "y0", "y1"))).alias("s")).select("img", "s.*")
     ink = walls.barriers(frame).select("img", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(30).alias("gray"))
     sizes = building.select("img", F.lit(230).alias("width"), F.lit(290).alias("height"))
-    return facade.analyze(ink, sizes)[0]
+    found = facade.analyze(ink, sizes)[0]
+    return found.withColumns({c: R6(c) for c in ("ratio", "opening_share", "envelope_share")})
 
 
 @query()
