@@ -26,6 +26,8 @@ RECORDS = (
     "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, "
     "payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 )
+#: Parts into which the ids of equal payloads are dealt.
+SALTS = 16
 #: Bytes of an archive read at a time.
 READ_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,8 +82,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(page.alias("page"), quoted(url_col).alias("url"), F.coalesce(quoted(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("html")))
     last = rows.groupBy("sha1").agg(F.max("page").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = rows.select("page", "sha1").distinct().join(last, "sha1").where("page < refers")
-    linked = rows.join(revisits, ["page", "sha1"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("page", "sha1").orderBy("url")))
+    # both sides grow with the pages, so none is broadcast; ids of one payload meet its last in SALTS parts
+    ids = rows.select("page", "sha1").distinct().withColumn("salt", F.pmod(F.hash("page"), F.lit(SALTS)))
+    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = ids.join(last.hint("merge"), ["sha1", "salt"]).where("page < refers").select("page", "sha1", "refers")
+    linked = rows.join(revisits.hint("merge"), ["page", "sha1"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("page", "sha1").orderBy("url")))
     linked = linked.select("page", "url", F.encode("html", "UTF-8").alias("payload"), "sha1", "refers", "nth")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +195,5 @@ def assemble(records: DataFrame) -> DataFrame:
         one = records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("capture_id"))
         return one.agg(F.min_by(F.struct("record_id", F.col("headers").alias(fields)), "record_id").alias(kind))
 
-    return main.join(side("request", "headers"), "capture_id", "left").join(side("metadata", "fields"), "capture_id", "left")
+    # records of each kind grow alike, so none is broadcast
+    return main.join(side("request", "headers").hint("merge"), "capture_id", "left").join(side("metadata", "fields").hint("merge"), "capture_id", "left")
