@@ -28,14 +28,14 @@ def chained(rows: DataFrame, keys: list[str], by: str, reach: float) -> DataFram
 
 
 def cluster_runs(segments: DataFrame, bridge: int = 55, least: int = 60, thickness: int = 8) -> DataFrame:
-    """Near-parallel runs as one wall. Each run, by (coord, a), joins the first group whose coordinate is within
+    """Near-parallel runs as one wall. Each run, by (coord, a, b), joins the first group whose coordinate is within
     ``thickness`` and whose span it overlaps or nears by ``bridge``; a group's coordinate is its members' median, cut to
     an integer. The order decides, so runs are grouped one after the other; as a median lies under the largest coordinate so
     far, a run more than ``thickness`` beyond the one before joins nothing of it, and a chain without such a gap is a group."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         groups: list[dict] = []
-        for coord, a, b in frame.sort_values(["coord", "a"])[["coord", "a", "b"]].itertuples(index=False):
+        for coord, a, b in frame.sort_values(["coord", "a", "b"])[["coord", "a", "b"]].itertuples(index=False):
             for g in groups:
                 if abs(coord - g["coord"]) <= thickness and a <= g["b"] + bridge and b >= g["a"] - bridge:
                     g["all"].append(coord)
@@ -59,11 +59,11 @@ def away_from_labels(segments: DataFrame, labels: DataFrame, longest: int = 110,
 
 def comb_patterns(segments: DataFrame, spacing: int = 24, ratio: float = 1.6, least: int = 4, even: float = 0.35) -> DataFrame:
     """Segments, less combs: of lines chained by ``spacing``, four or more of like length that overlap by over half of
-    the longer, evenly apart (population deviation over mean at most ``even``). A line seeds a cluster of later ones; what
+    the longer, evenly apart (population deviation over mean at most ``even``), in the order of (coord, a, b). A line seeds a cluster of later ones; what
     was in a cluster neither seeds nor joins another, whether its cluster was a comb or not. A chain is a group."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        part = frame.sort_values(["coord", "a"]).reset_index(drop=True)
+        part = frame.sort_values(["coord", "a", "b"]).reset_index(drop=True)
         gone: set[int] = set()
         used: set[int] = set()
         for i in part.index:

@@ -251,12 +251,25 @@ def w12_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("img").agg(runs.pixel_count(m).alias("pixels"))
 
 
-@query()
+#: Lines of a chain, whose coordinates follow each other by at most {reach}, in order.
+_CHAINS = _WALLS.replace("WITH", "WITH RECURSIVE", 1) + """, cn AS (SELECT img, axis, coord, a, b, sum(g) OVER (PARTITION BY img, axis ORDER BY coord) AS chain FROM (SELECT *, CASE WHEN coord - lag(coord) OVER (PARTITION BY img, axis ORDER BY coord) <= {reach} THEN 0 ELSE 1 END AS g FROM w) z),
+li AS (SELECT img, axis, list({{'coord': coord, 'a': a, 'b': b}} ORDER BY coord, a, b) AS rest FROM cn GROUP BY img, axis, chain)"""
+
+
+@query(_CHAINS.format(reach=8) + """, st AS (SELECT img, axis, rest, CAST([] AS STRUCT(coord INTEGER, a INTEGER, b INTEGER, coords INTEGER[])[]) AS gs FROM li
+ UNION ALL SELECT img, axis, rest[2:], CASE WHEN j > 0 THEN list_concat(list_append(gs[:j - 1], {'coord': CAST(floor(list_median(list_append(gs[j].coords, rest[1].coord))) AS INTEGER), 'a': least(gs[j].a, rest[1].a), 'b': greatest(gs[j].b, rest[1].b), 'coords': list_append(gs[j].coords, rest[1].coord)}), gs[j + 1:])
+  ELSE list_append(gs, {'coord': rest[1].coord, 'a': rest[1].a, 'b': rest[1].b, 'coords': [rest[1].coord]}) END
+  FROM (SELECT *, coalesce(list_position([abs(rest[1].coord - g.coord) <= 8 AND rest[1].a <= g.b + 55 AND rest[1].b >= g.a - 55 FOR g IN gs], true), 0) AS j FROM st WHERE len(rest) > 0) z)
+SELECT img, axis, g.coord, g.a, g.b FROM (SELECT img, axis, unnest(gs) AS g FROM st WHERE len(rest) = 0) z WHERE g.b - g.a >= 60""")
 def w2_clustered_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walls.cluster_runs(A.walls(spark, sf_dir))
 
 
-@query()
+@query(_CHAINS.format(reach=24) + """, st AS (SELECT img, axis, rest, CAST([] AS STRUCT(coord INTEGER, a INTEGER, b INTEGER)[]) AS kept FROM li
+ UNION ALL SELECT img, axis, [x FOR x IN rest[2:] IF NOT list_contains(mates, x)], CASE WHEN len(mates) >= 4 AND list_avg(gaps) > 0 AND list_stddev_pop(gaps) / list_avg(gaps) <= 0.35 THEN kept ELSE list_concat(kept, mates) END
+  FROM (SELECT *, [mates[i + 1].coord - mates[i].coord FOR i IN range(1, len(mates))] AS gaps FROM (SELECT *, list_prepend(rest[1], [x FOR x IN rest[2:] IF
+   greatest(1, x.b - x.a, rest[1].b - rest[1].a) / CAST(least(greatest(1, x.b - x.a), greatest(1, rest[1].b - rest[1].a)) AS DOUBLE) <= 1.6 AND least(x.b, rest[1].b) - greatest(x.a, rest[1].a) > 0.5 * greatest(1, x.b - x.a, rest[1].b - rest[1].a)]) AS mates FROM st WHERE len(rest) > 0) y) z)
+SELECT img, axis, k.coord, k.a, k.b FROM (SELECT img, axis, unnest(kept) AS k FROM st WHERE len(rest) = 0) z""")
 def w6_comb_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walls.comb_patterns(A.walls(spark, sf_dir))
 
