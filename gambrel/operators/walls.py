@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from statistics import median
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +42,7 @@ def cluster_runs(segments: DataFrame, bridge: int = 55, least: int = 60, thickne
             for g in groups:
                 if abs(coord - g["coord"]) <= thickness and a <= g["b"] + bridge and b >= g["a"] - bridge:
                     g["all"].append(coord)
-                    g.update(coord=int(pd.Series(g["all"]).median()), a=min(a, g["a"]), b=max(b, g["b"]))
+                    g.update(coord=int(median(g["all"])), a=min(a, g["a"]), b=max(b, g["b"]))
                     break
             else:
                 groups.append({"coord": int(coord), "a": a, "b": b, "all": [coord]})
@@ -63,25 +66,24 @@ def comb_patterns(segments: DataFrame, spacing: int = 24, ratio: float = 1.6, le
     was in a cluster neither seeds nor joins another, whether its cluster was a comb or not. A chain is a group."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        part = frame.sort_values(["coord", "a", "b"]).reset_index(drop=True)
-        gone: set[int] = set()
-        used: set[int] = set()
-        for i in part.index:
-            if i in used:
+        part = frame.sort_values(["coord", "a", "b"])
+        coord, a, b = (part[c].to_numpy(np.int64) for c in ("coord", "a", "b"))
+        size = np.maximum(1, b - a)
+        gone, free = np.zeros(len(part), bool), np.ones(len(part), bool)
+        for i in range(len(part)):
+            if not free[i]:
                 continue
-            s = part.loc[i]
-            size = max(1, s.b - s.a)
-            rest = part.loc[[j for j in part.index if j > i and j not in used]]
-            other = (rest.b - rest.a).clip(lower=1)
-            longer, shorter = other.clip(lower=size), other.clip(upper=size)
-            shared = rest.b.clip(upper=s.b) - rest.a.clip(lower=s.a)
-            mates = [i, *rest.index[(longer / shorter <= ratio) & (shared > 0.5 * longer)]]
-            used |= set(mates)
+            longer, shorter = np.maximum(size[i:], size[i]), np.minimum(size[i:], size[i])
+            shared = np.minimum(b[i:], b[i]) - np.maximum(a[i:], a[i])
+            alike = free[i:] & (longer / shorter <= ratio) & (shared > 0.5 * longer)
+            alike[0] = True
+            mates = np.flatnonzero(alike) + i
+            free[mates] = False
             if len(mates) >= least:
-                gaps = part.coord.loc[mates].diff().dropna()
-                if gaps.mean() > 0 and gaps.std(ddof=0) / gaps.mean() <= even:
-                    gone |= set(mates)
-        return part.drop(index=list(gone)).drop(columns="chain")
+                gaps = np.diff(coord[mates])
+                if gaps.mean() > 0 and gaps.std() / gaps.mean() <= even:
+                    gone[mates] = True
+        return part[~gone].drop(columns="chain")
 
     return chained(segments, ["img", "axis"], "coord", spacing).groupBy("img", "axis", "chain").applyInPandas(one, segments.schema)
 
