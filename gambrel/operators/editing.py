@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
+from gambrel.shared import materialise
 
 #: Fixed value: the name of a room that nobody named.
 NEW = "Ruangan baru"
+#: Shapes of a cell in the first batch; each batch ends at so many times the place where the one before ended.
+BATCH = 8
 
 
 def _cells(rooms: DataFrame, cell: float) -> DataFrame:
@@ -20,11 +23,27 @@ def _cells(rooms: DataFrame, cell: float) -> DataFrame:
 
 def overlapping(rooms: DataFrame, others: DataFrame, cell: float = 128.0) -> DataFrame:
     """(case, id) of ``rooms`` (case, id, points) that overlap (G10) one of ``others``, itself left out; what has under three
-    points overlaps nothing. Rooms meet in the grid cells that their bounds touch, so only near ones are held together."""
+    points overlaps nothing. Rooms meet in the grid cells that their bounds touch, so only near ones are held together.
+
+    One overlap decides a room, so each meets the shapes of its cells in batches that grow, and only those not yet hit meet
+    the next: the fuller a cell, the sooner its rooms are decided. Equal shapes of a case are one, with two of their ids.
+    """
     whole = lambda df: df.where(F.size("points") >= 3).select("case", "id", "points")
-    near = _cells(whole(others), cell).select("case", "cx", "cy", F.col("id").alias("other"), F.col("points").alias("there"))
-    met = _cells(whole(rooms), cell).join(near, ["case", "cx", "cy"]).where("id <> other")
-    return met.where(P.polygons_overlap(F.col("points"), F.col("there"))).select("case", "id").distinct()
+    keys = ["case", "cx", "cy"]
+    shapes = whole(others).groupBy("case", "points").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("points")))
+    near = materialise(_cells(shapes, cell).select(*keys, "low", "high", F.col("points").alias("there"), P.bounds(F.col("points")).alias("b"), nth.alias("nth")), "room-cells")
+    left = materialise(_cells(whole(rooms), cell).select(*keys, "id", "points", P.bounds(F.col("points")).alias("a")), "rooms-open")
+    last = near.agg(F.max("nth")).first()[0] or 0
+    touch = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
+    found, low, high = left.select("case", "id").limit(0), 0, BATCH
+    while low < last:
+        met = left.join(near.where((F.col("nth") > low) & (F.col("nth") <= high)), keys).where(touch & ((F.col("id") != F.col("low")) | (F.col("id") != F.col("high"))))
+        hit = materialise(met.where(P.polygons_overlap(F.col("points"), F.col("there"))).select("case", "id").distinct(), "rooms-hit")
+        found, low, high = found.unionByName(hit), high, high * BATCH
+        if low < last:
+            left = materialise(left.join(hit, ["case", "id"], "left_anti"), "rooms-open")
+    return found
 
 
 def close_rooms(drawn: DataFrame, current: DataFrame, cell: float = 128.0) -> DataFrame:
