@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import time
 
-from gambrel.operators import editing
+import numpy as np
+import pytest
+
+from gambrel.operators import distance, editing, runs, tracing
 
 
 def square(x: float, y: float, side: float = 40.0) -> list[list[float]]:
@@ -16,11 +19,79 @@ def square(x: float, y: float, side: float = 40.0) -> list[list[float]]:
 def test_rooms_of_a_crowded_plan(spark):
     r = random.Random(3)
     schema = "case string, id int, points array<array<double>>"
-    others = [("p", k, square(r.uniform(0, 80), r.uniform(0, 80))) for k in range(6000)] + [("p", 9000, square(300, 300)), ("p", 9001, square(400, 400)), ("p", 9002, square(400, 400))]
-    drawn = [("p", 10000 + k, square(r.uniform(0, 80), r.uniform(0, 80))) for k in range(6000)]
+    others = [("p", k, square(r.uniform(0, 80), r.uniform(0, 80))) for k in range(3000)] + [("p", 9000, square(300, 300)), ("p", 9001, square(400, 400)), ("p", 9002, square(400, 400))]
+    drawn = [("p", 10000 + k, square(r.uniform(0, 80), r.uniform(0, 80))) for k in range(3000)]
     # held against its own old shape only; against an equal one of another room; next to all
     drawn += [("p", 9000, square(300, 300)), ("p", 9001, square(400.5, 400.5)), ("p", 20000, square(600, 600))]
     began = time.monotonic()
     got = {q.id for q in editing.overlapping(spark.createDataFrame(drawn, schema), spark.createDataFrame(others, schema)).collect()}
     assert got == {k for _, k, _ in drawn} - {9000, 20000}
     assert time.monotonic() - began < 60
+
+
+def tall(spark, height: int = 2100, width: int = 40):
+    """A mask of boxes over three stripes, some across their seams, as boxes and as an image."""
+    r = random.Random(5)
+    boxes = [(7, y := r.randrange(height), x := r.randrange(width), min(height - 1, y + r.randrange(90)), min(width - 1, x + r.randrange(9))) for _ in range(260)]
+    boxes += [(7, 900, 3, 2099, 5), (7, 1020, 0, 1030, 39), (7, 2000, 20, 2099, 39), (7, 0, 30, 1200, 33)]
+    image = np.zeros((height, width), bool)
+    for _, y0, x0, y1, x1 in boxes:
+        image[y0 : y1 + 1, x0 : x1 + 1] = True
+    return spark.createDataFrame(boxes, "img int, y0 int, x0 int, y1 int, x1 int"), image, spark.createDataFrame([(7, width, height)], "img int, width int, height int")
+
+
+def pieces(image: np.ndarray, eight: bool) -> list[tuple]:
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
+    left, out = {(int(y), int(x)) for y, x in zip(*np.nonzero(image))}, []
+    for start in sorted(left):
+        if start in left:
+            left.discard(start)
+            todo = part = [start]
+            for y, x in todo:
+                met = {(y + a, x + b) for a, b in near} & left
+                left -= met
+                todo += met
+            ys, xs = zip(*part)
+            out.append(((start[0] << 32) + start[1], len(part), min(xs), min(ys), max(xs), max(ys)))
+    return out
+
+
+def test_boxes_painted_over_stripes(spark):
+    boxes, image, _ = tall(spark)
+    got = [(q.y, q.x0, q.x1) for q in runs.painted(boxes).collect()]
+    assert len({(y, x) for y, a, b in got for x in (a, b + 1)}) == 2 * len(got)  # runs do not touch
+    assert {(y, x) for y, a, b in got for x in range(a, b + 1)} == set(zip(*np.nonzero(image)))
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_free_areas_over_stripes(spark, eight):
+    boxes, image, sizes = tall(spark)
+    got = sorted((q.comp, q.area, q.x0, q.y0, q.x1, q.y1) for q in runs.free_areas(boxes, sizes, eight).collect())
+    assert got == pieces(~image, eight)
+    labelled = runs.labelled(runs.complement(runs.painted(boxes), sizes), eight)
+    assert got == sorted((q.comp, q.area, q.x0, q.y0, q.x1, q.y1) for q in runs.measures(labelled).collect())
+
+
+@pytest.mark.parametrize("metric", ["euclid", "chamfer"])
+def test_distances_over_stripes(spark, metric):
+    boxes, image, sizes = tall(spark)
+    ys, xs = np.nonzero(~image)
+    far = {}
+    for q in distance.distances(boxes, sizes, metric).collect():
+        far |= {(q.y, q.x0 + k): v for k, v in enumerate(q.d)}
+    assert set(far) == set(zip(*np.nonzero(image)))
+    for (y, x), v in far.items():
+        dy, dx = np.abs(ys - y), np.abs(xs - x)
+        want = np.hypot(dy, dx) if metric == "euclid" else distance.STRAIGHT * np.abs(dx - dy) + distance.ACROSS * np.minimum(dx, dy)
+        assert v == pytest.approx(want.min())
+
+
+def test_rays_meet_boxes_as_they_meet_runs(spark):
+    boxes, _, sizes = tall(spark)
+    r = random.Random(8)
+    points = spark.createDataFrame([(7, k, r.uniform(0, 39), r.uniform(0, 2099), r.choice((5, 60, 3000))) for k in range(200)], "img int, id int, cx double, cy double, cap int")
+    got = [sorted(map(tuple, tracing.ray_boxes(m, sizes, points).collect())) for m in (boxes, runs.painted(boxes))]
+    assert got[0] == got[1] and len(got[0]) == 200
+    # neither side is sent whole to the driver, however small the tables it is made from
+    plan = tracing.ray_boxes(boxes, sizes, points)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [img" in plan
