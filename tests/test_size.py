@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from gambrel.operators import distance, editing, runs, tracing
+from gambrel.operators import distance, editing, matching, runs, tracing, vector, walls
 
 
 def square(x: float, y: float, side: float = 40.0) -> list[list[float]]:
@@ -95,3 +95,30 @@ def test_rays_meet_boxes_as_they_meet_runs(spark):
     # neither side is sent whole to the driver, however small the tables it is made from
     plan = tracing.ray_boxes(boxes, sizes, points)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [img" in plan
+
+
+@pytest.fixture
+def short_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def batched(df) -> bool:
+    """Whether Python is called a batch of groups at a time; a call a group takes milliseconds, however small it is."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_wall_groups_and_combs_over_batches(spark, short_batches):
+    r = random.Random(21)
+    rows = [(i, axis, r.randrange(0, 300), a := r.randrange(0, 300), a + r.randrange(1, 160)) for i in range(40) for axis in "hv" for _ in range(r.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "img int, axis string, coord int, a int, b int").repartition(1)
+    for step in (walls.cluster_runs, walls.comb_patterns):
+        assert batched(step(df))
+        got = sorted(map(tuple, step(df).collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        # an image by itself, in one batch, is whole
+        assert got == sorted(map(tuple, step(df).collect()))
+        assert [q for q in got if q[0] == 5] == sorted(map(tuple, step(df.where("img = 5")).collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
