@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gambrel.shared import materialise
+from gambrel.shared import beginnings, by_groups, materialise
 
 
 def least_cost(cost: np.ndarray) -> np.ndarray:
@@ -48,15 +48,20 @@ def least_cost(cost: np.ndarray) -> np.ndarray:
 def assign(costs: DataFrame) -> DataFrame:
     """``costs``: (pair, a, b, oa, ob, cost), all room pairs of each graph pair, oa and ob their order. The matches."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="oa", columns="ob", values="cost").sort_index().sort_index(axis=1)
-        ob = wide.columns.to_numpy()
-        take = least_cost(wide.to_numpy(float))
-        chosen = {(o, ob[c]) for o, c in zip(wide.index, take) if c >= 0}
-        return frame[[k in chosen for k in zip(frame.oa, frame.ob)]][["pair", "a", "b", "cost"]]
+    columns = ["pair", "a", "b", "cost"]
 
-    kind = dict(costs.dtypes)
-    return costs.groupBy("pair").applyInPandas(one, f"pair {kind['pair']}, a {kind['a']}, b {kind['b']}, cost double")
+    def one(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        cost, new = table.column("cost").to_numpy(), beginnings(table, ["pair", "oa"])
+        ends = [*starts[1:].tolist(), len(cost)]
+        rows = np.add.reduceat(new.astype(np.int64), starts).tolist()
+        chosen: list[int] = []
+        for first, end, n in zip(starts.tolist(), ends, rows):
+            wide = cost[first:end].reshape(n, -1)
+            chosen += [first + r * wide.shape[1] + c for r, c in enumerate(least_cost(wide).tolist()) if c >= 0]
+        return table.select(columns).take(pa.array(chosen, pa.int64()))
+
+    costs = costs.withColumn("cost", F.col("cost").cast("double"))
+    return by_groups(costs, ["pair"], ["oa", "ob"], one, costs.select(columns).schema)
 
 
 def _sides(pairs: DataFrame, nodes: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -122,3 +122,17 @@ def test_wall_groups_and_combs_over_batches(spark, short_batches):
         assert got == sorted(map(tuple, step(df).collect()))
         assert [q for q in got if q[0] == 5] == sorted(map(tuple, step(df.where("img = 5")).collect()))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+
+
+def test_assignments_over_batches(spark, short_batches):
+    r = random.Random(22)
+    costs, want = [], 0.0
+    for pair in range(30):
+        m, n = r.randrange(1, 6), r.randrange(1, 6)
+        c = [[r.random() for _ in range(n)] for _ in range(m)]
+        costs += [(pair, 100 * pair + i, 100 * pair + j, i, j, c[i][j]) for i in range(m) for j in range(n)]
+        want += sum(c[i][j] for i, j in enumerate(matching.least_cost(np.array(c))) if j >= 0)
+    r.shuffle(costs)
+    got = matching.assign(spark.createDataFrame(costs, "pair int, a int, b int, oa int, ob int, cost double"))
+    assert batched(got)
+    assert sum(q.cost for q in got.collect()) == pytest.approx(want)
