@@ -136,3 +136,26 @@ def test_assignments_over_batches(spark, short_batches):
     got = matching.assign(spark.createDataFrame(costs, "pair int, a int, b int, oa int, ob int, cost double"))
     assert batched(got)
     assert sum(q.cost for q in got.collect()) == pytest.approx(want)
+
+
+def test_rects_of_a_crowded_cell():
+    r = np.random.default_rng(24)
+    for n, size, gap in ((300, 6.0, 1.0), (300, 20.0, 0.0), (60, 9.0, 4.0)):
+        low = np.sort(r.integers(0, 130, (n, 2)).astype(float), axis=0)[:, :1], r.integers(0, 130, (n, 1)).astype(float)
+        x0, y0 = low[0][:, 0], low[1][:, 0]
+        x1, y1 = x0 + r.integers(0, size, n), y0 + r.integers(0, size, n)
+        near = (x0[:, None] <= x1 + gap) & (x0 <= x1[:, None] + gap) & (y0[:, None] <= y1 + gap) & (y0 <= y1[:, None] + gap)
+        while (more := near @ near).sum() > near.sum():
+            near = more
+        assert vector.joined_in_cell(x0, y0, x1, y1, gap) == np.argmax(near, axis=1).tolist()
+    # the pairs that are near would be a tenth of a billion
+    x0, y0 = np.sort(r.uniform(0, 128, 20000)), r.uniform(0, 128, 20000)
+    began = time.monotonic()
+    assert set(vector.joined_in_cell(x0, y0, x0 + 60, y0 + 60, 4.0)) == {0}
+    assert time.monotonic() - began < 20
+
+
+def test_equal_rects_are_one(spark):
+    rects = [("p", k, 5.0, 5.0, 9.0, 9.0) for k in range(40)] + [("p", 99, 12.0, 5.0, 15.0, 9.0), ("p", 100, 80.0, 5.0, 90.0, 9.0), ("q", 3, 5.0, 5.0, 9.0, 9.0)]
+    got = vector.rect_clusters(spark.createDataFrame(rects, "page string, id int, x0 double, y0 double, x1 double, y1 double"), 4.0)
+    assert {(q.page, q.id, q.cluster) for q in got.collect()} == {("p", k, 0) for k in (*range(40), 99)} | {("p", 100, 100), ("q", 3, 3)}
