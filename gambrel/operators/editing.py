@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
-from gambrel.shared import materialise
+from gambrel.shared import settled
 
 #: Fixed value: the name of a room that nobody named.
 NEW = "Ruangan baru"
@@ -32,17 +32,17 @@ def overlapping(rooms: DataFrame, others: DataFrame, cell: float = 128.0) -> Dat
     keys = ["case", "cx", "cy"]
     shapes = whole(others).groupBy("case", "points").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("points")))
-    near = materialise(_cells(shapes, cell).select(*keys, "low", "high", F.col("points").alias("there"), P.bounds(F.col("points")).alias("b"), nth.alias("nth")), "room-cells")
-    left = materialise(_cells(whole(rooms), cell).select(*keys, "id", "points", P.bounds(F.col("points")).alias("a")), "rooms-open")
+    near = settled(_cells(shapes, cell).select(*keys, "low", "high", F.col("points").alias("there"), P.bounds(F.col("points")).alias("b"), nth.alias("nth")), "room-cells")
+    left = settled(_cells(whole(rooms), cell).select(*keys, "id", "points", P.bounds(F.col("points")).alias("a")), "rooms-open")
     last = near.agg(F.max("nth")).first()[0] or 0
     touch = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
     found, low, high = left.select("case", "id").limit(0), 0, BATCH
     while low < last:
         met = left.join(near.where((F.col("nth") > low) & (F.col("nth") <= high)), keys).where(touch & ((F.col("id") != F.col("low")) | (F.col("id") != F.col("high"))))
-        hit = materialise(met.where(P.polygons_overlap(F.col("points"), F.col("there"))).select("case", "id").distinct(), "rooms-hit")
+        hit = settled(met.where(P.polygons_overlap(F.col("points"), F.col("there"))).select("case", "id").distinct(), "rooms-hit")
         found, low, high = found.unionByName(hit), high, high * BATCH
         if low < last:
-            left = materialise(left.join(hit, ["case", "id"], "left_anti"), "rooms-open")
+            left = settled(left.join(hit, ["case", "id"], "left_anti"), "rooms-open")
     return found
 
 

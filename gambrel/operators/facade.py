@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from gambrel.functions import polygon as P
 from gambrel.operators import rooms
 from gambrel.operators import runs as R
+from gambrel.shared import settled
 
 OUTLINE, INK = 100, 200
 MIN_DIM, EXTENT, MIN_AREA, HOLES, AXIS = 15, 0.5, 30, 0.05, 0.75
 
 
+def ink_runs(pixels: DataFrame, level: int) -> DataFrame:
+    """The runs of pixels (img, y, x, gray) as dark as ``level``; or of runs of one gray (img, y, x0, x1, gray)."""
+    dark = pixels.where(F.col("gray") <= level)
+    return R.merged(dark.select("img", "y", "x0", "x1")) if "x0" in pixels.columns else R.runs_of(dark)
+
+
 def envelope(pixels: DataFrame, sizes: DataFrame, outline: int = OUTLINE, window: float = 0.35, bridge: int = 15) -> DataFrame:
     """A1: (img, x0, y0, x1, y1, status) of each building; status ``no_building`` where there is no ink.
 
     Columns whose topmost ink is less than ``window`` of the height under the roof line are the building's; gaps that a
     closing of width ``bridge`` shuts are filled; the longest run, the first of equals, gives the width, ink in it the height.
     """
-    ink = pixels.where(F.col("gray") <= outline)
-    top = ink.groupBy("img", "x").agg(F.min("y").alias("top"))
+    ink = settled(ink_runs(pixels, outline), "outline-ink")
+    top = ink.select("img", "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("img", "x").agg(F.min("y").alias("top"))
     roof = top.groupBy("img").agg(F.min("top").alias("roof")).join(sizes, "img")
     columns = top.join(roof, "img").where(F.col("top") < F.col("roof") + window * F.col("height"))
     spans = R.islands(columns, ["img"], "x", bridge=bridge - 1)
     widest = spans.groupBy("img").agg(F.max_by(F.struct("start", "stop"), F.struct(F.col("stop") - F.col("start"), -F.col("start"))).alias("s"))
-    lines = ink.join(widest, "img").where(F.col("x").between(F.col("s.start"), F.col("s.stop")))
+    lines = ink.join(widest, "img").where((F.col("x1") >= F.col("s.start")) & (F.col("x0") <= F.col("s.stop")))
     found = lines.groupBy("img").agg(F.first("s").alias("s"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     out = sizes.select("img").join(found, "img", "left")
     return out.select("img", F.col("s.start").alias("x0"), "y0", F.col("s.stop").alias("x1"), "y1", F.when(F.col("s").isNull(), "no_building").otherwise("ok").alias("status"))
@@ -34,7 +41,7 @@ def envelope(pixels: DataFrame, sizes: DataFrame, outline: int = OUTLINE, window
 def cells(pixels: DataFrame, sizes: DataFrame, envelopes: DataFrame, ink: int = INK) -> tuple[DataFrame, DataFrame]:
     """A2: the 4-connected areas free of ink, as labelled runs and as measures; those at the image's border, under 30
     pixels, or outside the envelope by more than 2 are left out."""
-    free = R.complement(R.runs_of(pixels.where(F.col("gray") <= ink)), sizes)
+    free = R.complement(ink_runs(pixels, ink), sizes)
     labels = R.labelled(free)
     sized = R.measures(labels).join(sizes, "img").join(envelopes.where("status = 'ok'").select("img", F.col("x0").alias("ex0"), F.col("y0").alias("ey0"), F.col("x1").alias("ex1"), F.col("y1").alias("ey1")), "img")
     border = (F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("width") - 1) | (F.col("y1") == F.col("height") - 1)
@@ -102,12 +109,13 @@ def analyze(pixels: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A1 to A10: one row an image (status, ratio, shares of the cells and of the envelope, sizes), and its openings with
     their share of the classified area.
 
-    ``pixels``: (img, y, x, gray) of all or only the dark ones; ``sizes``: (img, width, height). An image without a
+    ``pixels``: (img, y, x, gray) of all or only the dark ones, or runs of them (img, y, x0, x1, gray); ``sizes``: (img, width, height). An image without a
     building has a row with that status and nulls.
     """
-    env = envelope(pixels, sizes)
+    env = settled(envelope(pixels, sizes), "envelopes")
     labels, measures = cells(pixels, sizes, env)
-    judged = classified(labels, measures)
+    labels, measures = settled(labels, "cell-runs"), settled(measures, "cells")
+    judged = settled(classified(labels, measures), "judged")
     mine = labels.join(judged.where("opening").select("img", "comp"), ["img", "comp"], "left_semi")
     openings = logical_openings(mine)
     totals = ratios(judged, ["img"])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gambrel.shared import beginnings, by_groups, materialise
+from gambrel.shared import beginnings, by_groups, settled
 
 
 def least_cost(cost: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def _matched(pairs: DataFrame, nodes: DataFrame, weights: dict[str, float]) -> D
     for c, w in weights.items():
         if c != "name":
             cost = cost + w * F.abs(F.col(f"{c}_a") - F.col(f"{c}_b"))
-    return materialise(assign(left.join(right, "pair").select("pair", "a", "b", "oa", "ob", cost.alias("cost"))), "matches")
+    return settled(assign(left.join(right, "pair").select("pair", "a", "b", "oa", "ob", cost.alias("cost"))), "matches")
 
 
 def _counts(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ import time
 import numpy as np
 import pytest
 
-from gambrel.operators import distance, editing, matching, runs, tracing, vector, walls
+from gambrel.operators import axial, distance, editing, facade, matching, outline, runs, tracing, vector, walls
+from gambrel.plans import adapters
 
 
 def square(x: float, y: float, side: float = 40.0) -> list[list[float]]:
@@ -138,6 +139,16 @@ def test_assignments_over_batches(spark, short_batches):
     assert sum(q.cost for q in got.collect()) == pytest.approx(want)
 
 
+def test_areas_of_many_images_over_batches(spark, short_batches):
+    r = random.Random(23)
+    images = {i: np.array([[r.random() < 0.5 for _ in range(9)] for _ in range(7)]) for i in range(20)}
+    mask = spark.createDataFrame([(i, y, x) for i, m in images.items() for y, x in zip(*map(lambda k: k.tolist(), np.nonzero(m)))], "img int, y int, x int")
+    for eight in (False, True):
+        got = runs.measures(runs.labelled(runs.runs_of(mask), eight)).collect()
+        for i, m in images.items():
+            assert sorted((q.comp, q.area, q.x0, q.y0, q.x1, q.y1) for q in got if q.img == i) == pieces(m, eight)
+
+
 def test_rects_of_a_crowded_cell():
     r = np.random.default_rng(24)
     for n, size, gap in ((300, 6.0, 1.0), (300, 20.0, 0.0), (60, 9.0, 4.0)):
@@ -159,3 +170,13 @@ def test_equal_rects_are_one(spark):
     rects = [("p", k, 5.0, 5.0, 9.0, 9.0) for k in range(40)] + [("p", 99, 12.0, 5.0, 15.0, 9.0), ("p", 100, 80.0, 5.0, 90.0, 9.0), ("q", 3, 5.0, 5.0, 9.0, 9.0)]
     got = vector.rect_clusters(spark.createDataFrame(rects, "page string, id int, x0 double, y0 double, x1 double, y1 double"), 4.0)
     assert {(q.page, q.id, q.cluster) for q in got.collect()} == {("p", k, 0) for k in (*range(40), 99)} | {("p", 100, 100), ("q", 3, 3)}
+
+
+def test_elevations_from_runs_as_from_pixels(spark):
+    r = random.Random(25)
+    boxes = [(i, "h" if k % 2 else "v", r.randrange(10, 90), a := r.randrange(5, 60), a + r.randrange(5, 60)) for i in range(3) for k in range(14)]
+    ink = walls.barriers(spark.createDataFrame(boxes, "img int, axis string, coord int, a int, b int")).selectExpr("img", "y", "x0", "x1", "30 gray")
+    pixels = ink.selectExpr("img", "y", "explode(sequence(x0, x1)) x", "gray")
+    size = spark.createDataFrame([(i, 140, 140) for i in range(3)], "img int, width int, height int")
+    got = [sorted(map(str, facade.analyze(p, size)[0].collect())) for p in (ink, pixels)]
+    assert got[0] == got[1] and len(got[0]) == 3

@@ -20,3 +20,8 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert sorted(found.columns) == columns
     text = lambda row: [repr(round(v, 6)) if isinstance(v, float) else str(v) for v in row]
     assert sorted(text(r[c] for c in columns) for r in found.collect()) == sorted(text(r[k] for k in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["a1_a10_facade", "v5_page_rooms", "v3_largest_cluster", "g12_box_overlap", "w7_w8_nearest_walls"])
+def test_further_query_equals_its_sql(spark, sf_dir, name):
+    test_query_equals_its_sql(spark, sf_dir, name)
