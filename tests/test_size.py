@@ -180,3 +180,10 @@ def test_elevations_from_runs_as_from_pixels(spark):
     size = spark.createDataFrame([(i, 140, 140) for i in range(3)], "img int, width int, height int")
     got = [sorted(map(str, facade.analyze(p, size)[0].collect())) for p in (ink, pixels)]
     assert got[0] == got[1] and len(got[0]) == 3
+
+
+def test_page_rooms_are_those_of_whole_pages(spark, sf_dir, monkeypatch):
+    marks = [df.where("page < 2") for df in adapters.vector_pages(spark, sf_dir)]
+    # silhouettes are not asked for
+    monkeypatch.setattr(tracing, "merged_silhouette", lambda *_: 1 / 0)
+    assert tracing.page_rooms(*marks).count() == 20
