@@ -187,3 +187,8 @@ def test_page_rooms_are_those_of_whole_pages(spark, sf_dir, monkeypatch):
     # silhouettes are not asked for
     monkeypatch.setattr(tracing, "merged_silhouette", lambda *_: 1 / 0)
     assert tracing.page_rooms(*marks).count() == 20
+
+
+def test_boxes_meet_in_all_tasks(spark, sf_dir):
+    met = vector.overlapping_boxes(adapters.boxes(spark, sf_dir))
+    assert met.count() > 0 and met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
