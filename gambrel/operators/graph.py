@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
 from gambrel.functions.labels import room_name
-from gambrel.shared import materialise
+from gambrel.shared import settled
 
 
 def room_graph(rooms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,16 +37,16 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     One join a hop, over the frontier only; each round is written, so the plan stays short.
     """
-    near = materialise(both_ways(edges).groupBy("graph", "a", "b").agg(F.count(F.lit(1)).alias("m")), "adjacency")
+    near = settled(both_ways(edges).groupBy("graph", "a", "b").agg(F.count(F.lit(1)).alias("m")), "adjacency")
     start = nodes.select("graph", F.col("node").alias("src"), "node", F.lit(0).alias("d"), F.lit(1).cast("long").alias("paths"))
-    reached = front = materialise(start, "hops")
+    reached = front = settled(start, "hops")
     while True:
         step = front.join(near.withColumnRenamed("a", "node"), ["graph", "node"])
         step = step.groupBy("graph", "src", F.col("b").alias("node")).agg((F.min("d") + 1).alias("d"), F.sum(F.col("paths") * F.col("m")).alias("paths"))
-        front = materialise(step.join(reached, ["graph", "src", "node"], "left_anti"), "hops")
+        front = settled(step.join(reached, ["graph", "src", "node"], "left_anti"), "hops")
         if front.isEmpty():
             return reached
-        reached = materialise(reached.unionByName(front), "hops")
+        reached = settled(reached.unionByName(front), "hops")
 
 
 def betweenness(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def betweenness(paths: DataFrame, edges: DataFrame) -> DataFrame:
     Dependencies are folded back from the far end, a level of hops a round: a node has of each node one hop further the share
     of its ways that come through it. Rounds are as many as hops, rows as many as nodes times edges.
     """
-    near = materialise(both_ways(edges).groupBy("graph", "a", "b").agg(F.count(F.lit(1)).alias("m")), "adjacency")
+    near = settled(both_ways(edges).groupBy("graph", "a", "b").agg(F.count(F.lit(1)).alias("m")), "adjacency")
     return folded_back(paths, near.withColumn("w", F.lit(1)), "d", lambda hop, back: hop == back + F.col("w")).groupBy("graph", "node").agg((F.sum("share") / 2).alias("between"))
 
 
@@ -72,9 +72,9 @@ def folded_back(paths: DataFrame, near: DataFrame, level: str, tight) -> DataFra
     for k in range(most, 1, -1):
         step = far.select("graph", "src", F.col("node").alias("b"), F.col("d").alias("db"), ((1 + F.col("share")) / F.col("paths")).alias("part")).join(near, ["graph", "b"])
         before = at(k - 1)
-        met = before.join(step.select("graph", "src", F.col("a").alias("node"), "db", "part", "m", "w"), ["graph", "src", "node"]).where(tight(F.col("db"), F.col("d")))
+        met = before.hint("merge").join(step.select("graph", "src", F.col("a").alias("node"), "db", "part", "m", "w"), ["graph", "src", "node"]).where(tight(F.col("db"), F.col("d")))
         gained = met.groupBy("graph", "src", "node").agg(F.sum(F.col("paths") * F.col("m") * F.col("part")).alias("share"))
-        far = materialise(before.join(gained, ["graph", "src", "node"], "left").fillna(0.0, ["share"]), "shares")
+        far = settled(before.hint("merge").join(gained, ["graph", "src", "node"], "left").fillna(0.0, ["share"]), "shares")
         out = out.unionByName(far.select("graph", "src", "node", "share"))
     return out
 

@@ -192,3 +192,12 @@ def test_page_rooms_are_those_of_whole_pages(spark, sf_dir, monkeypatch):
 def test_boxes_meet_in_all_tasks(spark, sf_dir):
     met = vector.overlapping_boxes(adapters.boxes(spark, sf_dir))
     assert met.count() > 0 and met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_paths_are_not_sent_to_the_driver(spark, sf_dir):
+    graph = axial.turns(axial.segments(adapters.axial_lines(spark, sf_dir)))
+    paths = axial.weighted_paths(graph)
+    integration = axial.nain(paths)
+    for df in (graph, integration.hint("merge").join(axial.nach(paths, integration, graph), ["case", "seg"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
