@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from gambrel.shared import materialise, scratch, shared_dir
 
-__all__ = ["bin_of", "bin_offsets", "bounded", "byte_slices", "map_rows", "materialise", "quoted", "scratch", "shared_dir", "shut", "text_of", "without"]
+__all__ = ["bin_of", "bin_offsets", "bounded", "byte_slices", "give_back", "map_rows", "materialise", "quoted", "scratch", "shared_dir", "shut", "text_of", "without"]
 
 #: Rows, and bytes of their longest column, that an Arrow map turns into Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
@@ -48,8 +49,21 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system. Idle workers live on beside the stages that follow, with all that they keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], col: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of at most ``rows`` rows whose column ``col`` holds at most ``size`` bytes, or one row."""
+    """Cut batches into slices of at most ``rows`` rows whose column ``col`` holds at most ``size`` bytes, or one row.
+
+    Behind the last slice a worker gives back what its task has freed.
+    """
+    batch = None
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(lengths, dtype=np.int64), 0
@@ -58,6 +72,8 @@ def byte_slices(batches: Iterator[pa.RecordBatch], col: int, rows: int = SLICE_R
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
             yield batch.slice(at, to - at)
             at = to
+    del batch
+    give_back()
 
 
 def map_rows(df: DataFrame, fields: StructType, start: Callable[[], Callable[[pa.RecordBatch], list]], longest: str) -> DataFrame:

@@ -93,8 +93,12 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(df: DataFrame, items: list[tuple], text_col: str, n: int) -> DataFrame:
-    """Search one block of the benchmark; finds of earlier blocks are carried along."""
+def _pass(df: DataFrame, items: list[tuple], text_col: str, n: int, share: int | None = None) -> DataFrame:
+    """Search one block of the benchmark; finds of earlier blocks are carried along.
+
+    With ``share`` it is the last block: its map gives the verdict too. A second map behind it would take another Python
+    worker a core, and executors keep workers, with what they hold, for the stages that follow.
+    """
     shared = df.sparkSession.sparkContext.broadcast(items)
     carried = [f.name for f in _CARRY]
     first = carried[0] not in df.columns
@@ -104,7 +108,7 @@ def _pass(df: DataFrame, items: list[tuple], text_col: str, n: int) -> DataFrame
 
         def work(batch: pa.RecordBatch) -> list:
             old = None if first else [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in carried_in]
-            spans_out, items_out = [], []
+            spans_out, items_out, counts = [], [], []
             for i, text in enumerate(text_of(batch, text_col)):
                 words = words_of(text)
                 spans, found = ([], set()) if first else (list(zip(old[0][i][::2], old[0][i][1::2])), set(old[1][i]))
@@ -112,16 +116,28 @@ def _pass(df: DataFrame, items: list[tuple], text_col: str, n: int) -> DataFrame
                     for at, owners in t.search(words):
                         spans.append((at, at + t.m))
                         found |= owners
-                spans_out.append([x for s in merge(spans) for x in s])
+                spans_out.append(merge(spans))
                 items_out.append(sorted(found))
-            return [pa.array(spans_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string()))]
+                counts.append(len(words))
+            items_array = pa.array(items_out, pa.list_(pa.string()))
+            if share is None:
+                return [pa.array([[x for s in spans for x in s] for spans in spans_out], pa.list_(pa.int64())), items_array]
+            hits = [sum(b - a for a, b in spans) for spans in spans_out]
+            listed = [[{"start": a, "end": b} for a, b in spans] for spans in spans_out]
+            return [
+                pa.array(counts, pa.int64()),
+                pa.array(hits, pa.int64()),
+                items_array,
+                pa.array(listed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array([h > 0 and share * h >= c for h, c in zip(hits, counts)], pa.bool_()),
+            ]
 
         return work
 
     carried_in = ["__prior_spans", "__prior_items"]
     if not first:
         df = df.withColumnsRenamed(dict(zip(carried, carried_in)))
-    out = map_rows(df, _CARRY, start, text_col)
+    out = map_rows(df, _CARRY if share is None else ADDED, start, text_col)
     return out if first else out.drop(*carried_in)
 
 
@@ -149,24 +165,8 @@ def decontaminate(
     out = without(docs, ADDED.fieldNames())
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        out = _pass(out, [tuple(r) for r in block.collect()], text_col, n)
-        if k + 1 < blocks:
+        last = k + 1 == blocks
+        out = _pass(out, [tuple(r) for r in block.collect()], text_col, n, share if last else None)
+        if not last:
             out = materialise(out, "decontamination")
-
-    def start():
-        def work(batch: pa.RecordBatch) -> list:
-            spans = batch.column(batch.schema.get_field_index("__found_spans")).to_pylist()
-            counts = [len(words_of(t)) for t in text_of(batch, text_col)]
-            hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            listed = [[{"start": a, "end": b} for a, b in zip(s[::2], s[1::2])] for s in spans]
-            return [
-                pa.array(counts, pa.int64()),
-                pa.array(hits, pa.int64()),
-                batch.column(batch.schema.get_field_index("__found_items")),
-                pa.array(listed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([h > 0 and share * h >= c for h, c in zip(hits, counts)], pa.bool_()),
-            ]
-
-        return work
-
-    return map_rows(out, ADDED, start, text_col).drop(*_CARRY.fieldNames())
+    return out

@@ -29,7 +29,10 @@ MOVES = "part int, window long, piece int, cut long, take long, merged_group int
 
 
 class Packer:
-    """The open windows of one partition. A piece is (doc, start, ids, doc_tokens)."""
+    """The open windows of one partition. A piece is (doc, start, ids, doc_tokens).
+
+    Held pieces are copies: a view would keep all ids of its document for as long as the window is open.
+    """
 
     def __init__(self, size: int, windows: int, least: int):
         self.size, self.windows, self.least = size, windows, least
@@ -57,7 +60,7 @@ class Packer:
             if k < 0 and len(self.gaps) == self.windows:
                 full = min(range(len(self.gaps)), key=self.gaps.__getitem__)
                 if self.gaps[full] >= self.least and rest - self.gaps[full] >= self.least:
-                    self.held[full].append((doc, at, ids[at : at + self.gaps[full]], total))
+                    self.held[full].append((doc, at, ids[at : at + self.gaps[full]].copy(), total))
                     at += self.gaps[full]
                 yield from self._leave(full)
                 continue
@@ -65,7 +68,7 @@ class Packer:
                 self.gaps.append(self.size)
                 self.held.append([])
                 k = len(self.gaps) - 1
-            self.held[k].append((doc, at, ids[at:], total))
+            self.held[k].append((doc, at, ids[at:].copy(), total))
             self.gaps[k] -= rest
             if not self.gaps[k]:
                 yield from self._leave(k)

@@ -8,12 +8,13 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gambrel.llm import substring_dedup as S
 from gambrel.llm.decontamination import decontaminate, words_of
 from gambrel.llm.encoding import Encoder
-from gambrel.llm.packing import merge_windows, pack
+from gambrel.llm.packing import Packer, merge_windows, pack
 from gambrel.llm.pii import bootstrap, find_spans, instances, detect, redact
 from gambrel.llm.quality_rules import features, fit, judge_quality, keep_good
 from gambrel.llm.queries import tokenizer
@@ -205,6 +206,33 @@ def test_packing(spark, docs, none, rows):
     assert pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_decontamination_is_one_python_map(spark, docs):
+    """Each map in a row takes a worker a core, which stays for the stages behind."""
+    bench = spark.createDataFrame([(k, prose(k, 20)) for k in range(8)], "item_id long, text string")
+    for block_bytes in (1 << 20, 300):
+        plan = decontaminate(docs, bench, block_bytes=block_bytes)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
+def test_open_windows_keep_no_whole_documents():
+    for windows, docs in ((2, [1003]), (1, [5, 2006, 4])):  # a rest, and a cut that fills a window
+        p = Packer(8, windows, 1)
+        for d, n in enumerate(docs):
+            for _ in p.add(d, np.arange(n, dtype="<u4")):
+                pass
+            assert p.held and all(ids.base is None for w in p.held for _, _, ids, _ in w)
+
+
+def test_slices_end_by_giving_back(monkeypatch):
+    from gambrel.llm import common
+
+    given, batch = [], pa.record_batch({"t": ["a"] * 600})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    slices = common.byte_slices(iter([batch]), 0)
+    assert [next(slices).num_rows for _ in range(3)] == [256, 256, 88] and not given
+    assert next(slices, None) is None and given == [1] and not [*common.byte_slices(iter([]), 0)]
+
+
 def test_merge_windows_keeps_every_id():
     r = random.Random(3)
     pieces = [((p, w, n), r.randrange(1, 100)) for p in range(6) for w in range(3) for n in range(r.randrange(1, 4))]
