@@ -16,7 +16,8 @@ from operator import itemgetter
 
 import numpy as np
 
-#: Chunks that a worker process remembers at most; the table is emptied when full, which changes speed only.
+#: Chunks of a generation. A worker process remembers two at most: what the younger one lacks and the older one has moves
+#: over, and the older one goes when the younger is full, which changes speed only.
 MEMO_CHUNKS = 400_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 48
@@ -25,7 +26,7 @@ ODD = [chr(c) for c in (0, 11, 12, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180
 _ASCII_ODD = [c for c in ODD if c.isascii()]
 _CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Letters, then ASCII signs other than the apostrophe (contractions): two pieces for every tokenizer at hand.
-_SIGNS = re.compile("[!-&(-/:-@\\[-`{-~]+$")
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _PROBES = ["a", "the", "House", "zebra", "été", "Über", "ñandú", "qwertyuiop", "THTH", "x"]
 
 
@@ -38,9 +39,9 @@ class _Memo(dict):
     character with a word behind it; signs and such characters have a small table of their own.
     """
 
-    def __init__(self, make, bare: bool):
+    def __init__(self, make, word, bare: bool):
         super().__init__()
-        self.make, self.bare, self.parts = make, bare, {}
+        self.make, self.word, self.bare, self.parts, self.older = make, word, bare, {}, {}
 
     def part(self, text: str):
         value = self.parts.get(text)
@@ -51,26 +52,32 @@ class _Memo(dict):
         return value
 
     def __missing__(self, chunk: str):
-        if not chunk or chunk.isspace():
-            raise _Run
-        if chunk[0].isspace():
-            value = self.part(chunk[0]) + self.make("", chunk[1:]) if self.bare and _plain(chunk[1:]) else self.make("", chunk)
-        elif _plain(chunk):
-            value = self.make(" ", chunk)
-        elif (signs := _SIGNS.search(chunk)) and _plain(chunk[: signs.start()]):
-            value = self[chunk[: signs.start()]] + self.part(signs[0])
-        else:
-            value = self.make(" ", chunk)
+        value = self.older.get(chunk)
+        if value is None:
+            value = self._made(chunk)
         if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO_CHUNKS:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = value
         return value
 
+    def _made(self, chunk: str):
+        if _plain(chunk):
+            return self.word(" ", chunk)
+        if not chunk or chunk.isspace():
+            raise _Run
+        if chunk[0].isspace():
+            return self.part(chunk[0]) + self.word("", chunk[1:]) if self.bare and _plain(chunk[1:]) else self.make("", chunk)
+        word = chunk.rstrip(_SIGNS)
+        if len(word) < len(chunk) and _plain(word):
+            return self[word] + self.part(chunk[len(word) :])
+        return self.make(" ", chunk)
+
 
 def _plain(word: str) -> bool:
     """Whether a word is all Latin letters."""
-    return word.isalpha() and max(word) <= "\xff"
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
 
 
 def _look(memo: _Memo, chunks: list[str]):
@@ -95,8 +102,9 @@ class Encoder:
         self._direct = False
         self._direct = all(self._word(g, w) == self._library(g + w) for g in ("", " ") for w in _PROBES)
         bare = all(self._library(g + w) == self._library(g) + self._library(w) for g in "\n\t\r" for w in _PROBES)
-        self.packed = _Memo(lambda gap, chunk: self._pack(self._ids(gap, chunk)), bare)
-        self.counts = _Memo(lambda gap, chunk: len(self._ids(gap, chunk)), bare)
+        word = self._word if self._direct else self._ids
+        self.packed = _Memo(lambda gap, chunk: self._pack(self._ids(gap, chunk)), lambda gap, chunk: self._pack(word(gap, chunk)), bare)
+        self.counts = _Memo(lambda gap, chunk: len(self._ids(gap, chunk)), lambda gap, chunk: len(word(gap, chunk)), bare)
 
     def _library(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -104,7 +112,10 @@ class Encoder:
     def _word(self, gap: str, word: str) -> list[int]:
         """The library's merges for one word of Latin letters, which is one piece; probes at the start prove that."""
         gap, word = ("", word.lower()) if self._lower else (gap, word)
-        chars = (gap + word).encode().decode("latin-1").translate(self._byte_chars)
+        if word.isascii():
+            chars = self._byte_chars[ord(gap)] + word if gap else word
+        else:
+            chars = (gap + word).encode().decode("latin-1").translate(self._byte_chars)
         return [t.id for t in self.tok.model.tokenize(chars)]
 
     def _pack(self, ids: list[int]) -> bytes:

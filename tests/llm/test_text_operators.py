@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import time
@@ -90,6 +91,20 @@ def test_encoder_equals_library(rows, name):
             assert e.count(text) == len(ids), text[:40]
 
 
+def test_words_in_use_are_encoded_once(monkeypatch):
+    """However many words a worker meets, one that every text has stays in its table."""
+    asked: Counter = Counter()
+    word = Encoder._word
+    monkeypatch.setattr("gambrel.llm.encoding.MEMO_CHUNKS", 100)
+    monkeypatch.setattr(Encoder, "_word", lambda self, gap, text: asked.update([text]) or word(self, gap, text))
+    e = Encoder(tokenizer("byte_bpe_50k.json"))
+    new = iter("".join(x) for x in itertools.product("abcdefgh", repeat=4))
+    for _ in range(40):
+        text = " ".join(["one", *itertools.islice(new, 20), "often", "often,"])
+        assert np.frombuffer(e.encode(text), e.dtype).tolist() == e.tok.encode(text, add_special_tokens=False).ids
+    assert asked["often"] == 1 and len(e.packed) <= 100
+
+
 def test_token_files(docs, none, rows):
     path = tokenizer("byte_bpe_50k.json")
     manifest = write_token_files(docs, path, end_id=2)
