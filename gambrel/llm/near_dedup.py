@@ -37,6 +37,9 @@ LEADERS = (1, 2, 16, 128, 1024)
 #: Words of 64 bits of a content's map of runs.
 MAP_WORDS = 16
 MAPS = [*(f"m{k}" for k in range(MAP_WORDS)), "marks", "weight"]
+#: Bits of a bitmap for each key, and the most bits of all, as a power of two (8 MB).
+BITS_A_KEY, MOST_BITS = 32, 26
+_BLOCK = 1 << 15  # bits of a value of bitmap_construct_agg
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LAST = (1 << 63) - 1
 
@@ -152,6 +155,20 @@ def packed_features(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "content binary, runs binary, counts binary")
 
 
+def likely(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """``rows`` less most of those whose ``col`` is none of ``keys``, to be joined with them: long rows then stay where they are.
+
+    The keys' hashes are marked in a bitmap that has an upper size and is broadcast; too many keys for it let more rows through.
+    Columns _block, _bit and _bits are its own.
+    """
+    log_bits = min(MOST_BITS, max(15, (BITS_A_KEY * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(col), F.lit(1 << log_bits))
+    block, bit = (place / _BLOCK).cast("int"), (place % _BLOCK).cast("int")
+    marks = keys.select(block.alias("_block"), bit.alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    found = rows.withColumns({"_block": block, "_bit": bit}).join(F.broadcast(marks), "_block")
+    return found.where("shiftright(cast(conv(hex(substring(_bits, _bit div 8 + 1, 1)), 16, 10) as int), _bit % 8) % 2 = 1").select(rows.columns)
+
+
 def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """(p, q, leader, member, n, leader_comp, member_comp) with the probability Jaccard similarity of the whole texts.
 
@@ -294,15 +311,18 @@ def join_buckets(members: DataFrame, nodes: DataFrame, features: DataFrame, alik
         if met_at:
             pairs = pairs.join(spark.read.parquet(*met_at).select("p", "q"), ["p", "q"], "left_anti")
         met_at.append(scratch(spark, "near-met"))
-        verify(materialise(pairs, "near-pairs"), features).write.parquet(met_at[-1])
+        pairs = materialise(pairs, "near-pairs")
+        # in later rounds few contents are left
+        some = likely(features, pairs.select(F.explode(F.array("leader", "member")).alias("content")), "content") if turn else features
+        verify(pairs, some).write.parquet(met_at[-1])
         links = spark.read.parquet(met_at[-1]).where(F.col("alike") >= alike).select(F.col("leader_comp").alias("a"), F.col("member_comp").alias("b"))
         if not links.isEmpty():
             grown = components(links)
             nodes = materialise(relabel(nodes, "comp", grown), "near-nodes")
             rest = relabel(rest, "comp", grown)
         if turn == 0:
-            left = opened(rest, most).groupBy("content").agg(F.max("meets").alias("meets"))
-            rare = rare_runs(features.join(left, "content", "left_semi"), alike)
+            left = materialise(opened(rest, most).groupBy("content").agg(F.max("meets").alias("meets")), "near-left")
+            rare = rare_runs(likely(features, left, "content").join(left, "content", "left_semi"), alike)
             rest = rare.join(left.join(nodes, "content"), "content")
         members = opened(materialise(rest, "near-rest"), most)
         if turn == 1:
@@ -335,8 +355,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = members.groupBy("content").agg(F.sum("n").alias("meets"))
     members = materialise(members.drop("n").join(meets, "content"), "near-members")
     # the texts of all contents in any bucket, each from the least row that has it, become features once
-    wanted = contents.join(meets, "content", "left_semi").select("content", "first.doc", "first.row_digest")
-    texts = source.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(wanted, ["doc", "row_digest"]).dropDuplicates(["doc", "row_digest"])
+    wanted = materialise(contents.join(meets, "content", "left_semi").select("content", "first.doc", "first.row_digest"), "near-wanted")
+    texts = likely(source.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))), wanted, "doc").join(wanted, ["doc", "row_digest"]).dropDuplicates(["doc", "row_digest"])
     features = materialise(packed_features(texts.select("content", "text")), "near-features")
     classes = join_buckets(members, meets.select("content", F.col("content").alias("comp")), features, alike)
 

@@ -245,3 +245,17 @@ def test_full_shards_change_places(spark):
     assert rooms_for({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 3, 9]) == {(0, 1): 5, (1, 0): 3, (2, 1): 1}
     assert rooms_for({(0, 1): 2, (1, 2): 3, (2, 0): 4}, [0, 0, 0]) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
     assert rooms_for({(0, 1): 2, (1, 2): 3}, [0, 0, 2]) == {(0, 1): 2, (1, 2): 2}
+
+
+@pytest.mark.parametrize("most", [26, 15])
+def test_likely_rows(spark, most, monkeypatch):
+    """Rows are dropped before a join with few keys, never one of them, however small the bitmap; columns stay."""
+    from gambrel.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "MOST_BITS", most)
+    rows = spark.range(-3000, 57000).selectExpr("id", "cast(id as string) as text")
+    for keys in (rows.where("id % 7 = 0").select("id"), rows.where("id < -5000").select("id"), spark.createDataFrame([(5,), (5,), ((1 << 63) - 1,)], "id long")):
+        got = near_dedup.likely(rows, keys, "id")
+        found, want = {r.id for r in got.collect()}, {r.id for r in rows.join(keys, "id", "left_semi").collect()}
+        assert got.columns == rows.columns and want <= found and len(found) <= len(want) + (6000 if most == 26 else 30000)
+        assert got.count() == len(found)
