@@ -139,6 +139,22 @@ def test_assignments_over_batches(spark, short_batches):
     assert sum(q.cost for q in got.collect()) == pytest.approx(want)
 
 
+@pytest.fixture
+def all_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_groups_stay_whole_where_a_join_was_dealt_by_their_keys(spark, all_partitions):
+    # taken for large when planned, small when run: the join by pair becomes a broadcast and its shuffle is read as it was written
+    rows = spark.range(0, 3_000_000, 1, 4).where("id % 750000 < 50").selectExpr("id % 750000 pair", "id div 750000 at")
+    side = lambda s: rows.selectExpr("pair", f"at {s}", f"at o{s}")
+    costs = side("a").join(side("b").where("b < 3"), "pair").selectExpr("*", "cast(a * (b + 1) as double) cost")
+    got = matching.assign(costs).collect()
+    assert sorted((q.pair, q.a, q.b) for q in got) == [(k, i, 2 - i) for k in range(50) for i in range(3)]
+
+
 def test_areas_of_many_images_over_batches(spark, short_batches):
     r = random.Random(23)
     images = {i: np.array([[r.random() < 0.5 for _ in range(9)] for _ in range(7)]) for i in range(20)}
