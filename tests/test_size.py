@@ -10,6 +10,7 @@ import pytest
 
 from gambrel.operators import axial, distance, editing, facade, matching, outline, runs, tracing, vector, walls
 from gambrel.plans import adapters
+from gambrel.shared import settled
 
 
 def square(x: float, y: float, side: float = 40.0) -> list[list[float]]:
@@ -229,3 +230,28 @@ def test_points_are_not_held_whole_by_every_task(spark, sf_dir):
     found = walls.nearest_walls(adapters.spots(spark, sf_dir), adapters.walls(spark, sf_dir))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [img" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_page_masks_are_not_sent_to_the_driver(spark, sf_dir, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settled(df, name)
+
+    monkeypatch.setattr(tracing, "settled", seen)
+    tracing.page_marks(*adapters.vector_pages(spark, sf_dir))
+    for name in ("page-mask", "page-names"):
+        assert "Broadcast" not in plans[name] and "FlatMapGroups" not in plans[name]
+
+
+def test_masks_less_boxes_as_by_their_complements(spark):
+    boxes, _, sizes = tall(spark)
+    lines = spark.createDataFrame([(7, -3.0, 5.0, 60.0, 5.0), (7, 9.0, 2200.0, 9.0, -4.0), (7, 1.0, 100.0, 30.0, 1900.0), (7, 2.5, 7.0, 8.5, 7.0), (7, 3.0, 3.0, 3.0, 3.0)], "img int, x0 double, y0 double, x1 double, y1 double")
+    less = spark.createDataFrame([(7, 1000, 2, 1040, 6), (7, 2, 1, 4, 90), (7, 4000, 0, 4100, 9)], "img int, y0 int, x0 int, y1 int, x1 int")
+    ink = boxes.unionByName(vector.lines_as_boxes(lines))
+    whole = runs.merged(runs.painted(boxes).unionByName(vector.lines_as_runs(lines, 1.0)))
+    want = sorted(map(tuple, runs.minus(whole, runs.boxes_as_runs(less), sizes).select("img", "y", "x0", "x1").collect()))
+    assert sorted(map(tuple, runs.painted(ink, less, sizes).collect())) == want
+    stacks = runs.painted(ink, less, sizes, tall=True)
+    assert sorted(map(tuple, runs.as_runs(stacks).collect())) == want and stacks.count() < len(want) / 3
