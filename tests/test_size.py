@@ -255,3 +255,29 @@ def test_masks_less_boxes_as_by_their_complements(spark):
     assert sorted(map(tuple, runs.painted(ink, less, sizes).collect())) == want
     stacks = runs.painted(ink, less, sizes, tall=True)
     assert sorted(map(tuple, runs.as_runs(stacks).collect())) == want and stacks.count() < len(want) / 3
+
+
+@pytest.mark.parametrize("radius", [3, 40])
+def test_masks_are_drawn_in_stripes(spark, radius):
+    boxes, image, sizes = tall(spark)
+    height, width = image.shape
+
+    def grown(m: np.ndarray, shape: dict[int, int]) -> np.ndarray:
+        out = np.zeros_like(m)
+        for dy, w in shape.items():
+            for dx in range(-w, w + 1):
+                to, of = (slice(max(0, -d), n - max(0, d)) for d, n in ((dy, m.shape[0]), (dx, m.shape[1])))
+                out[max(0, dy) : m.shape[0] + min(0, dy), max(0, dx) : m.shape[1] + min(0, dx)] |= m[to, of]
+        return out
+
+    pixels = lambda df: {(q.y, x) for q in df.collect() for x in range(q.x0, q.x1 + 1)}
+    on = lambda m, d=0: {(int(y) - d, int(x) - d) for y, x in zip(*np.nonzero(m))}
+    wide = np.pad(image, radius + 1)
+    shut = runs.closed(runs.painted(boxes), sizes, radius)
+    assert pixels(shut) == on(~grown(~grown(wide, runs.disc(radius)), runs.disc(radius)), radius + 1)
+    # boxes are shuffled once, no line meets another in a window
+    plan = shut._jdf.queryExecution().executedPlan().toString()
+    assert batched(shut) and "Window" not in plan
+    if radius == 3:
+        shape = {-2: 0, -1: 1, 0: 2, 1: 1, 2: 0}
+        assert pixels(runs.eroded(runs.painted(boxes), sizes, shape)) == on(~grown(~image, shape))
