@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from gambrel.operators import axial, distance, editing, facade, matching, outline, runs, tracing, vector, walls
-from gambrel.plans import adapters
+from gambrel.plans import adapters, queries
 from gambrel.shared import settled
 
 
@@ -281,3 +281,16 @@ def test_masks_are_drawn_in_stripes(spark, radius):
     if radius == 3:
         shape = {-2: 0, -1: 1, 0: 2, 1: 1, 2: 0}
         assert pixels(runs.eroded(runs.painted(boxes), sizes, shape)) == on(~grown(~image, shape))
+
+
+def test_sums_of_distances_as_of_all_pixels(spark):
+    boxes, _, sizes = tall(spark)
+    d = [v for q in distance.distances(boxes, sizes).collect() for v in q.d]
+    got = distance.near_sums(boxes, sizes, 1.85, 3)
+    (row,) = got.collect()
+    assert (row.pixels, row.thick) == (len(d), sum(v >= 1.85 for v in d)) and row.total == pytest.approx(sum(min(v, 3.0) for v in d))
+    assert batched(got)
+
+
+def test_distances_of_a_query_stay_in_their_tasks(spark, sf_dir):
+    assert batched(queries.QUERIES["r2_distances"](spark, sf_dir))
