@@ -14,10 +14,10 @@ OUTLINE, INK = 100, 200
 MIN_DIM, EXTENT, MIN_AREA, HOLES, AXIS = 15, 0.5, 30, 0.05, 0.75
 
 
-def ink_runs(pixels: DataFrame, level: int) -> DataFrame:
-    """The runs of pixels (img, y, x, gray) as dark as ``level``; or of runs of one gray (img, y, x0, x1, gray)."""
+def ink_boxes(pixels: DataFrame, level: int) -> DataFrame:
+    """Boxes (img, y0, x0, y1, x1) of the pixels (img, y, x, gray) as dark as ``level``; or of runs or boxes of one gray, as they are."""
     dark = pixels.where(F.col("gray") <= level)
-    return R.merged(dark.select("img", "y", "x0", "x1")) if "x0" in pixels.columns else R.runs_of(dark)
+    return R.as_boxes(dark if "x0" in pixels.columns else R.runs_of(dark))
 
 
 def envelope(pixels: DataFrame, sizes: DataFrame, outline: int = OUTLINE, window: float = 0.35, bridge: int = 15) -> DataFrame:
@@ -26,38 +26,44 @@ def envelope(pixels: DataFrame, sizes: DataFrame, outline: int = OUTLINE, window
     Columns whose topmost ink is less than ``window`` of the height under the roof line are the building's; gaps that a
     closing of width ``bridge`` shuts are filled; the longest run, the first of equals, gives the width, ink in it the height.
     """
-    ink = settled(ink_runs(pixels, outline), "outline-ink")
-    top = ink.select("img", "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("img", "x").agg(F.min("y").alias("top"))
-    roof = top.groupBy("img").agg(F.min("top").alias("roof")).join(sizes, "img")
-    columns = top.join(roof, "img").where(F.col("top") < F.col("roof") + window * F.col("height"))
+    ink = settled(ink_boxes(pixels, outline), "outline-ink")
+    top = ink.select("img", "y0", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("img", "x").agg(F.min("y0").alias("top"))
+    roof = ink.groupBy("img").agg(F.min("y0").alias("roof")).hint("merge").join(sizes, "img")
+    columns = top.hint("merge").join(roof, "img").where(F.col("top") < F.col("roof") + window * F.col("height"))
     spans = R.islands(columns, ["img"], "x", bridge=bridge - 1)
     widest = spans.groupBy("img").agg(F.max_by(F.struct("start", "stop"), F.struct(F.col("stop") - F.col("start"), -F.col("start"))).alias("s"))
     lines = ink.join(widest, "img").where((F.col("x1") >= F.col("s.start")) & (F.col("x0") <= F.col("s.stop")))
-    found = lines.groupBy("img").agg(F.first("s").alias("s"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    out = sizes.select("img").join(found, "img", "left")
+    found = lines.groupBy("img").agg(F.first("s").alias("s"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    out = sizes.select("img").hint("merge").join(found, "img", "left")
     return out.select("img", F.col("s.start").alias("x0"), "y0", F.col("s.stop").alias("x1"), "y1", F.when(F.col("s").isNull(), "no_building").otherwise("ok").alias("status"))
 
 
 def cells(pixels: DataFrame, sizes: DataFrame, envelopes: DataFrame, ink: int = INK) -> tuple[DataFrame, DataFrame]:
-    """A2: the 4-connected areas free of ink, as labelled runs and as measures; those at the image's border, under 30
+    """A2: the 4-connected areas free of ink, as labelled boxes and as measures; those at the image's border, under 30
     pixels, or outside the envelope by more than 2 are left out."""
-    free = R.complement(ink_runs(pixels, ink), sizes)
-    labels = R.labelled(free)
-    sized = R.measures(labels).join(sizes, "img").join(envelopes.where("status = 'ok'").select("img", F.col("x0").alias("ex0"), F.col("y0").alias("ey0"), F.col("x1").alias("ex1"), F.col("y1").alias("ey1")), "img")
+    labels = settled(R.free_boxes(ink_boxes(pixels, ink), sizes), "areas")
+    sized = R.measures(labels).hint("merge").join(sizes, "img").hint("merge").join(envelopes.where("status = 'ok'").select("img", F.col("x0").alias("ex0"), F.col("y0").alias("ey0"), F.col("x1").alias("ex1"), F.col("y1").alias("ey1")), "img")
     border = (F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("width") - 1) | (F.col("y1") == F.col("height") - 1)
     within = (F.col("x0") >= F.col("ex0") - 2) & (F.col("y0") >= F.col("ey0") - 2) & (F.col("x1") <= F.col("ex1") + 2) & (F.col("y1") <= F.col("ey1") + 2)
     good = sized.where(~border & (F.col("area") >= MIN_AREA) & within).select("img", "comp", "area", "x0", "y0", "x1", "y1")
     return labels.join(good.select("img", "comp"), ["img", "comp"], "left_semi"), good
 
 
+def _boxes(labels: DataFrame) -> DataFrame:
+    """Labelled runs as boxes; boxes as they are."""
+    return labels if "y0" in labels.columns else labels.select("img", F.col("y").alias("y0"), "x0", F.col("y").alias("y1"), "x1", "comp")
+
+
 def hole_share(labels: DataFrame, measures: DataFrame, least: int = MIN_DIM) -> DataFrame:
     """A4: (img, comp, holes): of each cell, the share of its filled outline in holes at least ``least`` wide and high."""
     key = F.struct("img", "comp")
-    local = labels.join(measures.select("img", "comp", F.col("x0").alias("cx"), F.col("y0").alias("cy")), ["img", "comp"])
+    at = measures.select("img", "comp", F.col("x0").alias("cx"), F.col("y0").alias("cy"))
+    local = _boxes(labels).hint("merge").join(at, ["img", "comp"])
     # each cell on a canvas of its own, one pixel wider on all sides
-    canvas = local.select(key.alias("img"), (F.col("y") - F.col("cy") + 1).cast("int").alias("y"), (F.col("x0") - F.col("cx") + 1).cast("int").alias("x0"), (F.col("x1") - F.col("cx") + 1).cast("int").alias("x1"))
+    moved = lambda c, by: (F.col(c) - F.col(by) + 1).cast("int").alias(c)
+    canvas = local.select(key.alias("img"), moved("y0", "cy"), moved("x0", "cx"), moved("y1", "cy"), moved("x1", "cx"))
     size = measures.select(key.alias("img"), (F.col("x1") - F.col("x0") + 3).cast("int").alias("width"), (F.col("y1") - F.col("y0") + 3).cast("int").alias("height"))
-    gaps = R.measures(R.labelled(R.complement(canvas, size), eight=True)).where("x0 > 0 and y0 > 0")
+    gaps = R.measures(R.free_boxes(canvas, size, eight=True)).where("x0 > 0 and y0 > 0")
     wide = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1 >= least
     held = gaps.groupBy(F.col("img.img").alias("img"), F.col("img.comp").alias("comp")).agg(F.sum("area").alias("all"), F.sum(F.when(wide, F.col("area")).otherwise(0)).alias("big"))
     return measures.join(held, ["img", "comp"], "left").select("img", "comp", F.coalesce(F.col("big") / (F.col("area") + F.col("all")), F.lit(0.0)).alias("holes"))
@@ -65,7 +71,7 @@ def hole_share(labels: DataFrame, measures: DataFrame, least: int = MIN_DIM) ->
 
 def straight_share(labels: DataFrame, share: float = 0.02) -> DataFrame:
     """A5: (img, comp, axis): of a cell's outline, simplified by ``share`` of its length, the share along the axes."""
-    return rooms.traced(labels, share=share).select("img", "comp", P.axis_share(F.col("points")).alias("axis"))
+    return rooms.traced(R.as_runs(_boxes(labels)), share=share).select("img", "comp", P.axis_share(F.col("points")).alias("axis"))
 
 
 def is_opening(area: Column, width: Column, height: Column, holes: Column, axis: Column) -> Column:
@@ -84,10 +90,11 @@ def classified(labels: DataFrame, measures: DataFrame) -> DataFrame:
 
 def logical_openings(labels: DataFrame, kernel: int = 7) -> DataFrame:
     """Openings closer than the kernel as one: (img, opening, area_px, x0, y0, x1, y1), measured without it; largest first by nth."""
-    wide = R.labelled(R.dilated(labels.select("img", "y", "x0", "x1"), R.square(kernel // 2)), eight=True)
-    of = labels.withColumn("x", F.col("x0"))
-    joined = R.at_pixel(wide, of.select("img", "y", "x", "x0", "x1").withColumnsRenamed({"x0": "r0", "x1": "r1"}))
-    m = R.measures(joined.select("img", "y", F.col("r0").alias("x0"), F.col("r1").alias("x1"), "comp"))
+    own, half = _boxes(labels).drop("comp"), kernel // 2
+    wider = own.select("img", *[(F.col(c) + d).alias(c) for c, d in (("y0", -half), ("x0", -half), ("y1", half), ("x1", half))])
+    wide = R.labelled(R.painted(wider), eight=True)
+    joined = R.at_pixel(wide, own.select("img", F.col("y0").alias("y"), F.col("x0").alias("x"), F.struct("y0", "x0", "y1", "x1").alias("box")))
+    m = R.measures(joined.select("img", "box.*", "comp"))
     nth = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("area"), "comp"))
     return m.select("img", F.col("comp").alias("opening"), F.col("area").alias("area_px"), "x0", "y0", "x1", "y1", nth.alias("nth"))
 
@@ -109,12 +116,12 @@ def analyze(pixels: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A1 to A10: one row an image (status, ratio, shares of the cells and of the envelope, sizes), and its openings with
     their share of the classified area.
 
-    ``pixels``: (img, y, x, gray) of all or only the dark ones, or runs of them (img, y, x0, x1, gray); ``sizes``: (img, width, height). An image without a
+    ``pixels``: (img, y, x, gray) of all or only the dark ones, or runs (img, y, x0, x1, gray) or boxes (img, y0, x0, y1, x1, gray) of them; ``sizes``: (img, width, height). An image without a
     building has a row with that status and nulls.
     """
     env = settled(envelope(pixels, sizes), "envelopes")
     labels, measures = cells(pixels, sizes, env)
-    labels, measures = settled(labels, "cell-runs"), settled(measures, "cells")
+    labels, measures = settled(labels, "cell-boxes"), settled(measures, "cells")
     judged = settled(classified(labels, measures), "judged")
     mine = labels.join(judged.where("opening").select("img", "comp"), ["img", "comp"], "left_semi")
     openings = logical_openings(mine)

@@ -313,3 +313,15 @@ def test_rotations_are_scored_in_tasks_as_by_columns(spark):
     assert {k: v for k, (_, v) in got.items()} == pytest.approx({k: q.f for k, q in want.items()})
     plan = outline.best_rotation(df, ["k"], "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "aggregate" not in plan
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_free_boxes_as_free_areas(spark, eight):
+    boxes, _, sizes = tall(spark)
+    small = boxes.where("y1 < 1000").selectExpr("8 img", "y0", "x0", "y1", "x1")
+    both, canvas = boxes.union(small), sizes.union(spark.createDataFrame([(8, 40, 1000)], sizes.schema))
+    rows = lambda df: sorted(map(tuple, df.select("img", "comp", "area", "x0", "y0", "x1", "y1").collect()))
+    found = runs.free_boxes(both, canvas, eight)
+    assert rows(runs.measures(found)) == rows(runs.free_areas(both, canvas, eight))
+    one = runs.free_boxes(small, canvas.where("img = 8"), eight)
+    assert batched(one) and one.count() < runs.complement(small, canvas.where("img = 8")).count() / 2
