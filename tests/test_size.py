@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gambrel.functions import polygon as P
-from gambrel.operators import axial, distance, editing, facade, matching, outline, runs, tracing, vector, walls
+from gambrel.operators import axial, distance, editing, facade, matching, outline, rooms, runs, tracing, vector, walls
 from gambrel.plans import adapters, queries
 from gambrel.shared import settled
 
@@ -325,3 +325,12 @@ def test_free_boxes_as_free_areas(spark, eight):
     assert rows(runs.measures(found)) == rows(runs.free_areas(both, canvas, eight))
     one = runs.free_boxes(small, canvas.where("img = 8"), eight)
     assert batched(one) and one.count() < runs.complement(small, canvas.where("img = 8")).count() / 2
+
+
+def test_rectangles_are_traced_by_their_corners(spark):
+    rows = [(1, 0, 5 + k, 3, 20) for k in range(9)] + [(1, 1, 40 + k, 3, 20 + k % 2 * 5) for k in range(9)]
+    df = spark.createDataFrame(rows, "img int, comp long, y int, x0 int, x1 int")
+    got = {q.comp: q.points for q in rooms.traced(df, share=0.02).collect()}
+    assert got[0] == [[3.0, 5.0], [21.0, 5.0], [21.0, 14.0], [3.0, 14.0]]
+    full = [(float(x), float(y)) for x, y in rooms.outline([r[2:] for r in rows[:9]])]
+    assert [list(p) for p in rooms.simplified(full, 0.02 * 54)] == got[0] and len(got[1]) > 4
